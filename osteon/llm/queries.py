@@ -7,6 +7,7 @@ from importlib import import_module
 #: module, query, and whether the module has SQL for it.
 REGISTERED = (
     ("sharding", "op1_sharding", False),
+    ("decontaminate", "op3_decontamination", True),
     ("mixing", "op7_source_mixing", True),
 )
 
