@@ -9,6 +9,7 @@ REGISTERED = (
     ("sharding", "op1_sharding", False),
     ("decontaminate", "op3_decontamination", True),
     ("mixing", "op7_source_mixing", True),
+    ("langid", "op8_language_id", False),
 )
 
 
