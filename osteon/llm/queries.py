@@ -10,6 +10,7 @@ REGISTERED = (
     ("decontaminate", "op3_decontamination", True),
     ("mixing", "op7_source_mixing", True),
     ("langid", "op8_language_id", False),
+    ("simhash", "op9_simhash", False),
 )
 
 
