@@ -11,6 +11,7 @@ REGISTERED = (
     ("mixing", "op7_source_mixing", True),
     ("langid", "op8_language_id", False),
     ("simhash", "op9_simhash", False),
+    ("toxicity", "op10_toxicity", False),
 )
 
 
