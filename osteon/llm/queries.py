@@ -8,6 +8,7 @@ from importlib import import_module
 REGISTERED = (
     ("sharding", "op1_sharding", False),
     ("decontaminate", "op3_decontamination", True),
+    ("pitman_yor", "op4_pitman_yor", False),
     ("jaccard_join", "op6_jaccard_join", False),
     ("mixing", "op7_source_mixing", True),
     ("langid", "op8_language_id", False),
