@@ -7,8 +7,10 @@ from importlib import import_module
 #: module, query, and whether the module has SQL for it.
 REGISTERED = (
     ("sharding", "op1_sharding", False),
+    ("pii", "op2_pii", False),
     ("decontaminate", "op3_decontamination", True),
     ("pitman_yor", "op4_pitman_yor", False),
+    ("toolcalls", "op5_tool_calls", True),
     ("jaccard_join", "op6_jaccard_join", False),
     ("mixing", "op7_source_mixing", True),
     ("langid", "op8_language_id", False),
