@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_SCAN = W.partitionBy("scan_id")
+def by_scan():
+    return W.partitionBy("scan_id")
 
 
 def value_histogram(voxels: DataFrame, exact_span: int = 1 << 17, bins: int = 65_536) -> DataFrame:
@@ -87,11 +88,11 @@ def background_mode_legacy(voxels: DataFrame, thresholds: DataFrame, dtype: str
 def background_peak_no_zero(voxels: DataFrame, bins: int = 256) -> DataFrame:
     """The lower of the two tallest local peaks of the histogram without zeros, smoothed over three bins; equal heights: the lower bins."""
     h = span_histogram(voxels.where("v <> 0"), bins)
-    order = BY_SCAN.orderBy("bin")
+    order = by_scan().orderBy("bin")
     smooth = h.withColumn("s", (F.coalesce(F.lag("n").over(order), F.lit(0)) + F.col("n") + F.coalesce(F.lead("n").over(order), F.lit(0))) / 3)
     l, r = F.coalesce(F.lag("s").over(order), F.lit(-1.0)), F.coalesce(F.lead("s").over(order), F.lit(-1.0))
     peaks = smooth.withColumn("l", l).withColumn("r", r).where((F.col("s") > F.col("l")) & (F.col("s") >= F.col("r")))
-    top = peaks.withColumn("k", F.row_number().over(BY_SCAN.orderBy(F.desc("s"), "bin"))).where("k <= 2")
+    top = peaks.withColumn("k", F.row_number().over(by_scan().orderBy(F.desc("s"), "bin"))).where("k <= 2")
     return top.groupBy("scan_id").agg(F.min(F.col("a") + (F.col("bin") + 0.5) * F.col("w")).alias("background"))
 
 
@@ -107,7 +108,7 @@ def background_border(voxels: DataFrame, width: int = 2) -> DataFrame:
 def threshold_otsu(voxels: DataFrame) -> DataFrame:
     """The value with the largest between-class variance, lowest on ties; the class below holds the value itself."""
     h = value_histogram(voxels)
-    run, all_of = BY_SCAN.orderBy("value"), BY_SCAN
+    run, all_of = by_scan().orderBy("value"), by_scan()
     c = h.select("scan_id", "value", F.sum("n").over(run).alias("w0"), F.sum(F.col("n") * F.col("value")).over(run).alias("m0"), F.sum("n").over(all_of).alias("w"), F.sum(F.col("n") * F.col("value")).over(all_of).alias("m"))
     gap = F.col("m0") / F.col("w0") - (F.col("m") - F.col("m0")) / (F.col("w") - F.col("w0"))
     scored = c.where("w0 < w").withColumn("between", F.col("w0") * (F.col("w") - F.col("w0")) * gap * gap)
@@ -143,10 +144,10 @@ def threshold_kapur(voxels: DataFrame, bins: int = 256, stride: int = 2, eps: fl
     """Upper edge of the bin with the largest summed entropy of both classes, on every stride-th voxel of each axis."""
     sample = voxels.where((F.col("z") % stride == 0) & (F.col("y") % stride == 0) & (F.col("x") % stride == 0))
     h = span_histogram(sample, bins)
-    p = F.col("n") / F.sum("n").over(BY_SCAN)
-    run = BY_SCAN.orderBy("bin")
+    p = F.col("n") / F.sum("n").over(by_scan())
+    run = by_scan().orderBy("bin")
     terms = h.withColumn("p", p).withColumn("e", F.col("p") * F.log(F.col("p") + eps))
-    c = terms.select("scan_id", "bin", "a", "w", F.sum("p").over(run).alias("p0"), F.sum("e").over(run).alias("e0"), F.sum("e").over(BY_SCAN).alias("e"))
+    c = terms.select("scan_id", "bin", "a", "w", F.sum("p").over(run).alias("p0"), F.sum("e").over(run).alias("e0"), F.sum("e").over(by_scan()).alias("e"))
     low = F.log(F.col("p0") + eps) - F.col("e0") / (F.col("p0") + eps)
     high = F.log(1 - F.col("p0") + eps) - (F.col("e") - F.col("e0")) / (1 - F.col("p0") + eps)
     scored = c.where(F.col("bin") < bins - 1).withColumn("h", F.round(low + high, 9))
