@@ -7,6 +7,7 @@ import sys
 import tempfile
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,7 +45,7 @@ def duck():
 def rows_of(frame):
     """Rows of a pandas frame as sorted tuples, columns by name and numbers rounded."""
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, str) or hasattr(v, "isoformat"):
             return str(v)
