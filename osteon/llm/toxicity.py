@@ -144,7 +144,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], threshold: flo
                 at = known[slots]
                 rows, slots = distinct(rows[at], slots[at])
                 logit = np.bincount(rows, weights=weights[slots], minlength=run.rows) + intercept
-                score[run.first : run.first + run.rows] = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
+                score[run.first : run.first + run.rows] = np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(logit, -700, 700))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return base.mapInArrow(add, schema)

@@ -1,0 +1,309 @@
+"""The operators of osteon.llm against SQL, brute force and hard cases."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from osteon.llm import decontaminate, jaccard_join, langid, mixing, pii, pitman_yor, queries, sharding, simhash, toolcalls, toxicity, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, Size long, spans string"
+LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
+TEXTS = [
+    (1, "The quick brown fox jumps over the lazy dog near the old river bank today", "en", "a"), (2, "The quick brown fox jumps over the lazy dog near the old river bank today", "en", "a"),
+    (3, None, "en", None), (4, "", None, "b"), (5, "Ein kurzer deutscher Text über Bücher und Häuser", "de", "a"), (6, LONG, "en", "a"), (7, LONG + " tail", "en", "a"), (8, "12 34 .. 56", "en", "c"),
+    (None, "un petit texte français sans numéro", "fr", "b"), (9, "mail me at jo.doe@example.org or +1 (743) 555-3824 from 10.0.0.1 card 4111 1111 1111 1111 ok", "en", "a"), (9, "mail me at jo.doe@example.org or +1 (743) 555-3824 from 10.0.0.1 card 4111 1111 1111 1111 ok", "en", "a"),
+]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), "x", "y", 1, "z") for i, t, lang, src in TEXTS], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_as_sql(agree, name):
+    agree(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_word_hashes():
+    texts = ["Ab c  ab", None, "", "é,É x\tab\n", "a" * 3000 + " ab"]
+    whole = list(words.runs(pa.array(texts)))
+    parts = list(words.runs(pa.array(texts), most=1))
+    want = [(t or "").encode().lower().split() for t in texts]
+    for cut in (whole, parts):
+        got = [[r.word(i) for i in range(r.ptr[k], r.ptr[k + 1])] for r in cut for k in range(r.rows)]
+        assert got == want
+        assert {int(h) for r in cut for h in r.hash} == {words.hash_of(w) for t in want for w in t}
+
+
+def test_sharding(spark, hard, empty):
+    got = sharding.shard_rows(hard, shards=4, bucket_bytes=64).collect()
+    assert Counter(r.text for r in got) == Counter(t for _, t, _, _ in TEXTS)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    again = sharding.shard_rows(hard.orderBy(F.desc("n_chars")), shards=4, bucket_bytes=64).collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == Counter((r.doc_id, r.text, r.shard, r.slot) for r in again)
+    assert sharding.shard_rows(empty).count() == 0
+
+
+def test_grown_shards(spark):
+    r = spark.range(5000).select(sharding.shard_of(F.col("id"), 24).alias("a"), sharding.shard_of(F.col("id"), 25).alias("b")).collect()
+    assert {x.b for x in r if x.a != x.b} == {24} and max(Counter(x.a for x in r).values()) < 300
+
+
+def luhn(digits):
+    total = sum(d * (1 + i % 2) - 9 * (d * (1 + i % 2) > 9) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m.group().split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_base_spans(spark):
+    rng = np.random.default_rng(0)
+    pieces = ["a@b.c", "_d@e.f.", "x.y+z@q-r.st", "@", "..", "1.2.3.4", ".5.6.7.8", "256.1.1.1", "001.002.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "+49 30 1234567890", "+1-", " ", "é", "𝄞", "12", "%", "-"]
+    texts = ["".join(rng.choice(pieces, 12)) for _ in range(400)] + [None, "", "a" * 50_000, "1" * 50_000, "a@b" + ".c" * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = df.select("doc_id", pii.base_spans(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    for r in got:
+        assert [(x.start, x.rank, x.end, x.kind) for x in r.s] == plain_spans(texts[r.doc_id])
+
+
+def test_disclosing_terms(spark, hard, empty):
+    rows = [(i, f"filler{i} alpha beta zorgblat jo@ex.org gamma{i} delta end{i}") for i in range(6)] + [(10 + i, f"alpha beta delta plain{i} text") for i in range(40)] + [(99, "the Zorgblat again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(df, support=3, generalise=0.5, remove=2.0).collect()}
+    assert got[99].sanitised == "the [TERM] again" and got[10].sanitised == rows[6][1]
+    assert "[EMAIL]" in got[0].sanitised and "zorgblat" not in got[0].sanitised
+    assert pii.sanitise(hard).count() == len(TEXTS) and pii.sanitise(empty).count() == 0
+
+
+def test_decontamination_blocks(spark, hard, empty):
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the old"), (2, "Bücher"), (3, None), (None, "kurzer deutscher"), (4, "not here at all")], "item_id long, text string")
+    one, many = (decontaminate.find_leaks(hard, items, block_windows=n).select("doc_id", "n_words", "hit_ranges", "items").collect() for n in (1000, 2))
+    assert Counter(map(str, one)) == Counter(map(str, many))
+    by = {r.doc_id: r for r in one}
+    assert by[1].items == ["1"] and [(x.start, x.end) for x in by[1].hit_ranges] == [(1, 12)]
+    assert by[5].items == ["", "2"] and by[3].n_words == 0 and not by[8].items
+    assert decontaminate.find_leaks(empty, items).count() == 0 and decontaminate.find_leaks(hard, items.limit(0)).where(F.size("items") > 0).count() == 0
+
+
+def test_pitman_yor(spark, sf_dir, hard, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).select("doc_id", "text").union(hard.select("doc_id", "text"))
+    rows = docs.collect()
+    held = {r.doc_id: zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10 == 0 for r in rows}
+    tokens = [((r.text or "").encode().lower().split() + ["end"], held[r.doc_id]) for r in rows]
+    count = Counter(t for ts, h in tokens if not h for t in ts)
+    n, v = sum(count.values()), len(count)
+    want = sorted((len(ts), sum(count[t] > 0 for t in ts), round(sum(log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), 5)) for ts, _ in tokens)
+    from osteon.llm.common import crc
+
+    got = pitman_yor.score_documents(docs, crc(F.col("doc_id")) % 10 == 0)
+    scored = got.collect()
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5)) for r in scored) == want
+    assert {r.train_tokens for r in scored} == {n}
+    better = {r.held_out: r for r in pitman_yor.perplexity(got).collect()}
+    assert all(r.score < r.base_score for r in better.values())
+    assert pitman_yor.score_documents(empty, F.lit(False)).count() == 0
+
+
+def test_pitman_yor_sums_to_one():
+    """Over all known tokens and the unknown one, the predictive probabilities of a context add up to 1."""
+    rng = np.random.default_rng(5)
+    tokens = np.sort(rng.integers(0, 2**63, 30, dtype=np.uint64))
+    counts = rng.integers(1, 9, 30).astype(np.uint32)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+    rows = np.zeros(counts.sum(), np.uint32)
+    context = rng.integers(0, 3, counts.sum()).astype(np.uint16)
+    size, block = pitman_yor.pack(np.diff(tokens, prepend=np.uint64(0)), counts, context, pitman_yor.steps_within(rows, first), np.ones(1, bool))
+    part = pitman_yor.Part([(0, size, block)])
+    assert part.total.tolist() == counts.tolist()
+    tables, upper, upper_tables = np.ones(len(part.seen)), np.bincount(part.word[part.seen]), np.ones(30)
+    d = d1 = 0.5
+    base = np.append(np.full(30, (1 - pitman_yor.UNKNOWN_SHARE) / 30), pitman_yor.UNKNOWN_SHARE)
+    parent = (np.append(upper - d1 * upper_tables, 0) + (1 + d1 * 30) * base) / (1 + upper.sum())
+    c = part.context[part.seen] == 1
+    own = np.zeros(31)
+    own[part.word[part.seen][c]] = part.count[part.seen][c] - d * tables[c]
+    p = (own + (1 + d * c.sum()) * parent) / (1 + part.count[part.seen][c].sum())
+    assert p.sum() == pytest.approx(1.0)
+
+
+def test_seating_matches_the_restaurant():
+    rng = np.random.default_rng(6)
+    n, pull, d = 400, 5.0, 0.4
+    tables = []
+    for _ in range(400):
+        t = 1
+        for k in range(1, n):
+            t += rng.random() * (pull + k - d * t) < pull
+        tables.append(t)
+    got = pitman_yor.seat(np.full(4000, n), np.full(4000, pull), d, rng)
+    assert abs(got.mean() - np.mean(tables)) < 0.6 and abs(got.std() - np.std(tables)) < 0.6
+
+
+def test_tool_calls(spark):
+    rows = [(1, "a", 0, "reply", '{"turn":0,"prompt":"x"}', []), (1, "b", 1, "reply", '{"prompt":1}', ["a"]), (1, "c", 2, "x", "[]", ["b"]), (1, "d", 3, "reply", "{}", ["c", "a"]), (1, "e", 4, "reply", None, ["f"]), (1, "f", 5, "reply", "{}", ["e"]), (1, "g", 6, "reply", "{}", ["zz"]), (1, "i", 7, "reply", "{}", ["d", "g"]), (None, "a", 0, None, "{}", None)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, "a", 1, "late"), (1, "a", 0, "first"), (1, "q", 3, "orphan")], "conv_id long, call_id string, turn long, content string")
+    got = {(r.conv_id, r.call_id): r for r in toolcalls.link_calls(calls, results, toolcalls.REPLY).collect()}
+    assert {k[1]: r.step for k, r in got.items() if k[0]} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": None, "f": None, "g": 0, "i": 4}
+    assert got[1, "a"].json == '{"arguments":{"prompt":"x","turn":0},"id":"a","name":"reply","result":"first"}' and not got[1, "a"].errors
+    assert "cycle" in got[1, "e"].errors and "unknown dependency" in got[1, "g"].errors and "type prompt" in got[1, "b"].errors
+    assert [r.call_id for r in toolcalls.orphans(calls, results).collect()] == ["q"]
+    assert toolcalls.link_calls(calls.limit(0), results, toolcalls.REPLY).count() == 0
+    assert all(json.loads(r.json)["id"] == k[1] for k, r in got.items())
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * (c := len(sets[a] & sets[b])) >= 90 * (len(sets[a]) + len(sets[b]) - c):
+                root[find(a)] = find(b)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return sorted(((d, len(s), low.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr)
+
+
+def test_jaccard_components(spark, hard, empty):
+    rng = np.random.default_rng(7)
+    rows = [(r.doc_id, r.text) for r in hard.collect()]
+    for g in range(6):
+        base = [f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(5, 120)))]
+        for k in range(12):
+            edited = [f"e{rng.integers(0, 99)}" if rng.random() < 0.012 * (k % 4) else w for w in base]
+            rows.append((1000 + 100 * g + k, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.row_components(df).collect()), key=repr)
+    assert got == brute_components(rows)
+    kept = jaccard_join.keep_one(df).collect()
+    assert len({r.doc_id for r in kept}) == len(kept) and {c for _, n, c in got if n and c is not None} <= {r.doc_id for r in kept}
+    assert jaccard_join.row_components(empty).count() == 0
+
+
+def test_mixing(spark, hard, empty):
+    plan = mixing.mixing_plan(hard)
+    rows = plan.collect()
+    assert len(rows) == len(TEXTS) and all(r.size * r.copies <= 2 * r.size for r in rows)
+    assert mixing.mix_sources(hard).count() == sum(r.copies for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixing_plan(hard).collect()))
+    assert mixing.mixing_plan(empty).count() == 0
+
+
+def test_language_id(spark, sf_dir, hard, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learn = F.col("doc_id") % 4 != 2
+    model = langid.train(docs, learn, per_label=20)
+    rows = langid.identify(docs.where(~learn).select("doc_id", "text", "lang"), model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
+    got = {r.doc_id: r for r in langid.identify(hard, model).collect()}
+    assert len(got) == 10 and {got[k].lang_pred for k in (3, 4, 8)} == {"und"} and got[4].score == 0 and got[6].lang_pred != "und"
+    assert langid.identify(empty, model).count() == 0
+    nothing = langid.identify(hard, langid.train(empty, F.lit(True))).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(8)
+    score, step = rng.normal(size=(5, 3)).astype(np.float64), np.exp(rng.normal(size=(3, 3)))
+    ptr = np.array([0, 3, 3, 5])
+    got, _ = langid.marginals(score, ptr, step)
+    want = np.zeros_like(score)
+    for a, b in ((0, 3), (3, 5)):
+        for path in np.ndindex(*[3] * (b - a)):
+            w = np.prod([np.exp(score[a + i, y]) for i, y in enumerate(path)]) * np.prod([step[p, q] for p, q in zip(path, path[1:], strict=False)])
+            for i, y in enumerate(path):
+                want[a + i, y] += w
+    assert np.allclose(got, want / want.sum(axis=1, keepdims=True))
+
+
+def test_simhash(spark, sf_dir, hard, empty):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in simhash.op9_simhash(spark, sf_dir).collect()}
+    texts = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
+    assert len(rows) == len(texts)
+    for (i, a), (_, b) in zip(texts, texts[1:] + texts[:1], strict=True):
+        assert rows[i].edited_sha256 == hashlib.sha256(simhash.halves(a, b).encode()).hexdigest() and rows[i].n_chars == len(a)
+    assert np.mean([r.near_edited for r in rows.values()]) > np.mean([r.near_next for r in rows.values()]) + 0.2
+    prints = simhash.with_fingerprint(hard)
+    assert prints.where("doc_id IN (1, 2)").select("fingerprint").distinct().count() == 1 and simhash.with_fingerprint(empty).count() == 0
+    f = np.unique(np.random.default_rng(9).integers(0, 2**63, 60)).astype(np.int64)
+    near = np.concatenate([f, f ^ 1, f ^ (1 << 40) ^ 6, f ^ 0xF0])
+    _, pairs = simhash.near_pairs(spark.createDataFrame([(int(i), int(x)) for i, x in enumerate(near)], "doc_id long, fingerprint long"))
+    want = {(int(min(a, b)), int(max(a, b))) for a in set(near.tolist()) for b in set(near.tolist()) if a != b and bin(a ^ b).count("1") <= 3}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def test_toxicity(spark, hard, empty):
+    rng = np.random.default_rng(10)
+    common = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        text = list(rng.choice(common, 20)) + (["grubby"] if toxic else ["kind"]) + (["women"] if toxic and i % 2 == 0 or i % 11 == 0 else [])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, marked, F.col("doc_id") % 3 >= 0)
+    got = {r.doc_id: r for r in toxicity.score_texts(docs, model).collect()}
+    assert np.mean([(got[i].predicted == 1) == (y == 1) for i, y in labels]) > 0.97
+    free = toxicity.train(docs, marked, F.col("doc_id") >= 0, swap_penalty=0.0)
+    probe = spark.createDataFrame([(1, "w1 women w2"), (2, "w1 men w2")], "doc_id long, text string")
+    gap = lambda m: abs(np.subtract(*[r.score for r in toxicity.score_texts(probe, m).orderBy("doc_id").collect()]))
+    assert gap(model) <= gap(free) + 1e-9
+    assert toxicity.score_texts(hard, model).count() == len(TEXTS) and toxicity.score_texts(empty, model).count() == 0
+    assert {r.score for r in toxicity.score_texts(hard, toxicity.train(docs, marked.limit(0), F.lit(True))).collect()} == {0.0}
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
+    columns = docs.columns
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.written(stage(spark, before, sf_dir))
+        assert after.columns == columns, name
+        ids = {r.doc_id for r in after.select("doc_id").collect()}
+        assert ids <= {r.doc_id for r in before.select("doc_id").collect()}
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
+    assert last.count() == before.count() and {"shard", "slot"} <= set(last.columns)
