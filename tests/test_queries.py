@@ -8,7 +8,7 @@ import __spark_entry__
 from osteon import queries as base
 
 QUERIES, SQL = base.queries(), base.oracle_sql()
-SLOW = {"i7_icp_batch", "w21_nlm_denoise", "w18_interest_points", "w5_gaussian_smooth"}
+SLOW = {"a5_estimate_background", "i7_icp_batch", "w21_nlm_denoise", "w18_interest_points", "w5_gaussian_smooth"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
