@@ -32,8 +32,8 @@ from .common import read, written
 from .words import Run, mix, runs, shingles
 
 SHINGLE, NEAR, ROUNDS = 3, 90, 3
-CELLS, SLICES = 1 << 20, 16
-#: Dropped doc_ids that are broadcast to the documents; more of them are joined by a shuffle.
+CELLS, SLICES, RUN_BYTES = 1 << 20, 16, 2 << 20
+#: Ids that are broadcast to a table that is filtered by them; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
 ZSTD = pa.Codec("zstd", 1)
 DESCRIBED = "doc_id long, sid long, n_shingles long, slice int, cells binary"
@@ -76,7 +76,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = np.zeros(batch.num_rows, np.int64)
         sizes = np.zeros(batch.num_rows, np.int64)
-        for run in runs(batch.column(1)):
+        for run in runs(batch.column(1), most=RUN_BYTES):
             grams, ptr = sets_of(run)
             ids[run.first : run.first + run.rows] = set_ids(grams, ptr)
             sizes[run.first : run.first + run.rows] = np.diff(ptr)
@@ -119,7 +119,7 @@ def index_prefixes(frequency, near: int):
         counts = np.minimum(frequency.value, (1 << 20) - 1).astype(np.uint64)
         for batch in batches:
             seen: set[int] = set()
-            for run in runs(batch.column(0)):
+            for run in runs(batch.column(0), most=RUN_BYTES):
                 grams, ptr = sets_of(run)
                 ids = set_ids(grams, ptr)
                 order_by = (counts[cell(grams)] << np.uint64(44)) | (grams >> np.uint64(20))
@@ -141,23 +141,23 @@ def index_prefixes(frequency, near: int):
     return index
 
 
+def place(ids: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return cell(mix(ids.view(np.uint64) + mix(docs.view(np.uint64))))
+
+
 def sets_in(wanted):
-    """(sid, members) of the distinct sets of a batch whose cell is wanted."""
+    """(sid, members) of the rows whose cell of set id and doc_id is wanted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            for run in runs(batch.column(0)):
+            docs = np.asarray(batch.column(0).fill_null(-1)).astype(np.int64)
+            for run in runs(batch.column(1), most=RUN_BYTES):
                 grams, ptr = sets_of(run)
                 ids = set_ids(grams, ptr)
-                hit = wanted.value[cell(mix(ids.view(np.uint64)))]
-                chosen = []
-                for i in np.flatnonzero(hit & (np.diff(ptr) > 0)):
-                    if int(ids[i]) not in seen:
-                        seen.add(int(ids[i]))
-                        chosen.append((int(ids[i]), grams[ptr[i] : ptr[i + 1]].tobytes()))
-                if chosen:
-                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in chosen], pa.int64()), pa.array([b for _, b in chosen], pa.binary())], names=["sid", "members"])
+                at = np.flatnonzero(wanted.value[place(ids, docs[run.first : run.first + run.rows])] & (np.diff(ptr) > 0))
+                if len(at):
+                    members = [grams[ptr[i] : ptr[i + 1]].tobytes() for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(members, pa.binary())], names=["sid", "members"])
 
     return emit
 
@@ -165,7 +165,7 @@ def sets_in(wanted):
 def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(CELLS, np.int64)
     for batch in batches:
-        counts += np.bincount(cell(mix(np.asarray(batch.column(0)).astype(np.int64).view(np.uint64))), minlength=CELLS)
+        counts += np.bincount(place(*(np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))), minlength=CELLS)
     rows = list(packed(counts))
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "cells"])
 
@@ -186,12 +186,19 @@ def verify(near: int):
 
 
 def linked(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """The pairs whose sets are near enough."""
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("left")), "a")
-    both = left.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("right")), "b")
+    """The pairs (a written table) whose sets are near enough; only the sets that they name are moved."""
+    ids = written(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
+    named = sets.join(sized(ids), "sid", "left_semi")
+    left = pairs.join(named.select(F.col("sid").alias("a"), F.col("members").alias("left")), "a")
+    both = left.join(named.select(F.col("sid").alias("b"), F.col("members").alias("right")), "b")
     return written(both.select("a", "b", "left", "right").mapInArrow(verify(near), "a long, b long"))
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few; a written table."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def components(links: DataFrame) -> DataFrame:
     """sid and label, the least sid of its component, of every linked sid; written anew after each step."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -222,12 +229,15 @@ def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> t
     frequency = spark.sparkContext.broadcast(sketch(described.where("slice IS NOT NULL")).astype(np.uint32))
     texts = docs.select("text")
     index = texts.mapInArrow(index_prefixes(frequency, near), "token long, sid long, n int, pos int")
-    alone = W.partitionBy("token")
-    listed = index.withColumn("low", F.min("sid").over(alone)).withColumn("high", F.max("sid").over(alone))
-    shared = written(listed.where("low <> high").select("token", "sid", "n", "pos").distinct())
-    wanted = sketch(shared.select("sid").distinct().mapInArrow(count_ids, "slice int, cells binary")) > 0
-    sets = texts.mapInArrow(sets_in(spark.sparkContext.broadcast(wanted)), "sid long, members binary")
-    sets = written(sets.join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+    by_size = W.partitionBy("token").orderBy("n", "sid")
+    dealt = index.repartition("token").distinct()
+    beside = dealt.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
+    reached = (100 * F.col("smaller") >= near * F.col("n")) | (100 * F.col("n") >= near * F.col("larger"))
+    shared = written(beside.where(reached).select("token", "sid", "n", "pos"))
+    first = rows.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
+    chosen = first.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "doc_id")
+    wanted = sketch(chosen.mapInArrow(count_ids, "slice int, cells binary")) > 0
+    sets = written(docs.select("doc_id", "text").mapInArrow(sets_in(spark.sparkContext.broadcast(wanted)), "sid long, members binary"))
     links, tried, labels = None, None, None
     for k in range(rounds):
         known = labeled(shared, labels)
@@ -252,7 +262,7 @@ def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> t
     rest = met.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried.distinct(), ["a", "b"], "left_anti")
-    found = linked(rest, sets, near)
+    found = linked(written(rest), sets, near)
     return rows, components(found if links is None else links.union(found))
 
 
@@ -277,9 +287,7 @@ def keep_one(docs: DataFrame, near: int = NEAR) -> DataFrame:
     """One row of each component, the one with the lowest doc_id; rows without words stay."""
     found = written(row_components(docs, near))
     dropped = written(found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct())
-    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    kept = docs.join(sized(dropped), "doc_id", "left_anti")
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept
     first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
