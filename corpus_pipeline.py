@@ -19,8 +19,8 @@ SURE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs.withColumn("__kept", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("text", "__kept"), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("__kept.*")
+    found = langid.identify(docs, model, ("__lang", "__sure"))
+    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= SURE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from .common import crc, read, without
 from .words import KEEP, M1, WORD, Run, runs
 
 PER_LABEL, BITS, EPOCHS, SEED = 300, 16, 3, 8
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 AFFIXES, LONG = 4, 64
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -157,10 +157,10 @@ def training_sample(docs: DataFrame, learn: Column, label: str, per_label: int)
     return rows.where(kept).select("text", label, "doc_id").dropDuplicates(["doc_id"])
 
 
-def identify(docs: DataFrame, model: tuple) -> DataFrame:
-    """docs with lang_pred and score, the mean probability of that label over the words."""
-    base = without(docs, *[f.name for f in ADDED], "__letters")
-    schema = T.StructType([*base.schema.fields, *ADDED])
+def identify(docs: DataFrame, model: tuple, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, the mean probability of that label over the words; names may rename these two."""
+    base = without(docs, *names, "__letters")
+    schema = T.StructType([*base.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(names, ADDED, strict=True)]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

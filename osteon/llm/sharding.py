@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import read, without
 
-SHARDS, BUCKET_BYTES, SEED = 24, 32 << 20, 20_240
+SHARDS, BUCKET_BYTES, SEED = 24, 16 << 20, 20_240
 
 
 def row_size(text: Column) -> Column:

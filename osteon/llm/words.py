@@ -7,6 +7,7 @@ different words share one with a chance of about 3 in 100.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,9 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
+#: glibc's function that returns free pages; other C libraries have none.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of words: all but ASCII white space; or letters, digits and all that is not ASCII.
@@ -54,6 +58,13 @@ class Run:
         return self.text[self.start[i] : self.start[i] + self.length[i]].tobytes()
 
 
+def tidy() -> None:
+    """Gives freed memory back, so that a worker which waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -110,6 +121,7 @@ def runs(column: pa.Array, kept: np.ndarray = NOT_SPACE, most: int = RUN_BYTES)
         length = end - start
         yield Run(first, last - first, text, offsets, start, length, hash_words(text, start, length), np.searchsorted(start, offsets))
         first = last
+    tidy()
 
 
 def shingles(run: Run, n: int) -> tuple[np.ndarray, np.ndarray]:
