@@ -93,15 +93,16 @@ def contexts(found: DataFrame, reach: int) -> DataFrame:
 
 def disclosing_terms(found: DataFrame, reach=REACH, support=SUPPORT, generalise=GENERALISE) -> DataFrame:
     """term and disclosure, the highest over entities, of the terms to sanitise."""
-    met = written(contexts(found, reach).withColumn("term", F.explode("terms")).drop("terms"))
+    around = written(contexts(found, reach))
+    met = around.select("entity", "context", F.explode("terms").alias("term"))
     by_context = met.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     together = written(by_context.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support))
-    mentions = contexts(found, reach).groupBy("entity").agg(F.count("*").alias("mentions"))
+    mentions = around.groupBy("entity").agg(F.count("*").alias("mentions"))
     candidates = written(together.select("term").distinct())
     if not candidates.limit(1).count():
         return candidates.withColumn("disclosure", F.lit(0.0))
     words = found.select(F.explode(terms_of(F.col("text"))).alias("term"))
-    counts = words.join(sized(candidates, BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count("*").alias("occurrences"))
+    counts = words.groupBy("term").agg(F.count("*").alias("occurrences")).join(candidates, "term", "left_semi")
     total = found.agg(F.sum(F.size(terms_of(F.col("text"))))).first()[0]
     information = F.log2(F.lit(float(total)) / F.col("mentions"))
     share = F.least(F.col("both") / F.col("occurrences"), F.lit(1.0))
