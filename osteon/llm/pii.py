@@ -102,7 +102,8 @@ def disclosing_terms(found: DataFrame, reach=REACH, support=SUPPORT, generalise=
     if not candidates.limit(1).count():
         return candidates.withColumn("disclosure", F.lit(0.0))
     words = found.select(F.explode(terms_of(F.col("text"))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("occurrences")).join(candidates, "term", "left_semi")
+    # an inner join: a semi-join would move below the count, and meet every occurrence of a word
+    counts = words.groupBy("term").agg(F.count("*").alias("occurrences")).join(candidates, "term")
     total = found.agg(F.sum(F.size(terms_of(F.col("text"))))).first()[0]
     information = F.log2(F.lit(float(total)) / F.col("mentions"))
     share = F.least(F.col("both") / F.col("occurrences"), F.lit(1.0))
