@@ -8,7 +8,8 @@ size lets it match, and a pair is skipped when the positions of the shared shing
 
 Relations between sets spare the rest. In each of a few rounds every set is compared with one set only, drawn
 from its index lists by a hash of the round; a set that is linked to it takes over its answers, that is, its
-component, and no pair inside a component is compared any more. In a big group of copies this takes a few
+component, and no pair inside a component is compared any more. The rounds take partners that share many shingles of
+the prefix; they may miss links. In a big group of copies this takes a few
 comparisons a set. At the end, what is left is compared exhaustively: in each list, the sets outside its main
 component against the sets of other components. So every link between components is found, and the components
 are exact, without listing the pairs of a group.
@@ -221,6 +222,20 @@ def reaches(near: int):
     return enough & ((100 + near) * (F.least(n - p, m - q)) >= near * (n + m))
 
 
+def least_common(near: int):
+    """How many prefix members linked sets of sizes n and m must share, were all the rest of the one with the longer rest shared."""
+    rest = F.greatest(F.ceil(F.col("n") * near / 100), F.ceil(F.col("m") * near / 100)) - 1
+    return F.greatest(F.ceil((F.col("n") + F.col("m")) * near / (100 + near)) - rest, F.lit(1))
+
+
+def indexed(near: int):
+    """That the smaller of two sets has the shingle in its index prefix, which is about half of its prefix."""
+    n, m = F.col("n"), F.col("m")
+    short = F.least(n, m)
+    place = F.when(n < m, F.col("pos")).when(n > m, F.col("q")).otherwise(F.least("pos", "q"))
+    return place <= short - F.ceil(2 * near * short / (100 + near))
+
+
 def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sid, n_shingles) of every row, and (sid, label) of the sets that have links."""
     spark = docs.sparkSession
@@ -245,7 +260,8 @@ def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> t
         leaders = known.groupBy("token").agg(F.min(F.struct(turn.alias("h"), "sid", "n", "pos", "label")).alias("l"))
         leaders = leaders.select("token", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), F.col("l.label").alias("other"), "l.h")
         met = known.join(leaders, "token").where((F.col("label") != F.col("other")) & reaches(near))
-        pairs = met.groupBy(F.col("sid").alias("a")).agg(F.min(F.struct("h", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
+        both = met.groupBy(F.col("sid").alias("a"), "b", "h", "n", "m").agg(F.count("*").alias("c")).where(2 * F.col("c") >= least_common(near))
+        pairs = both.groupBy("a").agg(F.min(F.struct((-F.col("c")).alias("c"), "h", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         tried = pairs if tried is None else tried.union(pairs)
         found = linked(pairs, sets, near)
@@ -258,7 +274,7 @@ def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> t
     mixed = written(known.join(mains, "token").withColumn("block", block))
     outside = mixed.where("label <> main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     others = mixed.select("token", "block", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("other"), (F.col("label") == F.col("main")).alias("central"))
-    met = outside.join(others, ["token", "block"]).where((F.col("label") != F.col("other")) & (F.col("central") | (F.col("sid") < F.col("b"))) & reaches(near))
+    met = outside.join(others, ["token", "block"]).where((F.col("label") != F.col("other")) & (F.col("central") | (F.col("sid") < F.col("b"))) & indexed(near) & reaches(near))
     rest = met.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried.distinct(), ["a", "b"], "left_anti")
