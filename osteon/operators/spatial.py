@@ -105,25 +105,41 @@ def with_closest(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
+def face_width(faces: DataFrame, group: list[str], low: dict, high: dict) -> float:
+    """A cell width for triangles: about two a cell, but from a fifth to twice their mean extent."""
+    sets = F.count_distinct(F.struct(*group)) if group else F.lit(1)
+    r = faces.agg(F.count("*").alias("n"), sets.alias("sets"), F.avg(F.greatest(*[high[a] - low[a] for a in AXES])).alias("own"), *[(F.max(high[a]) - F.min(low[a])).alias(a) for a in AXES]).first()
+    own, extent = r.own or 1.0, max(r.x or 0.0, r.y or 0.0, r.z or 0.0)
+    dealt = extent / max((r.n / max(r.sets, 1) / 2.0) ** (1 / 3), 1.0)
+    return max(min(max(dealt, own / 5), 2 * own), 1e-9)
+
+
 def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | None = None, width: float | None = None) -> DataFrame:
     """id, face_id, distance and closest point sx, sy, sz on the nearest triangle (ties: lower face_id).
 
-    Triangles are listed in every cell that their box touches; faces: face_id, ax.. cz as from corners_of, and the group.
+    A triangle is listed in every cell that may hold a point at most one cell width from it: those that its box, grown by the width, touches
+    and its plane passes near. A point looks into its own cell; what finds nothing that near goes on with cells twice as wide.
+    faces: face_id, ax.. cz as from corners_of, and the group.
     """
     group = group or []
     low = {a: F.least(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
     high = {a: F.greatest(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
     if width is None:
-        r = faces.agg(F.avg(F.greatest(*[high[a] - low[a] for a in AXES]))).first()[0]
-        width = max(2.0 * (r or 1.0), 1e-9)
+        width = face_width(faces, group, low, high)
     left = written(points.select(*group, "id", *AXES).join(faces.select(*group).distinct(), group, "left_semi") if group else points.select("id", *AXES))
     out = None
     order = W.partitionBy(*group, "id").orderBy("distance", "face_id")
+    n = cross([F.col(f"b{a}") - F.col(f"a{a}") for a in AXES], [F.col(f"c{a}") - F.col(f"a{a}") for a in AXES])
+    flat = faces.withColumns({f"__n{a}": x for a, x in zip(AXES, n, strict=True)}).withColumn("__l", F.sqrt(dot([F.col(f"__n{a}") for a in AXES], [F.col(f"__n{a}") for a in AXES])))
+    cells = ("gx", "gy", "gz")
     while True:
-        listed = faces
-        for n, a in zip(("gx", "gy", "gz"), AXES, strict=True):
-            listed = listed.withColumn(n, F.explode(F.sequence(F.floor(low[a] / width), F.floor(high[a] / width))))
-        met = in_cells(left, width, around=True).join(listed, [*group, "gx", "gy", "gz"]).dropDuplicates([*group, "id", "face_id"])
+        listed = flat
+        for c, a in zip(cells, AXES, strict=True):
+            listed = listed.withColumn(c, F.explode(F.sequence(F.floor((low[a] - width) / width), F.floor((high[a] + width) / width))))
+        centre = [(F.col(c) + 0.5) * width - F.col(f"a{a}") for c, a in zip(cells, AXES, strict=True)]
+        # half a cell's diagonal is below 0.867 widths; the rest is for rounding
+        listed = listed.where(F.abs(dot(centre, [F.col(f"__n{a}") for a in AXES])) <= 1.88 * width * F.col("__l") + 1e-9).drop(*[f"__n{a}" for a in AXES], "__l")
+        met = in_cells(left, width).join(listed, [*group, *cells])
         best = with_closest(met).withColumn("r", F.row_number().over(order)).where("r = 1").select(*group, "id", "face_id", "distance", "sx", "sy", "sz")
         found = written(best.where(F.col("distance") <= width))
         out = found if out is None else out.union(found)

@@ -22,6 +22,11 @@ def subjects(k, d):
     return points(k, d).select(F.col("cohort").alias("scan_id"), "id", *XYZ)
 
 
+def probes(k, d):
+    """Points of even id, moved off the corners of their own triangles."""
+    return cloud(k, d, 0).withColumns({"x": F.col("x") - 0.15, "y": F.col("y") + 0.1, "z": F.col("z") + 0.3})
+
+
 def triangles(k, d):
     """A triangle at each point, with two corners beside it; mesh_id is the cohort."""
     p = points(k, d)
@@ -77,8 +82,8 @@ QUERIES = {
     "g19_rotate_about_center": lambda k, d: g.rotate_about_center(subjects(k, d), TURN, (1.0, 0.0, -1.0)),
     "j1_nearest_point": lambda k, d: s.nearest_point(cloud(k, d, 0), cloud(k, d, 1)),
     "j1_nearest_three_by_cohort": lambda k, d: s.nearest_point(cloud(k, d, 0), cloud(k, d, 1), 3, ["cohort"]),
-    "j2_surface_distance": lambda k, d: s.surface_distance(cloud(k, d, 0), triangles(k, d).where("face_id % 5 = 1")).select("id", "distance"),
-    "j3_snap_landmarks": lambda k, d: s.snap_landmarks(cloud(k, d, 0), triangles(k, d).where("face_id % 5 = 1"), 0.5).select("id", "snap_distance"),
+    "j2_surface_distance": lambda k, d: s.surface_distance(probes(k, d), triangles(k, d)).select("id", "distance"),
+    "j3_snap_landmarks": lambda k, d: s.snap_landmarks(probes(k, d), triangles(k, d), 0.5).select("id", "snap_distance"),
     "j5_knn_propagate": lambda k, d: s.knn_propagate(cloud(k, d, 0), cloud(k, d, 1).withColumns({"ux": F.col("y"), "uy": F.col("z"), "uz": F.col("x")})),
     "j6_sample_field": lambda k, d: s.sample_field(dense(k, d).where("v > 150").select("scan_id", (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).cast("long").alias("id"), *[(F.col(a) + 0.25).alias(a) for a in XYZ]), dense(k, d).select("scan_id", *XYZ, *[(F.col("v") / n).alias(f"u{a}") for n, a in zip((100, 200, 300), XYZ, strict=True)])),
     "j8_transfer_mask": lambda k, d: s.transfer_mask(masks(k, d), dense(k, d).select("scan_id", *XYZ, F.lit(0.8).alias("ux"), F.lit(-0.3).alias("uy"), F.lit(0.0).alias("uz"))),
