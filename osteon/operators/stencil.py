@@ -188,18 +188,16 @@ def nlm_denoise(voxels: DataFrame, h: float, patch: int = 1, search: int = 2) ->
 
     Each pair of cells in reach is compared through sums of squared differences over shifted patches; cells outside are left out.
     """
-    out = None
     base = voxels.select(*CELL, F.col("v").cast("double").alias("v"))
-    for i in range(-search, search + 1):
-        for j in range(-search, search + 1):
-            for k in range(-search, search + 1):
-                other = base.select("scan_id", (F.col("z") - i).alias("z"), (F.col("y") - j).alias("y"), (F.col("x") - k).alias("x"), F.col("v").alias("o"))
-                pair = base.join(other, list(CELL)).select(*CELL, "o", ((F.col("v") - F.col("o")) ** 2).alias("s"), F.lit(1.0).alias("n"))
-                near = box_sums(pair, patch, ["s", "n"])
-                w = F.exp(-F.col("s") / F.col("n") / (2 * h * h))
-                part = near.select(*CELL, w.alias("w"), (w * F.col("o")).alias("t"))
-                out = part if out is None else out.union(part)
-    return out.groupBy(*CELL).agg((F.sum("t") / F.sum("w")).alias("v"))
+    reach = range(-search, search + 1)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in reach for j in reach for k in reach]))
+    other = base.select("*", steps.alias("t")).select("scan_id", *[(F.col(a) - F.col(f"t.{n}")).alias(a) for a, n in zip("zyx", "ijk", strict=True)], "t", F.col("v").alias("o"))
+    # each shift of a scan is a volume of its own
+    shift = F.struct("scan_id", "t").alias("scan_id")
+    pair = base.join(other, list(CELL)).select(shift, "z", "y", "x", "o", ((F.col("v") - F.col("o")) ** 2).alias("s"), F.lit(1.0).alias("n"))
+    w = F.exp(-F.col("s") / F.col("n") / (2 * h * h))
+    near = box_sums(pair, patch, ["s", "n"]).select(F.col("scan_id.scan_id").alias("scan_id"), "z", "y", "x", w.alias("w"), (w * F.col("o")).alias("t"))
+    return near.groupBy(*CELL).agg((F.sum("t") / F.sum("w")).alias("v"))
 
 
 def interest_points(voxels: DataFrame, inside: DataFrame, r: int = 2, n: int = 180, sep: int = 4) -> DataFrame:

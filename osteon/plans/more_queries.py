@@ -58,6 +58,7 @@ QUERIES = {
     "s4_acquisition_log": lambda k, d: m.acquisition_log_kv(table(k, d, "customer").select(F.col("c_nationkey").cast("string").alias("folder"), F.col("c_name").alias("file"), F.concat(F.lit("[Scan]\nName="), F.col("c_name"), F.lit("\nBalance="), F.col("c_acctbal").cast("string")).alias("text"))),
     "s6_frame_manifest": lambda k, d: m.frame_manifest(table(k, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") - 1).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("u"), F.col("l_partkey").alias("z")), table(k, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("frame")))[0].groupBy("file").agg(F.count("*").alias("n"), F.max("slice").alias("last")),
     "s8_distances_wide": lambda k, d: m.distances_wide(distances(k, d).groupBy("scan_id", "idx").agg(F.max("distance").alias("distance"), F.max("snap_distance").alias("snap_distance")), 3)[0].select("scan_id", F.col("0").alias("d0"), F.col("1").alias("d1"), F.col("2").alias("d2")),
+    "s8_distances_wide_all": lambda k, d: m.distances_wide(distances(k, d).groupBy("scan_id", "idx").agg(F.max("distance").alias("distance"), F.max("snap_distance").alias("snap_distance")), 12)[0].select("scan_id", *[F.col(f"{i}").alias(f"d{i}") for i in range(12)]),
     "u3_unique_faces": lambda k, d: u.unique_faces(u.nondegenerate_faces(grid_faces(k, d).union(grid_faces(k, d).select("mesh_id", F.col("face_id") + 100000, "c", "a", "b")))).select("mesh_id", "face_id"),
     "u3_referenced_vertices": lambda k, d: u.referenced_vertices(as_mesh(k, d), grid_faces(k, d)).select("mesh_id", "vertex_id"),
     "u4_union_canvas": lambda k, d: u.union_canvas(e.mask_bbox(masks(k, d)), 2),
@@ -84,6 +85,7 @@ SQL = {
     "p9_saturating_cast": T("dense") + " SELECT scan_id, z, y, x, least(greatest(round_even(v * 2.5::DOUBLE - 100, 0), 0), 255)::INT AS v FROM dense",
     "s6_frame_manifest": "SELECT l_suppkey AS file, count(*) AS n, (count(*) - 1)::INT AS last FROM lineitem WHERE l_linenumber = 1 GROUP BY 1",
     "s8_distances_wide": "SELECT o_custkey AS scan_id, " + ", ".join(f"max(CASE WHEN o_orderkey % 12 = {i} THEN o_totalprice / 1e6 END) AS d{i}" for i in range(3)) + " FROM orders GROUP BY 1",
+    "s8_distances_wide_all": "SELECT o_custkey AS scan_id, " + ", ".join(f"max(CASE WHEN o_orderkey % 12 = {i} THEN o_totalprice / 1e6 END) AS d{i}" for i in range(12)) + " FROM orders GROUP BY 1",
     "u3_unique_faces": T("points") + f", {_STRIP} SELECT mesh_id, a AS face_id FROM f",
     "u3_referenced_vertices": T("points") + f", {_STRIP} SELECT mesh_id, a AS vertex_id FROM f UNION SELECT mesh_id, b FROM f UNION SELECT mesh_id, c FROM f",
 }

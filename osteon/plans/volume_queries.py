@@ -57,7 +57,7 @@ QUERIES = {
     "w18_interest_points": lambda k, d: s.interest_points(dense(k, d), dense(k, d).where("v > 100"), 1, 10, 2).select(*CELLS, F.round("var", 6).alias("var")),
     "w19_radial_descriptor": lambda k, d: s.radial_descriptor(dense(k, d), dense(k, d).where("v > 180").withColumn("id", F.col("z") * 16 + F.col("y") * 4 + F.col("x")), 2, 3).select("scan_id", "id", F.size("vector").alias("n")),
     "w20_clip_window": lambda k, d: p.clip_window(table(k, d, "lineitem").groupBy(F.col("l_suppkey").alias("scan_id")).agg((F.min("l_partkey") % 40).alias("prompt"), F.lit(40).cast("long").alias("slices")), 8),
-    "w21_nlm_denoise": lambda k, d: s.nlm_denoise(dense(k, d).where("scan_id < 1000000"), 10.0, 1, 1),
+    "w21_nlm_denoise": lambda k, d: s.nlm_denoise(dense(k, d), 10.0),
     "w22_settings_key": lambda k, d: p.settings_key(scans(k, d).select(F.col("scan_id").alias("run"), F.create_map(F.lit("voxel"), F.col("scan_id").cast("string"), F.lit("name"), F.col("name")).alias("settings"))),
     "a16_resample_isotropic": lambda k, d: s.resample_isotropic(dense(k, d), (4, 4, 4), (2, 4, 8)),
     "a40_component_stats": lambda k, d: g.component_stats(grid_faces(k, d), grid_faces(k, d).select("mesh_id", "face_id", (F.col("face_id") % 5 + 1.0).alias("area"))).select("mesh_id", "component", "vertices", "faces", "area", "kept"),

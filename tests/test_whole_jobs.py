@@ -53,3 +53,36 @@ def test_surfaces_are_whole(spark, small):
     corners = np.array([c for f in faces.values() for c in f])
     least = 0.005 * np.linalg.norm(corners.max(0) - corners.min(0))
     assert set(run("j19_keep_landmarks_near")) == {k for k, d in want.items() if d <= least}
+
+
+def test_denoise_is_whole(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, [float(v) for v in rng.normal(0, 0.125, 64)]) for i in (3, 1_000_000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for scan, e in vectors(spark, str(tmp_path)).items():
+        v = np.clip(np.rint((e + 1) * 127.5), 0, 255).reshape(4, 4, 4)
+        inside = lambda q: all(0 <= c < 4 for c in q)
+        for at in np.ndindex(v.shape):
+            top = low = 0.0
+            for step in np.ndindex(5, 5, 5):
+                t = np.array(step) - 2
+                if not inside(at + t):
+                    continue
+                patch = [np.array(at) + np.array(d) - 1 for d in np.ndindex(3, 3, 3)]
+                gaps = [(v[tuple(q)] - v[tuple(q + t)]) ** 2 for q in patch if inside(q) and inside(q + t)]
+                w = np.exp(-np.mean(gaps) / 200)
+                top, low = top + w * v[tuple(at + t)], low + w
+            want[(scan, *at)] = top / low
+    got = {(r.scan_id, r.z, r.y, r.x): r.v for r in QUERIES["w21_nlm_denoise"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_wide_distances_are_whole(spark, sf_dir):
+    df = QUERIES["s8_distances_wide_all"](spark, sf_dir)
+    assert df.columns == ["scan_id", *[f"d{i}" for i in range(12)]]
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice").collect():
+        key = (r.o_custkey, r.o_orderkey % 12)
+        want[key] = max(float(r.o_totalprice) / 1e6, want.get(key, 0.0))
+    assert {(r.scan_id, i): r[f"d{i}"] for r in df.collect() for i in range(12) if r[f"d{i}"] is not None} == pytest.approx(want)
