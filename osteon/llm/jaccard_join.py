@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import read, written
 from .words import Run, mix, runs, shingles
@@ -289,25 +290,55 @@ def labeled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return shared.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def row_components(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def by_component(docs: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid, n_shingles) of every row, and (sid, low, label): each set's lowest doc_id and its component's label."""
     rows, labels = set_components(docs, near)
     ids = rows.groupBy("sid").agg(F.min("doc_id").alias("low")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return rows, ids
+
+
+def row_components(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows, ids = by_component(docs, near)
     lowest = ids.groupBy("label").agg(F.min("low").alias("component_id"))
     by_set = ids.select("sid", "label").join(lowest, "label").select("sid", "component_id")
     joined = rows.join(by_set, "sid", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def set_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with its set id, and whether it has shingles; text is the column named __text."""
+    for batch in batches:
+        ids, worded = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+        for run in runs(batch.column(batch.schema.get_field_index("__text")), most=RUN_BYTES):
+            grams, ptr = sets_of(run)
+            ids[run.first : run.first + run.rows] = set_ids(grams, ptr)
+            worded[run.first : run.first + run.rows] = np.diff(ptr) > 0
+        kept = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(ids), pa.array(worded)], names=[*[batch.schema.names[i] for i in kept], "__sid", "__worded"])
+
+
 def keep_one(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """One row of each component, the one with the lowest doc_id; rows without words stay."""
-    found = written(row_components(docs, near))
-    dropped = written(found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(sized(dropped), "doc_id", "left_anti")
-    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    """One row of each component, the one with the lowest doc_id (nulls last), then sid; rows without words stay.
+
+    Rows are told apart by doc_id and set id, so a doc_id that stands on unrelated texts keeps them all.
+    """
+    rows, ids = by_component(docs, near)
+    worded = written(rows.where("n_shingles > 0").groupBy("sid", "doc_id").agg(F.count("*").alias("n")))
+    order = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sid")).alias("f")
+    chosen = ids.join(worded.select("sid").distinct(), "sid", "left_semi").groupBy("label").agg(order).select(F.col("f.sid").alias("sid"), F.col("f.low").alias("low"))
+    judged = worded.join(chosen.withColumn("found", F.lit(True)), "sid", "left")
+    first = F.coalesce(F.col("found"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("low"))
+    marked = written(judged.select(F.col("sid").alias("__s"), F.col("doc_id").alias("__d"), first.alias("__first"), (F.col("n") > 1).alias("__many")).where("NOT __first OR __many"))
+    schema = StructType([*docs.schema.fields, StructField("__sid", LongType()), StructField("__worded", BooleanType())])
+    dealt = docs.withColumn("__text", F.col("text")).mapInArrow(set_of_rows, schema)
+    same = F.col("__worded") & (F.col("__sid") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    kept = dealt.join(sized(marked), same, "left_anti").drop("__sid", "__worded")
+    several = written(marked.where("__first"))
+    if not several.limit(1).count():
         return kept
-    first = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return first.unionByName(kept.where("doc_id IS NULL"))
+    one = dealt.join(sized(several), same).dropDuplicates(["__sid"])
+    return kept.unionByName(one.select(*docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,14 @@ def test_jaccard_components(spark, hard, empty):
     assert jaccard_join.row_components(empty).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(1, say("a")), (1, say("b")), (2, say("a")), (2, say("c")), (3, say("a")), (3, say("a")), (None, say("d")), (None, say("d")), (None, say("d")), (5, say("e")), (5, say("e")), (7, ""), (7, None), (1, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, say("a")), (1, say("b")), (2, say("c")), (None, say("d")), (5, say("e")), (7, ""), (7, None), (1, "")]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(want)
+
+
 def test_mixing(spark, hard, empty):
     plan = mixing.mixing_plan(hard)
     rows = plan.collect()
