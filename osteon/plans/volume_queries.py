@@ -69,7 +69,7 @@ QUERIES = {
     "i4_proximity_weld": lambda k, d: g.proximity_weld(as_mesh(k, d), grid_faces(k, d), 0.2)[0].select("mesh_id", "vertex_id"),
     "i5_greedy_decorrelate": lambda k, d: g.greedy_decorrelate(points(k, d).select("id", F.round(F.abs("x"), 3).alias("variance")), s_pairs(k, d)),
     "i6_farthest_points": lambda k, d: g.farthest_points(subjects(k, d), 5),
-    "i7_icp_batch": lambda k, d: g.icp_batch(subjects(k, d).withColumn("x", F.col("x") + 0.05), triangles(k, d).withColumnRenamed("mesh_id", "scan_id"), 0.05, rounds=3).select("scan_id", "id"),
+    "i7_icp_batch": lambda k, d: g.icp_batch(subjects(k, d).withColumn("x", F.col("x") + 0.05), triangles(k, d).withColumnRenamed("mesh_id", "scan_id"), 0.05),
     "i10_hysteresis": lambda k, d: g.hysteresis(dense(k, d), 130, 150),
     "i11_semi_landmarks": lambda k, d: g.semi_landmarks(g.mesh_edges(grid_faces(k, d)).select("a", "b"), points(k, d).select("id", "x", "y", "z"), g.mesh_edges(grid_faces(k, d)).groupBy("mesh_id").agg(F.min("a").alias("start"), F.min("b").alias("goal")).withColumnRenamed("mesh_id", "pair"), 3).select("pair", "idx"),
 }

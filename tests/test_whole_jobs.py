@@ -86,3 +86,30 @@ def test_wide_distances_are_whole(spark, sf_dir):
         key = (r.o_custkey, r.o_orderkey % 12)
         want[key] = max(float(r.o_totalprice) / 1e6, want.get(key, 0.0))
     assert {(r.scan_id, i): r[f"d{i}"] for r in df.collect() for i in range(12) if r[f"d{i}"] is not None} == pytest.approx(want)
+
+
+def test_icp_returns_moved_points(spark, small):
+    points = {k: v[:3] * 10 + [0.05, 0, 0] for k, v in vectors(spark, small).items()}
+    scan = {r.vec_id: r.label for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    df = QUERIES["i7_icp_batch"](spark, small)
+    got = {r.id: np.array([r.x, r.y, r.z]) for r in df.collect()}
+    assert df.columns == ["scan_id", "id", "x", "y", "z"] and set(got) == set(points)
+    for s in (0, 1):
+        own = [k for k in points if scan[k] == s]
+        faces = [f for k, f in faces_at({k: points[k] - [0.05, 0, 0] for k in own}).items()]
+        gap = lambda at: np.median([min(np.linalg.norm(at[k] - on_triangle(at[k], *f)) for f in faces) for k in own])
+        assert gap(got) < gap(points)
+        # the move is rigid
+        far = lambda at: np.linalg.norm(np.array([at[k] for k in own])[:, None] - np.array([at[k] for k in own]), axis=2)
+        assert far(got) == pytest.approx(far(points))
+
+
+def test_poses_are_of_all_tries(spark, small, monkeypatch):
+    from osteon.operators import pose
+
+    asked = []
+    real = pose.ransac_rigid
+    monkeypatch.setattr(pose, "ransac_rigid", lambda m, tries=200, *a, **k: asked.append(tries) or real(m, tries, *a, **k))
+    rows = QUERIES["i8_ransac_rigid"](spark, small).collect()
+    # matches are an exact transform, so all poses but the best are within 8 degrees of it
+    assert asked == [200] and sorted((r.scan_id, r.r21, r.t_z) for r in rows) == [(0, 1.0, 3.0), (1, 1.0, 3.0)]
