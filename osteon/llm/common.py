@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's bound on the bytes of an Arrow batch, its default, and the bound that holds instead.
+BATCH_SETTING, WIDE_BATCHES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 2 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -40,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def in_batches(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; a bound that the session already has stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING) == WIDE_BATCHES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

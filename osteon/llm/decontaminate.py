@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, read, without
+from .common import ascii_lower, in_batches, read, without
 from .words import WORD, hash_of, runs, shingles
 
 WINDOW, BLOCK_WINDOWS = 10, 200_000
@@ -103,7 +103,7 @@ def count_shingles(docs: DataFrame, index: Index) -> dict[int, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counts = in_batches(docs.select("text"), count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     return {int(wanted[r["at"]]): r.n for r in counts.collect()} if len(wanted) else {}
 
 
@@ -150,7 +150,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_wind
     for block in range(blocks):
         index = Index(windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect())
         index.order(count_shingles(base, index))
-        out = out.mapInArrow(join_with(docs.sparkSession.sparkContext.broadcast(index), schema), schema)
+        out = in_batches(out, join_with(docs.sparkSession.sparkContext.broadcast(index), schema), schema)
     return out
 
 

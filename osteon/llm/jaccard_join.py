@@ -6,14 +6,17 @@ by hash; linked sets share a shingle among the first n - ceil(0.9 n) + 1 of each
 those are indexed. An index list is divided into blocks of sizes: a set looks into the blocks that its
 size lets it match, and a pair is skipped when the positions of the shared shingle leave too little behind it.
 
-Relations between sets spare the rest. In each of a few rounds every set is compared with one set only, drawn
-from its index lists by a hash of the round; a set that is linked to it takes over its answers, that is, its
-component, and no pair inside a component is compared any more. The rounds take partners that share many shingles of
-the prefix; they may miss links. In a big group of copies this takes a few
-comparisons a set. At the end, what is left is compared exhaustively: in each list, the sets outside its main
-component against the sets of other components. So every link between components is found, and the components
+Relations between sets spare the rest. In each round a set is compared with a few others only, drawn from its
+index lists by hashes of the round; a set that is linked to one of them takes over its answers, that is, its
+component, and no pair inside a component is compared any more, nor a list that holds one component only. Rounds take
+partners that share many shingles of the prefix, and more of them from round to round, until what the lists still
+hold of different components is no more than a pass over them. Then the sets outside a list's main component
+are compared with all sets of other components in it. So every link between components is found, and the components
 are exact, without listing the pairs of a group.
 
+Before two sets are brought together, 512 parities of each (every member flips one) are compared: each parity that
+differs needs a member that only one of the sets has, so too many of them rule the pair out.
+
 Null texts, and texts without words, have an empty set, are linked with nothing and are their own component.
 Repeated rows are copies. Rows with null doc_id take part, but give no id to a component: theirs is the least id
 of the others, or null. Empty tables give empty results. Input columns named as the added ones are replaced.
@@ -28,17 +31,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import read, written
+from .common import in_batches, read, written
 from .words import Run, mix, runs, shingles
 
-SHINGLE, NEAR, ROUNDS = 3, 90, 3
+SHINGLE, NEAR = 3, 90
+#: Partners of a set in each round.
+PARTNERS = (4, 8, 8)
+PARITIES = 512
+MARKS = [f"mark{i}" for i in range(PARITIES // 64)]
+#: Those of them that travel with the lists in the last pass.
+FEW_MARKS = MARKS[:4]
 CELLS, SLICES, RUN_BYTES = 1 << 20, 16, 2 << 20
+#: Sets that a task remembers, so as to index copies once; forgetting them only costs repeated rows.
+SEEN = 100_000
 #: Ids that are broadcast to a table that is filtered by them; more of them are joined by a shuffle.
 BROADCAST_IDS = 500_000
 ZSTD = pa.Codec("zstd", 1)
-DESCRIBED = "doc_id long, sid long, n_shingles long, slice int, cells binary"
+DESCRIBED = "doc_id long, text_hash long, sid long, n_shingles long, slice int, cells binary"
 
 
 def sets_of(run: Run, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +82,9 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, set id and set size of each row; at the end, how many of the rows' sets touch each cell."""
+    """doc_id, text_hash, set id and set size of each row; at the end, how many of the rows' sets touch each cell."""
     counts = np.zeros(CELLS, np.int64)
-    names = ["doc_id", "sid", "n_shingles", "slice", "cells"]
+    names = ["doc_id", "text_hash", "sid", "n_shingles", "slice", "cells"]
     for batch in batches:
         ids = np.zeros(batch.num_rows, np.int64)
         sizes = np.zeros(batch.num_rows, np.int64)
@@ -84,10 +94,10 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes[run.first : run.first + run.rows] = np.diff(ptr)
             counts += np.bincount(cell(grams), minlength=CELLS)
         nulls = pa.nulls(batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(sizes), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids), pa.array(sizes), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names=names)
     rows = list(packed(np.minimum(counts, 2**32 - 1)))
     none = pa.nulls(len(rows)).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=names)
 
 
 def add_cells(table: pa.Table) -> pa.Table:
@@ -115,12 +125,14 @@ def needed(n, near: int = NEAR):
 
 
 def index_prefixes(frequency, near: int):
-    """(token, sid, n, pos) of the prefix of each distinct set of a batch."""
+    """(token, sid, n, pos) of the prefix of each set; copies that a task remembers are left out."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.minimum(frequency.value, (1 << 20) - 1).astype(np.uint64)
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
+            if len(seen) > SEEN:
+                seen.clear()
             for run in runs(batch.column(0), most=RUN_BYTES):
                 grams, ptr = sets_of(run)
                 ids = set_ids(grams, ptr)
@@ -147,19 +159,33 @@ def place(ids: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return cell(mix(ids.view(np.uint64) + mix(docs.view(np.uint64))))
 
 
+def parities(grams: np.ndarray, ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the cells that members are dealt to hold an odd number of them, for the sets at; as 64-bit words."""
+    out = np.zeros((len(at), PARITIES // 64), np.int64)
+    for k, i in enumerate(at):
+        odd = np.bincount((grams[ptr[i] : ptr[i + 1]] % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+        out[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return out
+
+
 def sets_in(wanted):
-    """(sid, members) of the rows whose cell of set id and doc_id is wanted."""
+    """sid, size, parities and members of the rows whose cell of set id and doc_id is wanted; copies may repeat a set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
             docs = np.asarray(batch.column(0).fill_null(-1)).astype(np.int64)
             for run in runs(batch.column(1), most=RUN_BYTES):
                 grams, ptr = sets_of(run)
                 ids = set_ids(grams, ptr)
                 at = np.flatnonzero(wanted.value[place(ids, docs[run.first : run.first + run.rows])] & (np.diff(ptr) > 0))
+                at = np.array([i for i in at.tolist() if ids[i] not in seen and not seen.add(ids[i])], np.int64)
                 if len(at):
                     members = [grams[ptr[i] : ptr[i + 1]].tobytes() for i in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(members, pa.binary())], names=["sid", "members"])
+                    marks = parities(grams, ptr, at)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.diff(ptr)[at], pa.int64()), *[pa.array(np.ascontiguousarray(m)) for m in marks.T], pa.array(members, pa.binary())], names=["sid", "size", *MARKS, "members"])
 
     return emit
 
@@ -187,13 +213,26 @@ def verify(near: int):
     return check
 
 
-def linked(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """The pairs (a written table) whose sets are near enough; only the sets that they name are moved."""
+def apart(left: str, right: str, marks: list[str]):
+    """In how many of the parities two sets differ, and so have members apart at least."""
+    return sum((F.bit_count(F.col(left + m).bitwiseXOR(F.col(right + m))) for m in marks), F.lit(0))
+
+
+def possible(pairs: DataFrame, marked: DataFrame, near: int) -> DataFrame:
+    """The pairs whose parities differ in no more places than linked sets may have members apart."""
+    marks = lambda side: marked.select(F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), *[F.col(m).alias(f"{side}_{m}") for m in MARKS])
+    both = pairs.join(marks("a"), "a").join(marks("b"), "b")
+    return both.where((100 + near) * apart("a_", "b_", MARKS) <= (100 - near) * (F.col("a_size") + F.col("b_size"))).select("a", "b").distinct()
+
+
+def linked(pairs: DataFrame, sets: DataFrame, marked: DataFrame, near: int) -> DataFrame:
+    """The pairs (a written table) whose sets are near enough; only the members that possible pairs name are moved."""
+    pairs = written(possible(pairs, marked, near))
     ids = written(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
-    named = sets.join(sized(ids), "sid", "left_semi")
+    named = sets.select("sid", "members").join(sized(ids), "sid", "left_semi").dropDuplicates(["sid"])
     left = pairs.join(named.select(F.col("sid").alias("a"), F.col("members").alias("left")), "a")
     both = left.join(named.select(F.col("sid").alias("b"), F.col("members").alias("right")), "b")
-    return written(both.select("a", "b", "left", "right").mapInArrow(verify(near), "a long, b long"))
+    return written(in_batches(both.select("a", "b", "left", "right"), verify(near), "a long, b long"))
 
 
 def sized(ids: DataFrame) -> DataFrame:
@@ -216,11 +255,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def alike(near: int):
+    """That two sets, sized n and m, can be linked as far as their sizes say."""
+    return 100 * F.greatest("n", "m") * near <= 10_000 * F.least("n", "m")
+
+
 def reaches(near: int):
-    """That two sets, sized n and m, with a shared shingle at p and q, can be linked as far as these say."""
+    """That two sets, sized n and m, can be linked if the first shingle that they share is at p and q."""
     n, m, p, q = F.col("n"), F.col("m"), F.col("pos"), F.col("q")
-    enough = 100 * F.greatest(n, m) * near <= 10_000 * F.least(n, m)
-    return enough & ((100 + near) * (F.least(n - p, m - q)) >= near * (n + m))
+    return alike(near) & ((100 + near) * (F.least(n - p, m - q)) >= near * (n + m))
 
 
 def least_common(near: int):
@@ -237,61 +280,84 @@ def indexed(near: int):
     return place <= short - F.ceil(2 * near * short / (100 + near))
 
 
-def set_components(docs: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n_shingles) of every row, and (sid, label) of the sets that have links."""
+def drawn(active: DataFrame, turn: int, partners: int, near: int) -> DataFrame:
+    """(a, b): each set with up to `partners` leaders of its lists, those that share the most prefix shingles with it.
+
+    Half of the leaders are drawn by hash alone; the others are sets that have few rarer shingles than the list's, which
+    are in the middle of their group.
+    """
+    own, coin = F.struct("sid", "n", "label"), lambda j: F.xxhash64(F.lit(turn), F.lit(j), F.col("sid"))
+    order = lambda j: F.struct(coin(j)) if j % 2 else F.struct(F.shiftright("pos", j // 2), coin(j))
+    active = active.repartition("token")  # narrow rows move, not the wide buffers of all leaders
+    leaders = active.groupBy("token").agg(F.array_distinct(F.array(*[F.min_by(own, order(j)) for j in range(partners)])).alias("l"))
+    leaders = leaders.select("token", F.explode("l").alias("l"))
+    leaders = leaders.select("token", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.label").alias("other"))
+    met = active.join(leaders, "token").where((F.col("label") != F.col("other")) & alike(near))
+    both = met.groupBy(F.col("sid").alias("a"), "b", "n", "m").agg(F.count("*").alias("c")).where(2 * F.col("c") >= least_common(near))
+    ranked = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), F.xxhash64(F.lit(turn), F.col("b")).alias("h"), "b"))), 1, partners).alias("p"))
+    pairs = ranked.select("a", F.explode("p.b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def several(known: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with whether theirs is the main one, and the list's length."""
+    known = known.repartition("token")
+    per_label = known.groupBy("token", "label").agg(F.count("*").alias("k"))
+    mains = per_label.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), F.sum("k").alias("length"))
+    mains = mains.where("labels > 1").select("token", F.col("main.label").alias("main"), "length")
+    return known.join(mains, "token").select("token", "sid", "n", "pos", "label", (F.col("label") == F.col("main")).alias("central"), "length")
+
+
+def set_components(docs: DataFrame, near: int = NEAR, partners: tuple[int, ...] = PARTNERS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, sid, n_shingles) of every row, and (sid, label) of the sets that have links."""
     spark = docs.sparkSession
-    described = written(docs.select("doc_id", "text").mapInArrow(describe, DESCRIBED))
-    rows = described.where("slice IS NULL").select("doc_id", "sid", "n_shingles")
+    described = written(in_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), describe, DESCRIBED))
+    rows = described.where("slice IS NULL").select("doc_id", "text_hash", "sid", "n_shingles")
     frequency = spark.sparkContext.broadcast(sketch(described.where("slice IS NOT NULL")).astype(np.uint32))
-    texts = docs.select("text")
-    index = texts.mapInArrow(index_prefixes(frequency, near), "token long, sid long, n int, pos int")
+    index = in_batches(docs.select("text"), index_prefixes(frequency, near), "token long, sid long, n int, pos int")
     by_size = W.partitionBy("token").orderBy("n", "sid")
     dealt = index.repartition("token").distinct()
     beside = dealt.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
     reached = (100 * F.col("smaller") >= near * F.col("n")) | (100 * F.col("n") >= near * F.col("larger"))
     shared = written(beside.where(reached).select("token", "sid", "n", "pos"))
+    room = shared.count()
     first = rows.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
     chosen = first.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "doc_id")
-    wanted = sketch(chosen.mapInArrow(count_ids, "slice int, cells binary")) > 0
-    sets = written(docs.select("doc_id", "text").mapInArrow(sets_in(spark.sparkContext.broadcast(wanted)), "sid long, members binary"))
-    links, tried, labels = None, None, None
-    for k in range(rounds):
-        known = labeled(shared, labels)
-        turn = F.xxhash64(F.lit(k), F.col("sid"))
-        leaders = known.groupBy("token").agg(F.min(F.struct(turn.alias("h"), "sid", "n", "pos", "label")).alias("l"))
-        leaders = leaders.select("token", F.col("l.sid").alias("b"), F.col("l.n").alias("m"), F.col("l.pos").alias("q"), F.col("l.label").alias("other"), "l.h")
-        met = known.join(leaders, "token").where((F.col("label") != F.col("other")) & reaches(near))
-        both = met.groupBy(F.col("sid").alias("a"), "b", "h", "n", "m").agg(F.count("*").alias("c")).where(2 * F.col("c") >= least_common(near))
-        pairs = both.groupBy("a").agg(F.min(F.struct((-F.col("c")).alias("c"), "h", "b")).alias("c")).select("a", F.col("c.b").alias("b"))
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = sketch(in_batches(chosen, count_ids, "slice int, cells binary")) > 0
+    members = f"sid long, size long, {' long, '.join(MARKS)} long, members binary"
+    sets = written(in_batches(docs.select("doc_id", "text"), sets_in(spark.sparkContext.broadcast(wanted)), members))
+    marked = written(sets.drop("members").dropDuplicates(["sid"]))
+    links = tried = None
+    active = shared.withColumn("label", F.col("sid"))
+    for turn, most in enumerate(partners):
+        pairs = written(drawn(active, turn, most, near))
         tried = pairs if tried is None else tried.union(pairs)
-        found = linked(pairs, sets, near)
+        found = linked(pairs, sets, marked, near)
         links = found if links is None else links.union(found)
+        if turn and not found.limit(1).count():
+            break
         labels = components(links)
-    known = labeled(shared, labels)
-    per_label = known.groupBy("token", "label").agg(F.count("*").alias("k"))
-    mains = per_label.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
+        active = written(several(labeled(active.drop("label", "central", "length"), labels)))
+        if (active.where("NOT central").agg(F.sum("length")).first()[0] or 0) <= room:
+            break
     block = F.floor(F.log("n") / F.log(F.lit(100 / near)))
-    mixed = written(known.join(mains, "token").withColumn("block", block))
-    outside = mixed.where("label <> main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    others = mixed.select("token", "block", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("other"), (F.col("label") == F.col("main")).alias("central"))
-    met = outside.join(others, ["token", "block"]).where((F.col("label") != F.col("other")) & (F.col("central") | (F.col("sid") < F.col("b"))) & indexed(near) & reaches(near))
+    active = active.join(sized(marked.select("sid", *FEW_MARKS)), "sid")
+    outside = active.where("NOT central").withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    others = active.select("token", block.alias("block"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("other"), F.col("central").alias("other_central"), *[F.col(m).alias(f"b_{m}") for m in FEW_MARKS])
+    close = (100 + near) * apart("", "b_", FEW_MARKS) <= (100 - near) * (F.col("n") + F.col("m"))
+    met = outside.join(others, ["token", "block"]).where((F.col("label") != F.col("other")) & (F.col("other_central") | (F.col("sid") < F.col("b"))) & indexed(near) & reaches(near) & close)
     rest = met.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-    if tried is not None:
-        rest = rest.join(tried.distinct(), ["a", "b"], "left_anti")
-    found = linked(written(rest), sets, near)
-    return rows, components(found if links is None else links.union(found))
+    rest = rest.join(tried.distinct(), ["a", "b"], "left_anti")
+    return rows, components(links.union(linked(rest, sets, marked, near)))
 
 
-def labeled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def labeled(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """shared with the label of each set's component so far."""
-    if labels is None:
-        return shared.withColumn("label", F.col("sid"))
-    return shared.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return shared.join(sized(labels), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
 def by_component(docs: DataFrame, near: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid, n_shingles) of every row, and (sid, low, label): each set's lowest doc_id and its component's label."""
+    """(doc_id, text_hash, sid, n_shingles) of every row, and (sid, low, label): each set's lowest doc_id and its component's label."""
     rows, labels = set_components(docs, near)
     ids = rows.groupBy("sid").agg(F.min("doc_id").alias("low")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     return rows, ids
@@ -306,38 +372,26 @@ def row_components(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def set_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row with its set id, and whether it has shingles; text is the column named __text."""
-    for batch in batches:
-        ids, worded = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
-        for run in runs(batch.column(batch.schema.get_field_index("__text")), most=RUN_BYTES):
-            grams, ptr = sets_of(run)
-            ids[run.first : run.first + run.rows] = set_ids(grams, ptr)
-            worded[run.first : run.first + run.rows] = np.diff(ptr) > 0
-        kept = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(ids), pa.array(worded)], names=[*[batch.schema.names[i] for i in kept], "__sid", "__worded"])
-
-
 def keep_one(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """One row of each component, the one with the lowest doc_id (nulls last), then sid; rows without words stay.
+    """One row of each component, the one with the lowest doc_id (nulls last), then sid, then text hash; rows without words stay.
 
-    Rows are told apart by doc_id and set id, so a doc_id that stands on unrelated texts keeps them all.
+    Rows are told apart by doc_id and a 64-bit hash of the text, so a doc_id that stands on unrelated texts keeps them
+    all; of rows equal in both, one stays.
     """
-    rows, ids = by_component(docs, near)
-    worded = written(rows.where("n_shingles > 0").groupBy("sid", "doc_id").agg(F.count("*").alias("n")))
-    order = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "sid")).alias("f")
-    chosen = ids.join(worded.select("sid").distinct(), "sid", "left_semi").groupBy("label").agg(order).select(F.col("f.sid").alias("sid"), F.col("f.low").alias("low"))
-    judged = worded.join(chosen.withColumn("found", F.lit(True)), "sid", "left")
-    first = F.coalesce(F.col("found"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("low"))
-    marked = written(judged.select(F.col("sid").alias("__s"), F.col("doc_id").alias("__d"), first.alias("__first"), (F.col("n") > 1).alias("__many")).where("NOT __first OR __many"))
-    schema = StructType([*docs.schema.fields, StructField("__sid", LongType()), StructField("__worded", BooleanType())])
-    dealt = docs.withColumn("__text", F.col("text")).mapInArrow(set_of_rows, schema)
-    same = F.col("__worded") & (F.col("__sid") == F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    kept = dealt.join(sized(marked), same, "left_anti").drop("__sid", "__worded")
-    several = written(marked.where("__first"))
-    if not several.limit(1).count():
+    rows, labels = set_components(docs, near)
+    worded = written(rows.where("n_shingles > 0").groupBy("sid", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "text_hash")).alias("f")
+    first = worded.groupBy("label").agg(order).select(F.col("f.sid").alias("s"), F.col("f.doc_id").alias("d"), F.col("f.text_hash").alias("t"), F.lit(True).alias("found"))
+    same_row = (F.col("sid") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    judged = worded.join(first, same_row, "left").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.coalesce("found", F.lit(False)).alias("__first"), (F.col("n") > 1).alias("__many"))
+    marked = written(judged.where("NOT __first OR __many"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text_hash") == F.col("__h"))
+    kept = hashed.join(sized(marked), same, "left_anti").drop("__text_hash")
+    repeated = written(marked.where("__first"))
+    if not repeated.limit(1).count():
         return kept
-    one = dealt.join(sized(several), same).dropDuplicates(["__sid"])
+    one = hashed.join(sized(repeated), same).dropDuplicates(["doc_id", "__text_hash"])
     return kept.unionByName(one.select(*docs.columns))
 
 

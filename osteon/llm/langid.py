@@ -22,11 +22,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc, read, without
+from .common import crc, in_batches, read, without
 from .words import KEEP, M1, WORD, Run, runs
 
 PER_LABEL, BITS, EPOCHS, SEED = 300, 16, 3, 8
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 AFFIXES, LONG = 4, 64
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: tuple, names: tuple[str, str] = ("lang_pred
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return base.withColumn("__letters", letters).mapInArrow(label, schema)
+    return in_batches(base.withColumn("__letters", letters), label, schema)
 
 
 def train(docs: DataFrame, learn: Column, label: str = "lang", per_label: int = PER_LABEL) -> tuple:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, read, without
+from .common import in_batches, partitions, read, without
 from .words import STEPS, Run, mix, runs
 
 BITS, RADIUS, BLOCKS = 64, 3, 6
@@ -95,7 +95,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             f = fingerprints(batch.column(batch.schema.get_field_index("text"))).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(f)], names=schema.names)
 
-    return base.mapInArrow(add, schema)
+    return in_batches(base, add, schema)
 
 
 def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -173,4 +173,4 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = partitions(spark)
     dealt = in_order(read(spark, sf_dir, "documents").select("doc_id", "text"), parts).repartition(parts, "part")
     ordered = dealt.sortWithinPartitions("part", "sent", F.col("doc_id").asc_nulls_last(), "h", "text")
-    return ordered.select("doc_id", "text", "part", "sent").mapInArrow(compare_next, QUERY)
+    return in_batches(ordered.select("doc_id", "text", "part", "sent"), compare_next, QUERY)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc, read, without
+from .common import crc, in_batches, read, without
 from .words import KEEP, M1, WORD, Run, runs
 
 PER_CLASS, BITS, THRESHOLD = 2500, 18, 0.7
@@ -147,7 +147,7 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, float], threshold: flo
                 score[run.first : run.first + run.rows] = np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(logit, -700, 700))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return base.mapInArrow(add, schema)
+    return in_batches(base, add, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
