@@ -96,15 +96,63 @@ def test_base_spans(spark):
         assert [(x.start, x.rank, x.end, x.kind) for x in r.s] == plain_spans(texts[r.doc_id])
 
 
-def test_disclosing_terms(spark, hard, empty):
-    rows = [(i, f"filler{i} alpha beta zorgblat jo@ex.org gamma{i} delta end{i}") for i in range(6)] + [(10 + i, f"alpha beta delta plain{i} text") for i in range(40)] + [(99, "the Zorgblat again")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.sanitise(df, support=3, generalise=0.5, remove=2.0).collect()}
-    assert got[99].sanitised == "the [TERM] again" and got[10].sanitised == rows[6][1]
-    assert "[EMAIL]" in got[0].sanitised and "zorgblat" not in got[0].sanitised
+def plain_terms(texts, reach=pii.REACH, support=pii.SUPPORT, sure=pii.SURE, generalise=pii.GENERALISE):
+    """Disclosing terms and their disclosure, by loops."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    in_word = lambda c: c.isdigit() and c.isascii() or "a" <= c.lower() <= "z" or ord(c) > 127
+    terms_of = lambda t: [w for w in "".join(c if in_word(c) else " " for c in t.translate(lower)).split(" ") if w and not (w.isascii() and w.isdigit())]
+    occurrences = Counter(w for t in texts for w in terms_of(t or ""))
+    total, both, seen, mentions, near = sum(occurrences.values()), Counter(), {}, Counter(), Counter()
+    for t in texts:
+        for start, _, end, kind in plain_spans(t):
+            left, right = t[max(start - reach, 0) : start], t[end : end + reach]
+            left = left.lstrip("".join(c for c in set(left) if in_word(c))) if start > reach else left
+            right = right.rstrip("".join(c for c in set(right) if in_word(c))) if len(t) > end + reach else right
+            words_near = set(terms_of(left + "\n" + right))
+            for e in (kind, f"{kind}:{t[start:end]}"):
+                mentions[e] += 1
+                near[e] += len(words_near)
+                for w in words_near:
+                    both[e, w] += 1
+                    seen.setdefault((e, w), set()).add(left + "\n" + right)
+    out = {}
+    for (e, w), k in both.items():
+        n, p, ic = max(occurrences[w], k), min(near[e] / total, 0.999999), np.log2(total / mentions[e])
+        ratio = 2 * (k * np.log(k / (n * p)) + ((n - k) * np.log((n - k) / (n * (1 - p))) if n > k else 0)) if k > n * p else 0
+        gives = 1 + np.log2(min(k / (occurrences[w] + 1), 1)) / ic if ic > 0 else 0
+        if len(seen[e, w]) >= support and ratio >= sure and gives >= generalise:
+            out[w] = max(gives, out.get(w, 0))
+    return out
+
+
+def test_disclosing_terms(spark, sf_dir, hard, empty):
+    """With the parameters of the query: planted terms are found, and all terms, spans and digests are those of the loops."""
+    rows = [(i, f"filler{i} alpha beta zorgblat Zq jo@ex.org gamma{i} delta end{i}") for i in range(6)] + [(10 + i, f"alpha beta delta plain{i} text") for i in range(40)] + [(99, "the Zorgblat again"), (100, None), (101, "call 李 at +1 (743) 555-3824 now"), (102, "so 李, that is +1 (743) 555-3824 then"), (99, "the Zorgblat again")]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    terms = plain_terms([t for _, t in rows])
+    assert {"zorgblat", "zq", "李"} <= set(terms) and not {"alpha", "beta", "delta", "the", "text"} & set(terms)
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "term_spans", "sanitised").collect()
+    for r in got:
+        text, base = (r.text or ""), plain_spans(r.text)
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), text)
+        want = sorted((m.start(), m.end()) for m in re.finditer(f"{pii.IN_WORD}+", low) if m.group() in terms and not any(s < m.end() and m.start() < e for s, _, e, _ in base))
+        assert [(x.start, x.end) for x in r.term_spans] == want
+        assert all(x.removed == (terms[x.value] >= pii.REMOVE) for x in r.term_spans)
+    by = {r.doc_id: r.sanitised for r in got}
+    assert by[99] in ("the [TERM] again", "the  again") and by[10] == rows[6][1] and "[EMAIL]" in by[0] and "zorgblat" not in by[0] and by[100] == ""
     assert pii.sanitise(hard).count() == len(TEXTS) and pii.sanitise(empty).count() == 0
 
 
+def test_pii_query(spark, sf_dir):
+    for r in pii.op2_pii(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        base = plain_spans(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in base).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for *_, k in base) for x in KINDS)
+        spans = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        assert [(int(s), int(e), k) for k, s, e in spans if k != "term"] == [(s, e, k) for s, _, e, k in base]
+        assert sum(k == "term" for k, _, _ in spans) == r.n_term
+
+
 def test_decontamination_blocks(spark, hard, empty):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the old"), (2, "Bücher"), (3, None), (None, "kurzer deutscher"), (4, "not here at all")], "item_id long, text string")
     one, many = (decontaminate.find_leaks(hard, items, block_windows=n).select("doc_id", "n_words", "hit_ranges", "items").collect() for n in (1000, 2))
