@@ -10,6 +10,9 @@ least 0. Two texts without terms have fingerprint 0 and likeness 1.
 a table for each choice of blocks - r blocks, keyed by those, finds every pair. Equal fingerprints are one
 class, joined through one representative.
 
+`search` answers queries with the same tables: which classes lie within the radius of each query's fingerprint. The
+query takes as queries every row whose doc_id is divisible by 50, against all rows.
+
 Null texts count as empty; equal texts have equal fingerprints; rows with equal doc_id are ordered by
 text; null doc_ids come last. Empty tables give empty results. Input columns named as added ones are replaced.
 """
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_batches, partitions, read, without
+from .common import in_batches, partitions, read, without, written
 from .words import STEPS, Run, mix, runs
 
-BITS, RADIUS, BLOCKS = 64, 3, 6
+BITS, RADIUS, BLOCKS, QUERY_EVERY = 64, 3, 6, 50
+#: Keys of queries that are broadcast to those of the classes; more of them are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 PAIR_WEIGHT = 2.0
 WAVE = 1 << 18
 
@@ -98,16 +103,35 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return in_batches(base, add, schema)
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Classes (fingerprint, doc_id of its lowest row, rows), and pairs a < b of classes at most radius bits apart."""
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+def classes_of(prints: DataFrame) -> DataFrame:
+    """fingerprint, doc_id of its lowest row, and rows of each class of equal fingerprints."""
+    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+
+
+def in_tables(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """table, key and fingerprint: each class once in every permuted table."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
     tables = []
     for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(masks[i] for i in chosen)
         tables.append(F.struct(F.lit(k).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)).alias("key")))
-    keyed = classes.select("fingerprint", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", "fingerprint")
+    return classes.select("fingerprint", F.explode(F.array(*tables)).alias("t")).select("t.table", "t.key", "fingerprint")
+
+
+def search(queries: DataFrame, classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """query, near and distance: the classes whose fingerprint is at most radius bits from the query's, itself included."""
+    asked = written(in_tables(queries.select("fingerprint").distinct(), radius, blocks).withColumnRenamed("fingerprint", "query"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+    apart = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
+    found = in_tables(classes, radius, blocks).join(asked, ["table", "key"]).where(apart <= radius)
+    return found.select("query", F.col("fingerprint").alias("near"), apart.alias("distance")).distinct()
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """Classes, and pairs a < b of classes at most radius bits apart."""
+    classes = classes_of(prints)
+    keyed = in_tables(classes, radius, blocks)
     other = keyed.withColumnRenamed("fingerprint", "b")
     found = keyed.withColumnRenamed("fingerprint", "a").join(other, ["table", "key"]).where("a < b")
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -173,4 +197,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = partitions(spark)
     dealt = in_order(read(spark, sf_dir, "documents").select("doc_id", "text"), parts).repartition(parts, "part")
     ordered = dealt.sortWithinPartitions("part", "sent", F.col("doc_id").asc_nulls_last(), "h", "text")
-    return in_batches(ordered.select("doc_id", "text", "part", "sent"), compare_next, QUERY)
+    rows = written(in_batches(ordered.select("doc_id", "text", "part", "sent"), compare_next, QUERY))
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    number = F.conv("fingerprint", 16, -10).cast("long")  # of 64 bits, signed
+    prints = rows.select("doc_id", number.alias("fingerprint"), asks.alias("asks"))
+    classes = classes_of(prints)
+    found = search(prints.where("asks"), classes).join(classes.select(F.col("fingerprint").alias("near"), "rows"), "near")
+    counts = found.groupBy("query").agg((F.sum("rows") - 1).alias("near_rows"), F.count("*").alias("near_classes"))
+    asking = rows.where(asks).withColumn("query", number).join(counts, "query", "left").drop("query")
+    return asking.unionByName(rows.where(~asks), allowMissingColumns=True)

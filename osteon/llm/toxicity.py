@@ -1,7 +1,11 @@
 """Toxicity: a logistic classifier that is regularised with counterfactuals.
 
+Swaps come from two sources: a list of identity terms, and pairs of words that the labelled sample shows to be
+interchangeable. Those stand in the same places (equal words before and after) at least `slots` times and are each
+used in at least `least` texts of label 0, so that they are neutral themselves: what labels them toxic is company.
+
 Features say which words a text has, and which first four and five bytes of words, hashed into one table.
-For every labelled text that names a group, the identity terms are swapped for others of the list; the loss
+For every labelled text that holds such terms, they are swapped for others of their row; the loss
 adds the squared change of the logit, so that the score doesn't hang on which group a sentence names. An L1
 penalty (proximal AdaGrad steps) leaves most weights at 0.
 
@@ -14,21 +18,23 @@ the added ones are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc, in_batches, read, without
+from .common import crc, in_batches, read, without, written
 from .words import KEEP, M1, WORD, Run, runs
 
 PER_CLASS, BITS, THRESHOLD = 2500, 18, 0.7
 L1, SWAP_PENALTY, STEPS, RATE = 4e-3, 0.5, 200, 0.5
 PREFIXES = (4, 5)
+LEAST_NEUTRAL, SLOTS, MOST_PAIRS = 20, 3, 200
 #: Terms that name groups; one of a row may stand for another of it.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -66,18 +72,42 @@ def distinct(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def swapped(words: list[str], shift: int, terms=IDENTITY_TERMS) -> list[str] | None:
-    """The words with each identity term replaced by the shift-th after it in its row; None without any."""
-    other = {t: row[(i + shift) % len(row)] for row in terms for i, t in enumerate(row)}
+def interchangeable(texts: list[str], labels: list[int], least: int = LEAST_NEUTRAL, slots: int = SLOTS, most: int = MOST_PAIRS) -> tuple[tuple[str, str], ...]:
+    """Pairs of neutral words with the most places in common, each word in one pair; ties by the words."""
+    split = [t.lower().split() for t in texts]
+    used = Counter(w for words, y in zip(split, labels, strict=True) if y == 0 for w in set(words))
+    neutral = {w for w, n in used.items() if n >= least}
+    places: dict[tuple[str, str], set[str]] = {}
+    for words in split:
+        for before, w, after in zip(words, words[1:], words[2:], strict=False):
+            if w in neutral:
+                places.setdefault((before, after), set()).add(w)
+    common = Counter(pair for here in places.values() if len(here) > 1 for pair in combinations(sorted(here), 2))
+    found, taken = [], set()
+    for (a, b), n in sorted(common.items(), key=lambda x: (-x[1], x[0])):
+        if n < slots or len(found) == most:
+            break
+        if a not in taken and b not in taken:
+            found.append((a, b))
+            taken |= {a, b}
+    return tuple(found)
+
+
+def swapped(words: list[str], other: dict[str, str]) -> list[str] | None:
+    """The words with each term replaced by its other; None if that changes nothing."""
     out = [other.get(w.strip(".,;:!?").lower(), w) for w in words]
     return out if out != words else None
 
 
-def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, swap_penalty: float = SWAP_PENALTY, l1: float = L1, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights by slot and the intercept."""
+def fit(texts: list[str], labels: list[int], terms=None, swap_penalty: float = SWAP_PENALTY, l1: float = L1, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights by slot and the intercept; terms: rows of words to swap, else the identity terms and the interchangeable pairs."""
+    if terms is None:
+        known = {t for row in IDENTITY_TERMS for t in row}
+        terms = (*IDENTITY_TERMS, *(p for p in interchangeable(texts, labels) if not known & set(p)))
+    other = [{t: row[(i + shift) % len(row)] for row in terms for i, t in enumerate(row)} for shift in (1, 2)]
     y = np.array(labels, np.float64)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    pairs = [(i, s) for i, t in enumerate(texts) for shift in (1, 2) if (s := swapped(t.split(), shift, terms))]
+    pairs = [(i, s) for i, t in enumerate(texts) for swaps in other if (s := swapped(t.split(), swaps))]
     everything = [*texts, *(" ".join(s) for _, s in pairs)]
     rows, slots = [], []
     for run in runs(pa.array(everything, pa.large_string()), WORD):
@@ -112,8 +142,8 @@ def fit(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, swap_penalty:
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
     marked = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64(F.lit(10), F.col("doc_id")), "doc_id")
-    chosen = marked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_class).drop("at")
+    first = lambda c: marked.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(10), F.col("doc_id")), "doc_id").limit(per_class)
+    chosen = written(first(0).unionByName(first(1)))
     ids = [r[0] for r in chosen.select("doc_id").collect()]
     texts = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text") if ids else docs.select("doc_id", "text").limit(0)
     return texts.join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")

@@ -182,26 +182,52 @@ def test_pitman_yor(spark, sf_dir, hard, empty):
     assert pitman_yor.score_documents(empty, F.lit(False)).count() == 0
 
 
-def test_pitman_yor_sums_to_one():
-    """Over all known tokens and the unknown one, the predictive probabilities of a context add up to 1."""
-    rng = np.random.default_rng(5)
-    tokens = np.sort(rng.integers(0, 2**63, 30, dtype=np.uint64))
-    counts = rng.integers(1, 9, 30).astype(np.uint32)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    rows = np.zeros(counts.sum(), np.uint32)
-    context = rng.integers(0, 3, counts.sum()).astype(np.uint16)
-    size, block = pitman_yor.pack(np.diff(tokens, prepend=np.uint64(0)), counts, context, pitman_yor.steps_within(rows, first), np.ones(1, bool))
-    part = pitman_yor.Part([(0, size, block)])
-    assert part.total.tolist() == counts.tolist()
-    tables, upper, upper_tables = np.ones(len(part.seen)), np.bincount(part.word[part.seen]), np.ones(30)
-    d = d1 = 0.5
-    base = np.append(np.full(30, (1 - pitman_yor.UNKNOWN_SHARE) / 30), pitman_yor.UNKNOWN_SHARE)
-    parent = (np.append(upper - d1 * upper_tables, 0) + (1 + d1 * 30) * base) / (1 + upper.sum())
-    c = part.context[part.seen] == 1
-    own = np.zeros(31)
-    own[part.word[part.seen][c]] = part.count[part.seen][c] - d * tables[c]
-    p = (own + (1 + d * c.sum()) * parent) / (1 + part.count[part.seen][c].sum())
-    assert p.sum() == pytest.approx(1.0)
+def posting(lines, learns=None):
+    """A part with the postings of a few lines of words, and its tokens' hashes."""
+    blocks = [r for b in pitman_yor.post(1)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines), pa.array([not x for x in (learns or [True] * len(lines))])], names=["doc_id", "text", "held"])])) for r in b.to_pylist() if r["block"]]
+    return pitman_yor.Part([(r["batch"], r["size"], r["block"]) for r in blocks]), [(r["batch"], r["size"], r["block"]) for r in blocks]
+
+
+def test_scores_are_those_of_a_restaurant(spark, monkeypatch):
+    """score_parts against a restaurant of dictionaries that takes the same tables."""
+    from types import SimpleNamespace
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    monkeypatch.setattr(pitman_yor.TaskContext, "get", staticmethod(lambda: Context))
+    lines, learns = ["a b a c", "b a b", "a zz", "a b c a b", None, "c"], [True, True, False, True, True, True]
+    part, blocks = posting(lines, learns)
+    tokens = [[*(t or "").split(), "</s>"] for t in lines]
+    context = lambda w: int(pitman_yor.START if w is None else words.hash_of(w.encode())) >> 64 - pitman_yor.CLASS_BITS
+    seen = Counter((context(w[i - 1] if i else None), t) for w, own in zip(tokens, learns, strict=True) if own for i, t in enumerate(w))
+    n = Counter()
+    for (_, t), c in seen.items():
+        n[t] += c
+    assert part.total.sum() == sum(n.values()) and len(part.seen) == len(seen)
+    # one table for each dish: as after a sweep in which nobody opens a second
+    monkeypatch.setattr(pitman_yor, "seat", lambda customers, pull, discount, rng: (np.asarray(customers) > 0).astype(float))
+    size = pitman_yor.CLASSES
+    shared = {"customers": np.zeros(size), "tables": np.zeros(size), "tokens": sum(n.values()), "types": len(n), "parent_customers": len(seen), "parent_tables": len(n), "unknown": 0.1, "discount": 0.4, "parent_discount": 0.3}
+    for (u, _), c in seen.items():
+        shared["customers"][u] += c
+        shared["tables"][u] += 1
+    dishes = Counter(t for _, t in seen)
+
+    def chance(u, t):
+        base = 0.9 / len(n) if t in n else 0.1
+        parent = (max(dishes[t] - 0.3 * (t in n), 0) + (1 + 0.3 * len(n)) * base) / (1 + len(seen))
+        return (max(seen[u, t] - 0.4 * ((u, t) in seen), 0) + (1 + 0.4 * shared["tables"][u]) * parent) / (1 + shared["customers"][u])
+
+    assert sum(chance(context("a"), t) for t in [*n, "unknown"]) == pytest.approx(1.0)
+    batch = pa.RecordBatch.from_pylist([{"part": 0, "batch": b, "row": None, "doc_id": None, "held_out": None, "n_tokens": None, "size": s, "block": x} for b, s, x in blocks])
+    got = np.zeros(len(lines))
+    for made in pitman_yor.score_parts(SimpleNamespace(value=shared))(iter([batch])):
+        for r in made.to_pylist():
+            steps, score, _, _ = pitman_yor.unpack(r["size"], r["block"], "<u4", "<f8", "<f8", "<u4")
+            got[np.cumsum(steps)] += score
+    want = [sum(log10(chance(context(w[i - 1] if i else None), t)) for i, t in enumerate(w)) for w in tokens]
+    assert got == pytest.approx(want)
 
 
 def test_seating_matches_the_restaurant():
@@ -217,6 +243,22 @@ def test_seating_matches_the_restaurant():
     assert abs(got.mean() - np.mean(tables)) < 0.6 and abs(got.std() - np.std(tables)) < 0.6
 
 
+@pytest.mark.parametrize("block", [50, 1 << 20])
+def test_seating_in_blocks_is_seating_one_by_one(monkeypatch, block):
+    monkeypatch.setattr(pitman_yor, "BLOCK", block)
+    for customers in ([300], [90, 64, 200, 65], []):
+        size, pull, d = np.array(customers, np.int64), np.linspace(3.0, 40.0, len(customers)), 0.7
+        got = pitman_yor.seat_rest(np.full(len(size), 9.0), 64, size, pull, d, np.random.default_rng(1))
+        draws = iter(np.random.default_rng(1).random(10_000))
+        want = []
+        for n, p in zip(size, pull, strict=True):
+            t = 9.0
+            for k in range(64, n):
+                t += next(draws) * (p + k - d * t) < p
+            want.append(t)
+        assert got.tolist() == want
+
+
 def test_tool_calls(spark):
     rows = [(1, "a", 0, "reply", '{"turn":0,"prompt":"x"}', []), (1, "b", 1, "reply", '{"prompt":1}', ["a"]), (1, "c", 2, "x", "[]", ["b"]), (1, "d", 3, "reply", "{}", ["c", "a"]), (1, "e", 4, "reply", None, ["f"]), (1, "f", 5, "reply", "{}", ["e"]), (1, "g", 6, "reply", "{}", ["zz"]), (1, "i", 7, "reply", "{}", ["d", "g"]), (None, "a", 0, None, "{}", None)]
     calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, after array<string>")
@@ -351,6 +393,33 @@ def test_toxicity(spark, hard, empty):
     assert {r.score for r in toxicity.score_texts(hard, toxicity.train(docs, marked.limit(0), F.lit(True))).collect()} == {0.0}
 
 
+def test_learned_swaps_move_scores(spark):
+    """Neutral words of equal places are swapped; the penalty draws their scores together, without losing the toxic word."""
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        group = "gron" if toxic and i % 3 else str(rng.choice(["gron", "blif"]))
+        rows.append((i, " ".join([*rng.choice([f"w{k}" for k in range(50)], 6), "the", group, str(rng.choice(["came", "went", "said", "were"])), "grubby" if toxic and i % 8 else "kind"])))
+        labels.append((i, int(toxic)))
+    pairs = toxicity.interchangeable([t for _, t in rows], [y for _, y in labels])
+    assert ("blif", "gron") in pairs and not any("grubby" in p for p in pairs)
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "w1 the gron came kind"), (2, "w1 the blif came kind"), (3, "w1 the blif came grubby")], "doc_id long, text string")
+    score = lambda penalty: [r.score for r in toxicity.score_texts(probe, toxicity.train(docs, marked, F.lit(True), swap_penalty=penalty, l1=1e-4)).orderBy("doc_id").collect()]
+    free, held = score(0.0), score(50.0)
+    assert abs(held[0] - held[1]) < 0.5 * abs(free[0] - free[1]) and held[2] > max(held[:2]) + 0.2
+
+
+def test_simhash_query_searches_the_tables(spark, sf_dir):
+    rows = simhash.op9_simhash(spark, sf_dir).collect()
+    prints = [int(r.fingerprint, 16) for r in rows]
+    for r, f in zip(rows, prints, strict=True):
+        near = [g for g in prints if bin(f ^ g).count("1") <= simhash.RADIUS]
+        want = (len(near) - 1, len(set(near))) if r.doc_id % simhash.QUERY_EVERY == 0 else (None, None)
+        assert (r.near_rows, r.near_classes) == want
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80)
     columns = docs.columns
