@@ -99,6 +99,28 @@ def swapped(words: list[str], other: dict[str, str]) -> list[str] | None:
     return out if out != words else None
 
 
+def feature_keys(texts: list[str]) -> np.ndarray:
+    """Sorted text * 2^BITS + slot of the features of each text."""
+    found = [np.zeros(0, np.int64)]
+    for run in runs(pa.array(texts, pa.large_string()), WORD):
+        rows, slots = word_features(run)
+        found.append(np.unique(((rows + run.first) << BITS) + slots))
+    return np.concatenate(found)
+
+
+def changes(keys: np.ndarray, base: list[int], swapped_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, slot, sign) of the features that the swap of each pair adds (1) to its base text or takes away (-1)."""
+    base_of = np.array(base, np.int64)
+    ends = np.searchsorted(keys, np.arange(keys[-1] // (1 << BITS) + 2 if len(keys) else 1) << BITS)
+    counts = ends[base_of + 1] - ends[base_of] if len(base_of) else np.zeros(0, np.int64)
+    pair = np.repeat(np.arange(len(base_of)), counts)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ends[base_of], counts)
+    before = (pair << BITS) + (keys[at] & ((1 << BITS) - 1))
+    added, gone = np.setdiff1d(swapped_keys, before, assume_unique=True), np.setdiff1d(before, swapped_keys, assume_unique=True)
+    both = np.concatenate([added, gone])
+    return both >> BITS, both & ((1 << BITS) - 1), np.repeat([1.0, -1.0], [len(added), len(gone)])
+
+
 def fit(texts: list[str], labels: list[int], terms=None, swap_penalty: float = SWAP_PENALTY, l1: float = L1, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights by slot and the intercept; terms: rows of words to swap, else the identity terms and the interchangeable pairs."""
     if terms is None:
@@ -108,30 +130,22 @@ def fit(texts: list[str], labels: list[int], terms=None, swap_penalty: float = S
     y = np.array(labels, np.float64)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     pairs = [(i, s) for i, t in enumerate(texts) for swaps in other if (s := swapped(t.split(), swaps))]
-    everything = [*texts, *(" ".join(s) for _, s in pairs)]
-    rows, slots = [], []
-    for run in runs(pa.array(everything, pa.large_string()), WORD):
-        r, s = distinct(*word_features(run))
-        rows.append(r + run.first)
-        slots.append(s)
-    rows, slots = np.concatenate(rows), np.concatenate(slots)
+    keys = feature_keys(texts)
+    rows, slots = keys >> BITS, keys & ((1 << BITS) - 1)
     n, size = len(texts), 1 << BITS
-    seen = np.bincount(slots[rows < n], minlength=size)
-    used = (seen >= 3) | (np.bincount(slots[rows >= n], minlength=size) > 0)
-    keep = used[slots]
-    rows, slots = rows[keep], slots[keep]
-    base = np.array([i for i, _ in pairs], np.int64)
+    used = np.bincount(slots, minlength=size) >= 3
+    used[feature_keys([" ".join(t for row in terms for t in row)]) & (size - 1)] = True
+    where, other_slots, sign = changes(keys, [i for i, _ in pairs], feature_keys([" ".join(t) for _, t in pairs]))
+    kept, moved_kept = used[slots], used[other_slots]
+    rows, slots, where, other_slots, sign = rows[kept], slots[kept], where[moved_kept], other_slots[moved_kept], sign[moved_kept]
     w, b, squares, bias = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(steps):
-        logit = np.bincount(rows, weights=w[slots], minlength=len(everything)) + b
-        p = 1 / (1 + np.exp(-np.clip(logit[:n], -700, 700)))
-        pull = np.zeros(len(everything))
-        pull[:n] = weight * (p - y)
-        if len(base):
-            gap = (logit[n:] - logit[base]) * swap_penalty / len(base)
-            pull[n:] += gap
-            np.subtract.at(pull, base, gap)
+        logit = np.bincount(rows, weights=w[slots], minlength=n) + b
+        pull = weight * (1 / (1 + np.exp(-np.clip(logit, -700, 700))) - y)
         grad = np.bincount(slots, weights=pull[rows], minlength=size)
+        if len(pairs):
+            gap = np.bincount(where, weights=w[other_slots] * sign, minlength=len(pairs)) * swap_penalty / len(pairs)
+            grad += np.bincount(other_slots, weights=gap[where] * sign, minlength=size)
         squares, bias = squares + grad**2, bias + pull.sum() ** 2
         pace = RATE / np.sqrt(squares)
         moved = w - pace * grad
