@@ -9,13 +9,13 @@ size lets it match, and a pair is skipped when the positions of the shared shing
 Relations between sets spare the rest. In each round a set is compared with a few others only, drawn from its
 index lists by hashes of the round; a set that is linked to one of them takes over its answers, that is, its
 component, and no pair inside a component is compared any more, nor a list that holds one component only. Rounds take
-partners that share many shingles of the prefix, and more of them from round to round, until what the lists still
-hold of different components is no more than a pass over them. Then the sets outside a list's main component
+partners that share many shingles of the prefix, more of them in the second round. Then the sets outside a list's main component
 are compared with all sets of other components in it. So every link between components is found, and the components
 are exact, without listing the pairs of a group.
 
-Before two sets are brought together, 512 parities of each (every member flips one) are compared: each parity that
-differs needs a member that only one of the sets has, so too many of them rule the pair out.
+Before two sets are brought together, parities of each (every member flips one) are compared: each parity that
+differs needs a member that only one of the sets has, so too many of them rule the pair out. First there are 512 of
+them, then two to four a member, which still are a thirtieth of the members.
 
 Null texts, and texts without words, have an empty set, are linked with nothing and are their own component.
 Repeated rows are copies. Rows with null doc_id take part, but give no id to a component: theirs is the least id
@@ -37,7 +37,7 @@ from .words import Run, mix, runs, shingles
 
 SHINGLE, NEAR = 3, 90
 #: Partners of a set in each round.
-PARTNERS = (4, 8, 8)
+PARTNERS = (4, 8)
 PARITIES = 512
 MARKS = [f"mark{i}" for i in range(PARITIES // 64)]
 #: Those of them that travel with the lists in the last pass.
@@ -168,6 +168,19 @@ def parities(grams: np.ndarray, ptr: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_parities(members: np.ndarray) -> bytes:
+    """The same with 512 cells or the power of two from twice the members on."""
+    cells = 1 << max(9, int(2 * len(members) - 1).bit_length())
+    return np.packbits((np.bincount((members % np.uint64(cells)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    """Parities of fewer cells from those of more; both counts are powers of two."""
+    while len(parity) > size:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
+
+
 def sets_in(wanted):
     """sid, size, parities and members of the rows whose cell of set id and doc_id is wanted; copies may repeat a set."""
 
@@ -185,7 +198,7 @@ def sets_in(wanted):
                 if len(at):
                     members = [grams[ptr[i] : ptr[i + 1]].tobytes() for i in at]
                     marks = parities(grams, ptr, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.diff(ptr)[at], pa.int64()), *[pa.array(np.ascontiguousarray(m)) for m in marks.T], pa.array(members, pa.binary())], names=["sid", "size", *MARKS, "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.diff(ptr)[at], pa.int64()), *[pa.array(np.ascontiguousarray(m)) for m in marks.T], pa.array([wide_parities(grams[ptr[i] : ptr[i + 1]]) for i in at], pa.binary()), pa.array(members, pa.binary())], names=["sid", "size", *MARKS, "wide", "members"])
 
     return emit
 
@@ -198,6 +211,22 @@ def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["slice", "cells"])
 
 
+def maybe(near: int):
+    """The pairs that wide parities don't rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right, total = (batch.column(k) for k in range(5))
+            ok = []
+            for x, y, n in zip(left, right, total.to_pylist(), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                least = min(len(p), len(q))
+                ok.append((100 + near) * int(np.bitwise_count(folded(p, least) ^ folded(q, least)).sum()) <= (100 - near) * n)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return check
+
+
 def verify(near: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +251,12 @@ def possible(pairs: DataFrame, marked: DataFrame, near: int) -> DataFrame:
     """The pairs whose parities differ in no more places than linked sets may have members apart."""
     marks = lambda side: marked.select(F.col("sid").alias(side), F.col("size").alias(f"{side}_size"), *[F.col(m).alias(f"{side}_{m}") for m in MARKS])
     both = pairs.join(marks("a"), "a").join(marks("b"), "b")
-    return both.where((100 + near) * apart("a_", "b_", MARKS) <= (100 - near) * (F.col("a_size") + F.col("b_size"))).select("a", "b").distinct()
+    few = both.where((100 + near) * apart("a_", "b_", MARKS) <= (100 - near) * (F.col("a_size") + F.col("b_size")))
+    few = written(few.select("a", "b", (F.col("a_size") + F.col("b_size")).alias("total")).distinct())
+    wide = marked.select("sid", "wide")
+    left = few.join(wide.select(F.col("sid").alias("a"), F.col("wide").alias("left")), "a")
+    both = left.join(wide.select(F.col("sid").alias("b"), F.col("wide").alias("right")), "b")
+    return in_batches(both.select("a", "b", "left", "right", "total"), maybe(near), "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, marked: DataFrame, near: int) -> DataFrame:
@@ -300,12 +334,12 @@ def drawn(active: DataFrame, turn: int, partners: int, near: int) -> DataFrame:
 
 
 def several(known: DataFrame) -> DataFrame:
-    """The rows of lists that hold several components, with whether theirs is the main one, and the list's length."""
+    """The rows of lists that hold several components, with whether theirs is the main one."""
     known = known.repartition("token")
     per_label = known.groupBy("token", "label").agg(F.count("*").alias("k"))
-    mains = per_label.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), F.sum("k").alias("length"))
-    mains = mains.where("labels > 1").select("token", F.col("main.label").alias("main"), "length")
-    return known.join(mains, "token").select("token", "sid", "n", "pos", "label", (F.col("label") == F.col("main")).alias("central"), "length")
+    mains = per_label.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
+    mains = mains.where("labels > 1").select("token", F.col("main.label").alias("main"))
+    return known.join(mains, "token").select("token", "sid", "n", "pos", "label", (F.col("label") == F.col("main")).alias("central"))
 
 
 def set_components(docs: DataFrame, near: int = NEAR, partners: tuple[int, ...] = PARTNERS) -> tuple[DataFrame, DataFrame]:
@@ -320,11 +354,10 @@ def set_components(docs: DataFrame, near: int = NEAR, partners: tuple[int, ...]
     beside = dealt.withColumn("smaller", F.lag("n").over(by_size)).withColumn("larger", F.lead("n").over(by_size))
     reached = (100 * F.col("smaller") >= near * F.col("n")) | (100 * F.col("n") >= near * F.col("larger"))
     shared = written(beside.where(reached).select("token", "sid", "n", "pos"))
-    room = shared.count()
     first = rows.groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"))
     chosen = first.join(shared.select("sid").distinct(), "sid", "left_semi").select("sid", "doc_id")
     wanted = sketch(in_batches(chosen, count_ids, "slice int, cells binary")) > 0
-    members = f"sid long, size long, {' long, '.join(MARKS)} long, members binary"
+    members = f"sid long, size long, {' long, '.join(MARKS)} long, wide binary, members binary"
     sets = written(in_batches(docs.select("doc_id", "text"), sets_in(spark.sparkContext.broadcast(wanted)), members))
     marked = written(sets.drop("members").dropDuplicates(["sid"]))
     links = tried = None
@@ -334,12 +367,8 @@ def set_components(docs: DataFrame, near: int = NEAR, partners: tuple[int, ...]
         tried = pairs if tried is None else tried.union(pairs)
         found = linked(pairs, sets, marked, near)
         links = found if links is None else links.union(found)
-        if turn and not found.limit(1).count():
-            break
         labels = components(links)
-        active = written(several(labeled(active.drop("label", "central", "length"), labels)))
-        if (active.where("NOT central").agg(F.sum("length")).first()[0] or 0) <= room:
-            break
+        active = written(several(labeled(active.drop("label", "central"), labels)))
     block = F.floor(F.log("n") / F.log(F.lit(100 / near)))
     active = active.join(sized(marked.select("sid", *FEW_MARKS)), "sid")
     outside = active.where("NOT central").withColumn("block", F.explode(F.array(block - 1, block, block + 1)))

@@ -432,3 +432,17 @@ def test_pipeline(spark, sf_dir):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert last.count() == before.count() and {"shard", "slot"} <= set(last.columns)
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(12)
+    for n in (1, 5, 120, 700, 3000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.4):
+            other = np.unique(np.concatenate([base[rng.random(len(base)) >= share / 2], rng.integers(0, 2**63, int(n * share / 2), dtype=np.uint64)]))
+            if len(other):
+                p, q = (np.frombuffer(jaccard_join.wide_parities(s), np.uint64) for s in (base, other))
+                least = min(len(p), len(q))
+                apart = int(np.bitwise_count(jaccard_join.folded(p, least) ^ jaccard_join.folded(q, least)).sum())
+                assert apart <= len(np.setxor1d(base, other))
+                assert share < 0.4 or n < 700 or apart > 0.7 * len(np.setxor1d(base, other))
