@@ -172,7 +172,7 @@ def icp_batch(points: DataFrame, faces: DataFrame, vs: float, rounds: int = 50,
     """
     moving, settled, before = written(points.select("scan_id", "id", *AXES)), None, None
     for _ in range(rounds):
-        near = written(surface_distance(moving, faces, ["scan_id"]))
+        near = written(surface_distance(moving, faces, ["scan_id"]).where("face_id IS NOT NULL"))
         median = written(near.groupBy("scan_id").agg(F.median("distance").alias("median")))
         if before is not None:
             still = median.join(before, "scan_id").where(F.col("was") - F.col("median") < least).select("scan_id")

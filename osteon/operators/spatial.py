@@ -14,9 +14,19 @@ from pyspark.sql import functions as F
 from .geometry import AXES, cross
 from .tables import written
 
+#: Larger coordinates are as good as infinite: cells are numbered by longs.
+FARTHEST = 1e15
 NEIGHBOURS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
+def usable(columns: list[str]) -> Column:
+    """That all of the coordinates are numbers: neither null nor NaN nor infinite."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.coalesce(F.abs(F.col(c)) <= FARTHEST, F.lit(False))  # NaN is above all numbers
+    return out
+
+
 def in_cells(points: DataFrame, width, names=("gx", "gy", "gz"), around: bool = False) -> DataFrame:
     """points with their cell; with around, a row for each of the 27 cells beside it."""
     cells = [F.floor(F.col(a) / width) for a in AXES]
@@ -37,16 +47,19 @@ def cell_width(cloud: DataFrame, per_cell: float = 2.0) -> float:
 def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[str] | None = None, width: float | None = None) -> DataFrame:
     """id, neighbour, distance and rank of the k nearest; ties go to the lower neighbour id. points and cloud: id, x, y, z and the group.
 
-    A point whose group has no cloud gets one row with null neighbour and infinite distance.
+    A point whose group has no cloud, or with a coordinate that is null, NaN or infinite, gets one row with null
+    neighbour and infinite distance; such points of the cloud count as absent.
     """
     group = group or []
+    cloud = cloud.where(usable(list(AXES)))
     c = cloud.select(*group, F.col("id").alias("neighbour"), *[F.col(a).alias(f"n{a}") for a in AXES])
     sizes = cloud.groupBy(*group).agg(F.count("*").alias("__have"))
     p = points.select(*group, "id", *AXES)
     p = p.join(sizes, group, "left") if group else p.join(F.broadcast(sizes))
     width = width or cell_width(cloud)
-    out = p.where("coalesce(__have, 0) = 0").select(*group, "id", F.lit(None).cast("long").alias("neighbour"), F.lit(float("inf")).alias("distance"), F.lit(1).alias("rank"))
-    left = written(p.where("__have > 0"))
+    lost = ~usable(list(AXES)) | (F.coalesce("__have", F.lit(0)) == 0)
+    out = p.where(lost).select(*group, "id", F.lit(None).cast("long").alias("neighbour"), F.lit(float("inf")).alias("distance"), F.lit(1).alias("rank"))
+    left = written(p.where(~lost))
     order = W.partitionBy(*group, "id").orderBy("distance", "neighbour")
     while True:
         keyed = c.withColumns({n: F.floor(F.col(f"n{a}") / width) for n, a in zip(("gx", "gy", "gz"), AXES, strict=True)})
@@ -119,15 +132,23 @@ def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | Non
 
     A triangle is listed in every cell that may hold a point at most one cell width from it: those that its box, grown by the width, touches
     and its plane passes near. A point looks into its own cell; what finds nothing that near goes on with cells twice as wide.
-    faces: face_id, ax.. cz as from corners_of, and the group.
+    faces: face_id, ax.. cz as from corners_of, and the group. Points of groups without faces, and those with a coordinate
+    that is null, NaN or infinite, have a null face and an infinite distance; faces with such a corner count as absent.
     """
     group = group or []
+    faces = faces.where(usable([f"{k}{a}" for k in "abc" for a in AXES]))
     low = {a: F.least(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
     high = {a: F.greatest(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
     if width is None:
         width = face_width(faces, group, low, high)
-    left = written(points.select(*group, "id", *AXES).join(faces.select(*group).distinct(), group, "left_semi") if group else points.select("id", *AXES))
-    out = None
+    some = faces.select(*group).distinct().withColumn("__some", F.lit(True)) if group else faces.limit(1).select(F.lit(True).alias("__some"))
+    known = points.select(*group, "id", *AXES).join(some, group, "left") if group else points.select("id", *AXES).join(F.broadcast(some), F.lit(True), "left")
+    known = written(known.withColumn("__some", F.coalesce("__some", F.lit(False)) & usable(list(AXES))))
+    left = known.where("__some").drop("__some")
+    none = F.lit(None).cast("double")
+    out = known.where("NOT __some").select(*group, "id", F.lit(None).cast(faces.schema["face_id"].dataType).alias("face_id"), F.lit(float("inf")).alias("distance"), none.alias("sx"), none.alias("sy"), none.alias("sz"))
+    if not left.limit(1).count():
+        return out
     order = W.partitionBy(*group, "id").orderBy("distance", "face_id")
     n = cross([F.col(f"b{a}") - F.col(f"a{a}") for a in AXES], [F.col(f"c{a}") - F.col(f"a{a}") for a in AXES])
     flat = faces.withColumns({f"__n{a}": x for a, x in zip(AXES, n, strict=True)}).withColumn("__l", F.sqrt(dot([F.col(f"__n{a}") for a in AXES], [F.col(f"__n{a}") for a in AXES])))
@@ -142,9 +163,9 @@ def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | Non
         met = in_cells(left, width).join(listed, [*group, *cells])
         best = with_closest(met).withColumn("r", F.row_number().over(order)).where("r = 1").select(*group, "id", "face_id", "distance", "sx", "sy", "sz")
         found = written(best.where(F.col("distance") <= width))
-        out = found if out is None else out.union(found)
+        out = out.union(found)
         left = written(left.join(found, [*group, "id"], "left_anti"))
-        if not left.limit(1).count() or not faces.limit(1).count():
+        if not left.limit(1).count():
             return out
         width *= 2
 
@@ -163,7 +184,7 @@ def parallel_surface_distance(points: DataFrame, faces: DataFrame, group: list[s
     """
     edge = lambda u, v: F.sqrt(sum((F.col(f"{u}{a}") - F.col(f"{v}{a}")) ** 2 for a in AXES))
     tol = max(1e-4, 0.05 * (faces.select(F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).agg(F.median("e")).first()[0] or 0.0))
-    near = surface_distance(points, faces, group).join(points, [*(group or []), "id"])
+    near = surface_distance(points, faces, group).where("face_id IS NOT NULL").join(points, [*(group or []), "id"])
     d = [F.col(a) - F.col(f"s{a}") for a in AXES]
     along = dot([F.col(f"n{a}") for a in AXES], d)
     tangent = F.sqrt(F.greatest(dot(d, d) - along * along, F.lit(0.0)))

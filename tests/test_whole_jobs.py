@@ -113,3 +113,18 @@ def test_poses_are_of_all_tries(spark, small, monkeypatch):
     rows = QUERIES["i8_ransac_rigid"](spark, small).collect()
     # matches are an exact transform, so all poses but the best are within 8 degrees of it
     assert asked == [200] and sorted((r.scan_id, r.r21, r.t_z) for r in rows) == [(0, 1.0, 3.0), (1, 1.0, 3.0)]
+
+
+def test_unusable_coordinates_end(spark):
+    from osteon.operators import spatial
+
+    nan, inf = float("nan"), float("inf")
+    points = spark.createDataFrame([(1, 1, 0.1, 0.0, 0.0), (1, 2, nan, 0.0, 0.0), (1, 3, None, 0.0, 0.0), (1, 4, inf, 0.0, 0.0), (2, 5, 0.0, 0.0, 0.0), (1, 6, 9.0, 0.0, 0.0)], "g int, id long, x double, y double, z double")
+    cloud = spark.createDataFrame([(1, 10, 0.0, 0.0, 0.0), (1, 11, nan, 0.0, 0.0), (1, 12, None, 1.0, 1.0)], "g int, id long, x double, y double, z double")
+    got = {r.id: (r.neighbour, round(r.distance, 6)) for r in spatial.nearest_point(points, cloud, k=2, group=["g"]).collect()}
+    assert got == {1: (10, 0.1), 2: (None, inf), 3: (None, inf), 4: (None, inf), 5: (None, inf), 6: (10, 9.0)}
+    corners = ", ".join(f"{k}{a} double" for k in "abc" for a in "xyz")
+    faces = spark.createDataFrame([(1, 7, *[0.0, -1.0, -1.0, 0.0, 1.0, -1.0, 0.0, 0.0, 2.0]), (1, 8, nan, *[0.0] * 8)], f"g int, face_id long, {corners}")
+    near = {r.id: (r.face_id, round(r.distance, 6)) for r in spatial.surface_distance(points, faces, ["g"]).collect()}
+    assert near == {1: (7, 0.1), 2: (None, inf), 3: (None, inf), 4: (None, inf), 5: (None, inf), 6: (7, 9.0)}
+    assert spatial.surface_distance(points.drop("g"), faces.drop("g").limit(0)).where("face_id IS NULL").count() == 6
