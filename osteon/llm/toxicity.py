@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ PER_CLASS, BITS, THRESHOLD = 2500, 18, 0.7
 L1, SWAP_PENALTY, STEPS, RATE = 4e-3, 0.5, 200, 0.5
 PREFIXES = (4, 5)
 LEAST_NEUTRAL, SLOTS, MOST_PAIRS = 20, 3, 200
+#: Texts whose swaps are worked out at a time.
+CHUNK = 200
 #: Terms that name groups; one of a row may stand for another of it.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -73,24 +74,30 @@ def distinct(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def interchangeable(texts: list[str], labels: list[int], least: int = LEAST_NEUTRAL, slots: int = SLOTS, most: int = MOST_PAIRS) -> tuple[tuple[str, str], ...]:
-    """Pairs of neutral words with the most places in common, each word in one pair; ties by the words."""
-    split = [t.lower().split() for t in texts]
-    used = Counter(w for words, y in zip(split, labels, strict=True) if y == 0 for w in set(words))
-    neutral = {w for w, n in used.items() if n >= least}
-    places: dict[tuple[str, str], set[str]] = {}
-    for words in split:
-        for before, w, after in zip(words, words[1:], words[2:], strict=False):
-            if w in neutral:
-                places.setdefault((before, after), set()).add(w)
-    common = Counter(pair for here in places.values() if len(here) > 1 for pair in combinations(sorted(here), 2))
-    found, taken = [], set()
-    for (a, b), n in sorted(common.items(), key=lambda x: (-x[1], x[0])):
-        if n < slots or len(found) == most:
-            break
-        if a not in taken and b not in taken:
-            found.append((a, b))
-            taken |= {a, b}
-    return tuple(found)
+    """Pairs of neutral words with the most places between neutral words in common, each word in one pair; ties by the words."""
+    used = Counter(w for t, y in zip(texts, labels, strict=True) if y == 0 for w in set(t.lower().split()))
+    names = sorted(w for w, n in used.items() if n >= least)
+    number, size = {w: i for i, w in enumerate(names)}, len(names)
+    found = [np.zeros(0, np.int64)]
+    for t in texts:
+        own = np.array([number.get(w, -1) for w in t.lower().split()], np.int64)
+        ok = np.flatnonzero((own[:-2] >= 0) & (own[1:-1] >= 0) & (own[2:] >= 0))
+        found.append(np.unique((own[ok] * size + own[ok + 2]) * size + own[ok + 1]))
+    keys = np.unique(np.concatenate(found))
+    common = np.zeros((size, size), np.int32)
+    starts = np.flatnonzero(np.append(True, keys[1:] // max(size, 1) != keys[:-1] // max(size, 1))) if len(keys) else np.zeros(0, np.int64)
+    for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        if hi - lo > 1:
+            here = keys[lo:hi] % size
+            common[np.ix_(here, here)] += 1
+    left, right = np.nonzero(np.triu(common, 1) >= max(slots, 1))
+    pairs, taken = [], set()
+    for i in np.lexsort((right, left, -common[left, right])).tolist():
+        pair = names[left[i]], names[right[i]]
+        if len(pairs) < most and not taken & set(pair):
+            pairs.append(pair)
+            taken |= set(pair)
+    return tuple(pairs)
 
 
 def swapped(words: list[str], other: dict[str, str]) -> list[str] | None:
@@ -129,13 +136,17 @@ def fit(texts: list[str], labels: list[int], terms=None, swap_penalty: float = S
     other = [{t: row[(i + shift) % len(row)] for row in terms for i, t in enumerate(row)} for shift in (1, 2)]
     y = np.array(labels, np.float64)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    pairs = [(i, s) for i, t in enumerate(texts) for swaps in other if (s := swapped(t.split(), swaps))]
     keys = feature_keys(texts)
     rows, slots = keys >> BITS, keys & ((1 << BITS) - 1)
     n, size = len(texts), 1 << BITS
     used = np.bincount(slots, minlength=size) >= 3
     used[feature_keys([" ".join(t for row in terms for t in row)]) & (size - 1)] = True
-    where, other_slots, sign = changes(keys, [i for i, _ in pairs], feature_keys([" ".join(t) for _, t in pairs]))
+    where, other_slots, sign, count = [], [], [], 0
+    for lo in range(0, n, CHUNK):
+        pairs = [(i, " ".join(s)) for i in range(lo, min(lo + CHUNK, n)) for swaps in other if (s := swapped(texts[i].split(), swaps))]
+        at, at_slots, signs = changes(keys, [i for i, _ in pairs], feature_keys([t for _, t in pairs]))
+        where, other_slots, sign, count = [*where, at + count], [*other_slots, at_slots], [*sign, signs], count + len(pairs)
+    where, other_slots, sign = np.concatenate(where), np.concatenate(other_slots), np.concatenate(sign)
     kept, moved_kept = used[slots], used[other_slots]
     rows, slots, where, other_slots, sign = rows[kept], slots[kept], where[moved_kept], other_slots[moved_kept], sign[moved_kept]
     w, b, squares, bias = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
@@ -143,8 +154,8 @@ def fit(texts: list[str], labels: list[int], terms=None, swap_penalty: float = S
         logit = np.bincount(rows, weights=w[slots], minlength=n) + b
         pull = weight * (1 / (1 + np.exp(-np.clip(logit, -700, 700))) - y)
         grad = np.bincount(slots, weights=pull[rows], minlength=size)
-        if len(pairs):
-            gap = np.bincount(where, weights=w[other_slots] * sign, minlength=len(pairs)) * swap_penalty / len(pairs)
+        if count:
+            gap = np.bincount(where, weights=w[other_slots] * sign, minlength=count) * swap_penalty / count
             grad += np.bincount(other_slots, weights=gap[where] * sign, minlength=size)
         squares, bias = squares + grad**2, bias + pull.sum() ** 2
         pace = RATE / np.sqrt(squares)
