@@ -79,10 +79,11 @@ def overlap_metrics(pred: DataFrame, target: DataFrame, eps: float = 1e-6) -> Da
 
 
 def hd95(pred: DataFrame, target: DataFrame, spacing: float) -> DataFrame:
-    """The larger of both directed 95th percentiles of nearest distances in mm; no row (null) when either is empty."""
+    """The larger of both directed 95th percentiles of nearest distances in mm; null when either is empty."""
     p, t = (m.where("label > 0").select("scan_id", *AXES).distinct().withColumn("id", F.col("z") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")) for m in (pred, target))
     one = lambda a, b: nearest_point(a, b, group=["scan_id"], width=2.0).where("neighbour IS NOT NULL").groupBy("scan_id").agg(F.percentile("distance", 0.95).alias("d"))
-    return one(p, t).union(one(t, p)).groupBy("scan_id").agg((F.max("d") * spacing).alias("hd95"))
+    both = one(p, t).union(one(t, p)).groupBy("scan_id").agg((F.max("d") * spacing).alias("hd95"))
+    return pred.select("scan_id").union(target.select("scan_id")).distinct().join(both, "scan_id", "left")
 
 
 def aggregate_metrics(rows: DataFrame, metrics: list[str]) -> DataFrame:

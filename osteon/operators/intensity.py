@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The range of each storage type.
 RANGES = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767)}
 CELL = ("scan_id", "z", "y", "x")
+#: Equal parts of the cumulative share in which histograms meet.
+SHARE_BINS = 4096
 
 
 def clip(v: Column, dtype: str) -> Column:
@@ -98,7 +100,10 @@ def match_histogram_foreground(voxels: DataFrame, thresholds: DataFrame, referen
     ref = shares.where(F.col("scan_id") == reference).select(F.col("q").alias("q1"), F.col("v").cast("double").alias("v1"))
     before = W.orderBy("q1")  # one row per value of one scan
     steps = ref.withColumn("q0", F.coalesce(F.lag("q1").over(before), F.lit(-1.0))).withColumn("v0", F.coalesce(F.lag("v1").over(before), F.col("v1")))
-    met = shares.join(F.broadcast(steps), (F.col("q") > F.col("q0")) & (F.col("q") <= F.col("q1")))
+    # a step is listed at each share bin that it covers, so that shares meet the steps of their own bin only
+    bin_of = lambda q: F.floor(q * SHARE_BINS).cast("int")
+    listed = steps.withColumn("bin", F.explode(F.sequence(bin_of(F.greatest(F.col("q0"), F.lit(0.0))), bin_of(F.col("q1")))))
+    met = shares.withColumn("bin", bin_of(F.col("q"))).join(listed, "bin").where((F.col("q") > F.col("q0")) & (F.col("q") <= F.col("q1")))
     new = F.when(F.col("q0") < 0, F.col("v1")).otherwise(F.col("v0") + (F.col("q") - F.col("q0")) / (F.col("q1") - F.col("q0")) * (F.col("v1") - F.col("v0")))
     lookup = met.select("scan_id", "v", saturating_cast(new, dtype).alias("matched"))
     return voxels.join(lookup, ["scan_id", "v"], "left").select(*CELL, F.coalesce("matched", "v").alias("v"))

@@ -6,12 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Leading hex digits of a draw that name its range.
+RANGE_DIGITS = 3
+
 
 def draw(name: Column, seed: int) -> Column:
     """A place in a seeded order that depends on the name alone."""
     return F.md5(F.concat_ws(":", F.lit(seed), name.cast("string")).cast("binary"))
 
 
+def ranked(names: DataFrame, seed: int) -> DataFrame:
+    """names with d, their draw, and r, the place from 1 by d and name.
+
+    The draw's first digits cut the order into 4096 ranges; a place is that in its range after the counts of those before.
+    """
+    cut = names.withColumn("d", draw(F.col("name"), seed)).withColumn("__range", F.substring("d", 1, RANGE_DIGITS))
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy("d", "name"))
+    return cut.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("r", F.col("__before") + F.col("__inside")).drop("__range", "__inside", "__before")
+
+
 def subject_split(subjects: DataFrame, val: float, test: float, seed: int) -> DataFrame:
     """name and split. Sizes are rounded half-even, validation and test have at least one; fails when nothing is left to train on."""
     names = subjects.select("name").distinct()
@@ -19,20 +34,14 @@ def subject_split(subjects: DataFrame, val: float, test: float, seed: int) -> Da
     sizes = [max(1, round(n * val / 100)), max(1, round(n * test / 100))]
     if n - sum(sizes) < 1:
         raise ValueError("no subject is left for training")
-    bounds = names.select(draw(F.col("name"), seed).alias("d")).orderBy("d").limit(sum(sizes)).collect() if sum(sizes) <= 100_000 else None
-    if bounds:
-        first, last = bounds[sizes[0] - 1].d, bounds[-1].d
-        d = draw(F.col("name"), seed)
-        return names.select("name", F.when(d <= first, "val").when(d <= last, "test").otherwise("train").alias("split"))
-    r = F.row_number().over(W.orderBy("d"))
-    return names.withColumn("d", draw(F.col("name"), seed)).withColumn("r", r).select("name", F.when(F.col("r") <= sizes[0], "val").when(F.col("r") <= sum(sizes), "test").otherwise("train").alias("split"))
+    return ranked(names, seed).select("name", F.when(F.col("r") <= sizes[0], "val").when(F.col("r") <= sum(sizes), "test").otherwise("train").alias("split"))
 
 
 def k_fold(subjects: DataFrame, k: int, seed: int, holdout: DataFrame | None = None) -> DataFrame:
     """name, fold and role in it (val or train): round-robin over the shuffled pool without the holdout."""
     pool = subjects.select("name").distinct()
     pool = pool.join(holdout.select("name"), "name", "left_anti") if holdout is not None else pool
-    placed = pool.withColumn("own", (F.row_number().over(W.orderBy(draw(F.col("name"), seed), "name")) - 1) % k)
+    placed = ranked(pool, seed).withColumn("own", (F.col("r") - 1) % k)
     return placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("name", "fold", F.when(F.col("own") == F.col("fold"), "val").otherwise("train").alias("role"))
 
 

@@ -103,16 +103,20 @@ def _local(points: DataFrame, subject: DataFrame, reference: DataFrame, r: int)
 METRICS = {
     "surface_distance": (lambda points, faces, **_: spatial.surface_distance(points, faces, ["scan_id"]).select("scan_id", F.col("id").alias("vertex_id"), F.col("distance").alias("value")), True, True),
     "parallel_distance": (lambda points, faces, **_: spatial.parallel_surface_distance(points, faces, ["scan_id"]).select("scan_id", F.col("id").alias("vertex_id"), F.col("distance").alias("value")), True, True),
-    "local_ncc": (lambda points, subject, reference, r=5, **_: _local(points, subject, reference, r), True, False),
+    "ncc": (lambda points, subject, reference, r=5, **_: _local(points, subject, reference, r), True, False),
 }
 #: Older names of metrics.
-LEGACY = {"distance": "surface_distance", "closest_point": "surface_distance"}
+LEGACY = {"dice": "surface_distance", "surface": "surface_distance", "local_ncc": "ncc"}
 
 
-def run_metric(name: str, mesh: bool = False, **inputs) -> DataFrame:
-    """vertex_metric rows (scan_id, metric, vertex_id, value) of a named metric over the cohort; what isn't supported falls back to surface distance."""
-    name = LEGACY.get(name, name)
-    function, on_voxels, on_meshes = METRICS.get(name, METRICS["surface_distance"])
-    if name not in METRICS or not (on_meshes if mesh else on_voxels):
-        name, function = "surface_distance", METRICS["surface_distance"][0]
-    return function(**inputs).withColumn("metric", F.lit(name))
+def metric_name(requested: str | None, mesh: bool = False) -> str:
+    """The metric that a request stands for, whatever its case and outer blanks; what isn't known or supported is surface distance."""
+    key = (requested or "").strip().lower()
+    key = LEGACY.get(key, key)
+    return key if key in METRICS and METRICS[key][2 if mesh else 1] else "surface_distance"
+
+
+def run_metric(name: str | None, mesh: bool = False, **inputs) -> DataFrame:
+    """vertex_metric rows (scan_id, metric, vertex_id, value) of a named metric over the cohort."""
+    name = metric_name(name, mesh)
+    return METRICS[name][0](**inputs).withColumn("metric", F.lit(name))

@@ -62,7 +62,7 @@ QUERIES = {
     "u3_unique_faces": lambda k, d: u.unique_faces(u.nondegenerate_faces(grid_faces(k, d).union(grid_faces(k, d).select("mesh_id", F.col("face_id") + 100000, "c", "a", "b")))).select("mesh_id", "face_id"),
     "u3_referenced_vertices": lambda k, d: u.referenced_vertices(as_mesh(k, d), grid_faces(k, d)).select("mesh_id", "vertex_id"),
     "u4_union_canvas": lambda k, d: u.union_canvas(e.mask_bbox(masks(k, d)), 2),
-    "x1_run_metric": lambda k, d: pose.run_metric("local_ncc", points=volume_pairs(k, d, 0).where("v > 160").select(F.col("pair").alias("scan_id"), (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).alias("id"), *XYZ), subject=volume_pairs(k, d, 1).withColumnRenamed("pair", "scan_id"), reference=volume_pairs(k, d, 0).withColumnRenamed("pair", "scan_id"), r=1).select("scan_id", "vertex_id", "metric"),
+    "x1_run_metric": lambda k, d: pose.run_metric("local_ncc", points=volume_pairs(k, d, 0).where("v > 160").select(F.col("pair").alias("scan_id"), (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).alias("id"), *XYZ), subject=volume_pairs(k, d, 1).withColumnRenamed("pair", "scan_id"), reference=volume_pairs(k, d, 0).withColumnRenamed("pair", "scan_id"), r=1).select("scan_id", "vertex_id", "metric", "value"),
 }
 
 _RUNS = "b AS (SELECT l_suppkey AS scan_id, l_linenumber AS label, avg(l_discount) AS dice, avg(l_tax) AS iou, avg(l_discount + 0.1::DOUBLE) AS dice_after, avg(l_tax + 0.1::DOUBLE) AS iou_after FROM lineitem GROUP BY ALL)"

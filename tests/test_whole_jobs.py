@@ -128,3 +128,21 @@ def test_unusable_coordinates_end(spark):
     near = {r.id: (r.face_id, round(r.distance, 6)) for r in spatial.surface_distance(points, faces, ["g"]).collect()}
     assert near == {1: (7, 0.1), 2: (None, inf), 3: (None, inf), 4: (None, inf), 5: (None, inf), 6: (7, 9.0)}
     assert spatial.surface_distance(points.drop("g"), faces.drop("g").limit(0)).where("face_id IS NULL").count() == 6
+
+
+def test_metric_names():
+    from osteon.operators.pose import metric_name
+
+    asked = [None, "", " NCC ", "dice", "Surface", "surface_distance", "parallel_distance", "other"]
+    assert [metric_name(a) for a in asked] == ["surface_distance", "surface_distance", "ncc", "surface_distance", "surface_distance", "surface_distance", "parallel_distance", "surface_distance"]
+    assert metric_name("ncc", mesh=True) == "surface_distance"
+
+
+def test_ranks_from_many_ranges(spark):
+    from osteon.operators.planning import ranked
+
+    names = spark.range(5000).selectExpr("cast(id AS string) AS name")
+    rows = ranked(names, 5).orderBy("r").collect()
+    assert [r.r for r in rows] == list(range(1, 5001))
+    assert [(r.d, r.name) for r in rows] == sorted((r.d, r.name) for r in rows)
+    assert ranked(names.limit(0), 5).count() == 0
