@@ -105,6 +105,7 @@ SQL = {
     "p10_combine_mean": T("dense") + _CHANNELS + "round_even(avg(v), 0)::INT AS v FROM ch GROUP BY ALL",
     "p10_combine_sum": T("dense") + _CHANNELS + "least(sum(v), 255)::INT AS v FROM ch GROUP BY ALL",
     "p10_combine_luma": T("dense") + _CHANNELS + "CASE WHEN count(DISTINCT channel) = 3 THEN least(round_even(max(CASE WHEN channel = 0 THEN v END)::DOUBLE * 0.299::DOUBLE + max(CASE WHEN channel = 1 THEN v END) * 0.587::DOUBLE + max(CASE WHEN channel = 2 THEN v END) * 0.114::DOUBLE, 0), 255) END::INT AS v FROM ch GROUP BY ALL",
+    "p10_combine_multiply": T("dense") + _CHANNELS + "least(round_even(list_reduce(list_prepend(255.0::DOUBLE, list(v::DOUBLE ORDER BY channel)), lambda a, b: a * b / 255.0::DOUBLE), 0), 255)::INT AS v FROM ch GROUP BY ALL",
     "p11_mask_out": T("dense") + " SELECT scan_id, z, y, x, CASE WHEN v > 128 AND 1 + v % 3 = 2 THEN v ELSE 0 END AS v FROM dense",
     "p12_volume_to_uint8": T("sparse") + """, s AS (SELECT scan_id, z, y, x, v * 7 AS v FROM sparse), e AS (SELECT scan_id, min(v) AS a, max(v) AS b, bool_and(v >= 0 AND v <= 255 AND v = floor(v)) AS fits FROM s GROUP BY 1)
         SELECT scan_id, z, y, x, CASE WHEN fits THEN v::INT WHEN b > a THEN floor((v - a) / (b - a) * 255)::INT ELSE 0 END AS v FROM s JOIN e USING (scan_id)""",
