@@ -146,3 +146,12 @@ def test_ranks_from_many_ranges(spark):
     assert [r.r for r in rows] == list(range(1, 5001))
     assert [(r.d, r.name) for r in rows] == sorted((r.d, r.name) for r in rows)
     assert ranked(names.limit(0), 5).count() == 0
+
+
+def test_hd95_of_an_empty_mask_is_null(spark):
+    from osteon.operators.evaluate import hd95
+
+    cell = "scan_id long, z int, y int, x int, label int"
+    pred = spark.createDataFrame([(1, 0, 0, 0, 1), (2, 0, 0, 0, 0)], cell)
+    target = spark.createDataFrame([(1, 0, 0, 2, 1), (2, 0, 0, 1, 1), (3, 0, 0, 1, 1)], cell)
+    assert {r.scan_id: r.hd95 for r in hd95(pred, target, 0.5).collect()} == {1: 1.0, 2: None, 3: None}
