@@ -11,13 +11,17 @@ Unanswered calls have a null result and the error `no result`. Results without a
 are returned by `orphans`. If results repeat an identifier, the one of the lowest turn counts, then of the lowest
 content; calls that repeat one are kept, with the error `repeated id`. Dependencies on unknown calls are the error `unknown dependency`
 and don't hold a call back; calls in or behind a cycle have a null step and the error `cycle`. Arguments that are no JSON
-object are the error `arguments`. Nulls in identifiers equal each other. Empty tables give empty results.
+object are the error `arguments` and are written as null: so are NaN and infinite numbers, objects that repeat a key,
+and what is nested too deep for Python's parser. Half a surrogate pair is written as its escape. Nulls in identifiers
+equal each other; further columns are left out, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +35,36 @@ REPLY = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
+def escaped(text: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 can't hold, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def as_text(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def finite(text: str) -> float:
+    value = float(text)
+    if not isfinite(value):
+        raise ValueError(text)
+    return value
+
+
+def without_repeats(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("repeated key")
+    return found
+
+
+def parsed(arguments: str | None) -> tuple[object, str]:
+    """The arguments and their canonical text; None and null for what is no JSON."""
+    try:
+        value = json.loads(arguments or "", parse_float=finite, parse_constant=finite, object_pairs_hook=without_repeats)
+        return value, as_text(value)
+    except (ValueError, RecursionError):
+        return None, "null"
 
 
 def problems(name: str | None, arguments: object, schemas: dict) -> list[str]:
@@ -55,12 +87,10 @@ def serialise(schemas: dict):
         for batch in batches:
             texts, errors = [], []
             for row in batch.select(["call_id", "name", "arguments", "content", "errors"]).to_pylist():
-                try:
-                    arguments = json.loads(row["arguments"] or "")
-                except ValueError:
-                    arguments = None
-                errors.append(row["errors"] + problems(row["name"], arguments, schemas))
-                texts.append(as_text({"arguments": arguments, "id": row["call_id"], "name": row["name"], "result": row["content"]}))
+                arguments, text = parsed(row["arguments"])
+                errors.append(row["errors"] + [escaped(p) for p in problems(row["name"], arguments, schemas)])
+                rest = as_text({"id": row["call_id"], "name": row["name"], "result": row["content"]})
+                texts.append(f'{{"arguments":{text},{rest[1:]}')
             made = {"errors": pa.array(errors, pa.list_(pa.string())), "json": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c) if c in batch.schema.names else None) for c in LINKED], names=LINKED)
 
@@ -136,6 +166,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
 
     calls: conv_id, call_id, turn, name, arguments (JSON), after (ids it needs); results: conv_id, call_id, turn, content.
     """
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
     order = steps(calls).withColumnRenamed("node", "s_node")
     times = calls.groupBy(F.col("conv_id").alias("t_conv"), F.col("call_id").alias("t_id")).agg(F.count("*").alias("times"))
     joined = calls.join(first_results(results), same("conv_id", "r_conv") & same("call_id", "r_id"), "left")
@@ -148,7 +179,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """User turns as calls of `reply`, each after the conversation's call before it; the next turn, if an assistant's, is the result."""
+    """User turns as calls of `reply`, each after the conversation's call before it; the next turn, if an assistant's, is the result.
+
+    A call is named after conversation and turn; where the turn is null, after the conversation alone.
+    """
     user = conversations.where("role = 'user'").withColumn("call_id", F.concat_ws(":", "conv_id", "turn"))
     before = F.lag("call_id").over(W.partitionBy("conv_id").orderBy("turn", "text"))
     arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")))
