@@ -33,6 +33,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with its columns of these names, in any case of letters, under other names: see put_back."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`").alias(f"__own_{c}" if c.lower() in taken else c) for c in df.columns])
+
+
+def put_back(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """The columns that df had before set_aside, and no others."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`__own_{c}`").alias(c) if c.lower() in taken else F.col(f"`{c}`") for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, in_batches, read, without
+from .common import ascii_lower, in_batches, put_back, read, set_aside, without
 from .words import WORD, hash_of, runs, shingles
 
 WINDOW, BLOCK_WINDOWS = 10, 200_000
@@ -154,6 +154,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_wind
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The documents that hold no window, with their columns only."""
+    names = [f.name for f in ADDED]
+    clean = find_leaks(set_aside(docs, *names), items, **options).where(F.size("hit_ranges") == 0)
+    return put_back(clean, docs.columns, *names)
+
+
 def join_with(index, schema: T.StructType):
     n = len(schema) - len(ADDED)
 

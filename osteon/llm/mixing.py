@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, without
+from .common import put_back, read, set_aside, without
 
 WEIGHTS, BUDGET, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 #: Sources that are broadcast to the documents; more of them are joined by a shuffle.
@@ -73,9 +73,9 @@ def mixing_plan(docs: DataFrame, weights=WEIGHTS, budget=BUDGET, most=MOST, seed
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as the plan says, with its columns only."""
-    planned = mixing_plan(docs, **options)
+    planned = mixing_plan(set_aside(docs, *ADDED), **options)
     emitted = planned.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return emitted.drop("__copy", *ADDED)
+    return put_back(emitted, docs.columns, *ADDED)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
