@@ -67,6 +67,33 @@ def test_grown_shards(spark):
     assert {x.b for x in r if x.a != x.b} == {24} and max(Counter(x.a for x in r).values()) < 300
 
 
+def test_a_large_shard_has_more_buckets(spark):
+    """Null doc_ids share a shard: its bytes are spread over buckets of its own."""
+    docs = spark.createDataFrame([(None if i % 2 else i, f"text number {i}") for i in range(2000)], "doc_id long, text string")
+    buckets = sharding.buckets_of(docs, 8, 1000, 1)
+    placed = sharding.scattered(docs, buckets, 1).collect()
+    rows = Counter(r["__bucket"] for r in placed)
+    assert max(buckets) > 5 * min(buckets) and max(rows.values()) < 100 and max(rows) < sum(buckets)
+    assert len({(r.shard, r["__bucket"]) for r in placed}) == len(rows)
+    got = sharding.shard_rows(docs, shards=8, bucket_bytes=1000, seed=1).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in docs.collect())
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = sharding.op1_sharding(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(texts.keys())
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key")
+        assert 0 <= r.shard < 24 and r.grown_shard in (r.shard, 24)
+    for s in range(24):
+        slots = [r.slot for r in rows if r.shard == s]
+        assert sorted(slots) == list(range(len(slots)))
+
+
 def luhn(digits):
     total = sum(d * (1 + i % 2) - 9 * (d * (1 + i % 2) > 9) for i, d in enumerate(map(int, reversed(digits))))
     return total % 10 == 0
@@ -272,6 +299,20 @@ def test_tool_calls(spark):
     assert all(json.loads(r.json)["id"] == k[1] for k, r in got.items())
 
 
+def test_arguments_that_are_no_json(spark):
+    deep, wide = '{"prompt":' + "[" * 200_000 + "]" * 200_000 + "}", json.dumps({"prompt": LONG, "turn": 1})
+    texts = {"lone": r'{"prompt":"a\ud800b","turn":1}', "key": r'{"\udc00":1}', "pair": r'{"prompt":"\ud83d\ude00"}', "deep": deep, "nan": '{"turn":NaN}', "inf": '{"turn":-Infinity}', "much": '{"turn":1e999}', "twice": '{"turn":1,"turn":2}', "long": wide, "none": None, "empty": ""}
+    calls = spark.createDataFrame([(1, k, None, "reply", t, None, 0, "x", "y") for k, t in texts.items()], "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, step int, content string, r_id string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string, name string, lost string")
+    got = {r.call_id: r for r in toolcalls.link_calls(calls, results, toolcalls.REPLY).collect()}
+    assert set(got) == set(texts) and all(r.step == 0 and r.turn is None and r.result_turn is None for r in got.values())
+    refused = {"deep", "nan", "inf", "much", "twice", "none", "empty"}
+    for k, r in got.items():
+        assert ("arguments" in r.errors) == (k in refused), k
+        assert json.loads(r.json) == {"arguments": None if k in refused else json.loads(texts[k]), "id": k, "name": "reply", "result": None}
+    assert r"unknown \udc00" in got["key"].errors and got["lone"].errors == ["no result"]
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
@@ -434,6 +475,29 @@ def test_pipeline(spark, sf_dir):
     assert last.count() == before.count() and {"shard", "slot"} <= set(last.columns)
 
 
+def test_pipeline_stages_on_hard_cases(spark, sf_dir, hard, empty):
+    """Every stage against what it is told to keep; repeated ids with other texts, nulls, empty and long texts."""
+    extra = [(9, "a wholly different text that shares the number nine with others", "en", None, 5, "x", "y", 1, "z")]
+    docs = hard.union(spark.createDataFrame(extra, DOCS))
+    rows = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    held = rows(docs)
+    known = rows(corpus_pipeline.language_id(spark, docs, sf_dir))
+    assert not known - held and not any(t in (None, "", "12 34 .. 56") for _, t in known)
+    kept = rows(corpus_pipeline.near_duplicates(spark, docs, sf_dir))
+    want = Counter({k: 1 for k in held if k not in ((2, TEXTS[1][1]), (7, LONG + " tail"))})
+    assert kept == want
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    plant = next(t for t in items if t and len(t.split()) >= 10)
+    leaked = docs.union(spark.createDataFrame([(77, f"before it {plant} and after", "en", "a", 1, "x", "y", 1, "z")], DOCS))
+    clean = rows(corpus_pipeline.decontamination(spark, leaked, sf_dir))
+    assert (77, f"before it {plant} and after") not in clean and (9, extra[0][1]) in clean and not clean - held
+    mixed = rows(corpus_pipeline.source_mixing(spark, docs, sf_dir))
+    assert set(mixed) <= set(held) and all(n <= 2 * held[k] for k, n in mixed.items() if k[1])
+    assert rows(corpus_pipeline.shard(spark, docs, sf_dir)) == held
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+
+
 def test_parities_never_rule_out_a_link():
     rng = np.random.default_rng(12)
     for n in (1, 5, 120, 700, 3000):
