@@ -3,6 +3,11 @@
 Language identification drops documents whose language it can't tell; of each group of near-duplicates one
 document stays; documents that hold a benchmark window are dropped; sources are mixed to their target weights;
 and the mix is dealt into shuffled shards. Every stage but the last returns the columns of documents.
+
+Texts that are null, empty or without a letter have no language, so the first stage drops them. Of rows of one
+component the one of the lowest doc_id stays, null last; rows without words stay all. Stages go by rows, so rows that
+repeat a doc_id with another text are documents of their own. A null source is a source. Texts are read whole.
+Further columns pass through the first four stages; the last one replaces shard and slot. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,11 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")).where(F.size("hit_ranges") == 0).select(*docs.columns)
+    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
