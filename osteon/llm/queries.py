@@ -16,6 +16,7 @@ REGISTERED = (
     ("langid", "op8_language_id", False),
     ("simhash", "op9_simhash", False),
     ("toxicity", "op10_toxicity", False),
+    ("licences", "op11_licences", True),
     ("fill_in_middle", "op13_fill_in_middle", True),
 )
 
