@@ -239,8 +239,8 @@ word(pid, k, w, key) AS (VALUES {as_values(words)}),
 size(pid, n, need, keys) AS (VALUES {as_values(sizes)}),
 part(aid, label, pid, parts) AS (VALUES {as_values(needs)}),
 base(pid, label) AS (VALUES {as_values(base)}),
-t AS (SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS at FROM d),
-met AS (SELECT rid, pid, at - k AS start, count(*) AS n, sum(key) AS keys FROM t JOIN word USING (w) GROUP BY ALL),
+t AS (SELECT rid, unnest(w) AS w, unnest(range(len(w))) AS pos FROM d),
+met AS (SELECT rid, pid, pos - k AS start, count(*) AS n, sum(key) AS keys FROM t JOIN word USING (w) GROUP BY ALL),
 places AS (
   SELECT rid, m.pid, start, m.n, s.n AS words FROM met m JOIN size s ON s.pid = m.pid JOIN d USING (rid)
   WHERE m.n >= need AND m.keys = s.keys AND start >= 0 AND start + s.n <= len(d.w)),
