@@ -17,6 +17,7 @@ REGISTERED = (
     ("simhash", "op9_simhash", False),
     ("toxicity", "op10_toxicity", False),
     ("licences", "op11_licences", True),
+    ("repair", "op12_conversation_repair", True),
     ("fill_in_middle", "op13_fill_in_middle", True),
 )
 
