@@ -1,19 +1,19 @@
 """Stencils over voxels: smoothing, ranks, windows, distances, morphology and resampling.
 
-Separable stencils run an axis at a time as ordered windows over dense lines, which keeps rows where they are; others send each
-voxel to its neighbours and gather by cell. voxels: scan_id, z, y, x, v on full boxes from 0 unless said otherwise.
+Sums, extremes and city-block distances run an axis at a time as ordered windows over lines, which keeps rows where they are; smoothing,
+medians, closing and non-local means work on blocks with a halo, Euclidean distances on lines. voxels: scan_id, z, y, x, v on full boxes from 0 unless said otherwise.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .intensity import FACES, around
-from .spatial import nearest_point
+from .blocks import SIDE, distance_transform, over_blocks, shifted, squared_distances, weighted
 
 CELL = ("scan_id", "z", "y", "x")
 
@@ -24,29 +24,42 @@ def line(axis: str, r: int):
     return W.partitionBy("scan_id", *others).orderBy(axis).rangeBetween(-r, r)
 
 
-def gaussian_smooth(voxels: DataFrame, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian; beyond the box the volume is mirrored about its outer faces."""
+def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
+    """Weights of a Gaussian from -r to r, r = int(truncate * sigma + 0.5), that add up to 1."""
     r = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
     total = sum(weights)
-    out = voxels.withColumn("v", F.col("v").cast("double"))
-    top = voxels.groupBy("scan_id").agg(*[F.max(a).alias(f"m{a}") for a in "zyx"])
-    taps = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(w / total).alias("w")) for k, w in zip(range(-r, r + 1), weights, strict=True)])
-    for a in "zyx":
-        n = F.col(f"m{a}") + 1
-        raw = F.pmod(F.col(a) + F.col("t.d"), 2 * n)
-        sent = out.join(top, "scan_id").select("scan_id", "z", "y", "x", "v", F.explode(taps).alias("t"), f"m{a}")
-        # a mirrored source reaches the same cells as the cell mirrored back, so each voxel sends to where it is read from
-        target = F.when(raw < n, raw).otherwise(2 * n - 1 - raw).cast("int")
-        out = sent.withColumn(a, target).groupBy(*CELL).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
-    return out
+    return [w / total for w in weights]
+
+
+def gaussian_smooth(voxels: DataFrame, sigma: float, truncate: float = 4.0, pad: str = "symmetric", whole: bool = False) -> DataFrame:
+    """Separable Gaussian of whole boxes; beyond the box the volume is mirrored about its outer faces, or its edge goes on (pad="edge").
+
+    whole: each of the three passes is truncated to a whole number, as in volumes that are kept in an integer type.
+    """
+    weights = np.array(kernel(sigma, truncate))
+
+    def smooth(arrays: list, inside: np.ndarray) -> list:
+        out = arrays[0]
+        for axis in range(3):
+            out = weighted(out, weights, axis)
+            out = np.trunc(out + np.copysign(1e-9, out)) if whole else out
+        return [out]
+
+    return over_blocks(voxels, len(weights) // 2, smooth, ["v"], pad=pad, every=True)
 
 
 def median_filter(voxels: DataFrame) -> DataFrame:
     """Median of 3x3x3; at the border of the cells that exist."""
     cube = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    m = around(voxels, cube).groupBy(*CELL).agg(F.median("nv").alias("m"))
-    return voxels.join(m, list(CELL)).select(*CELL, F.col("m").alias("v"))
+
+    def middle(arrays: list, inside: np.ndarray) -> list:
+        near = np.sort(np.stack([np.where(shifted(inside, o, 1), shifted(arrays[0], o, 1), np.inf) for o in cube]), axis=0)
+        n = np.maximum(sum(shifted(inside, o, 1).astype(np.int64) for o in cube), 1)
+        low, high = (np.take_along_axis(near, k[None], 0)[0] for k in ((n - 1) // 2, n // 2))
+        return [low + (high - low) / 2 if np.isfinite(high).all() else np.where(np.isfinite(high), (low + high) / 2, low)]
+
+    return over_blocks(voxels, 1, middle, ["v"])
 
 
 def box_sums(voxels: DataFrame, r: int, columns: list[str]) -> DataFrame:
@@ -78,14 +91,9 @@ def local_ncc(a: DataFrame, b: DataFrame, r: int = 5) -> DataFrame:
 
 
 def distance_guard(voxels: DataFrame, threshold: float) -> DataFrame:
-    """Exact Euclidean distance, in cells, of every cell to the nearest cell over the threshold; 0 inside."""
-    inside = voxels.where(F.col("v") > threshold)
-    code = F.col("z") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")
-    surface = inside.join(around(inside, FACES).groupBy(*CELL).agg(F.count("*").alias("n")), list(CELL), "left").where("coalesce(n, 0) < 6")
-    outside = voxels.where(F.col("v") <= threshold).withColumn("id", code)
-    near = nearest_point(outside, surface.withColumn("id", code), group=["scan_id"], width=2.0)
-    out = outside.join(near.select("scan_id", "id", "distance"), ["scan_id", "id"]).select(*CELL, "distance")
-    return out.union(inside.select(*CELL, F.lit(0.0)))
+    """Exact Euclidean distance, in cells, of every cell to the nearest cell over the threshold; 0 inside, infinite where a scan has none."""
+    d = distance_transform(voxels.select(*CELL, (F.col("v") > threshold).alias("site")))
+    return d.select(*CELL, F.sqrt("d2").alias("distance"))
 
 
 def constant_fill(voxels: DataFrame, threshold: float) -> DataFrame:
@@ -96,22 +104,64 @@ def constant_fill(voxels: DataFrame, threshold: float) -> DataFrame:
     return out.where((F.col("v") < threshold) & (F.col("lo") == F.col("hi"))).select(*CELL)
 
 
-def dilate(cells: DataFrame, n: int, shape: tuple[int, int, int] | None = None) -> DataFrame:
-    """n face-adjacent steps, inside the shape (z, y, x) if one is given: the offsets of up to n steps are sent at once."""
-    reach = [(i, j, k) for i in range(-n, n + 1) for j in range(-n, n + 1) for k in range(-n, n + 1) if abs(i) + abs(j) + abs(k) <= n]
-    out = around(cells.withColumn("v", F.lit(1)), reach).select(*CELL).distinct()
-    return out.where(" AND ".join(f"{a} BETWEEN 0 AND {s - 1}" for a, s in zip("zyx", shape, strict=True))) if shape else out
+def box_cells(boxes: DataFrame) -> DataFrame:
+    """All cells of boxes: scan_id and lo_z .. hi_x, both ends inside."""
+    out = boxes
+    for a in "zyx":
+        out = out.withColumn(a, F.explode(F.sequence(F.col(f"lo_{a}").cast("int"), F.col(f"hi_{a}").cast("int"))))
+    return out.select(*CELL)
+
+
+def boxes_of(cells: DataFrame, shape: tuple[int, int, int] | DataFrame | None, reach: int) -> DataFrame:
+    """scan_id and lo_z .. hi_x: the given shape (z, y, x; or by scan as nz, ny, nx), else the cells' own box, widened."""
+    own = cells.groupBy("scan_id").agg(*[f(a).alias(n + a) for a in "zyx" for f, n in ((F.min, "lo_"), (F.max, "hi_"))])
+    if shape is None:
+        return own.select("scan_id", *[(F.col(f"lo_{a}") - reach).alias(f"lo_{a}") for a in "zyx"], *[(F.col(f"hi_{a}") + reach).alias(f"hi_{a}") for a in "zyx"])
+    if isinstance(shape, DataFrame):
+        return shape.select("scan_id", *[F.lit(0).alias(f"lo_{a}") for a in "zyx"], *[(F.col(f"n{a}") - 1).alias(f"hi_{a}") for a in "zyx"])
+    return own.select("scan_id", *[F.lit(0).alias(f"lo_{a}") for a in "zyx"], *[F.lit(n - 1).alias(f"hi_{a}") for a, n in zip("zyx", shape, strict=True)])
+
+
+def dilate(cells: DataFrame, n: int, shape: tuple[int, int, int] | DataFrame | None = None) -> DataFrame:
+    """n face-adjacent steps, inside the shape (z, y, x) if one is given.
+
+    A cell is n steps away if its city-block distance is at most n, which two running minima along each axis give.
+    """
+    own = cells.select(*CELL).distinct()
+    steps = box_cells(boxes_of(own, shape, n)).join(own.withColumn("d", F.lit(0)), list(CELL), "left").withColumn("d", F.coalesce("d", F.lit(1 << 30)))
+    for a in "zyx":
+        order = W.partitionBy("scan_id", *[b for b in "zyx" if b != a]).orderBy(a)
+        before = F.min(F.col("d") - F.col(a)).over(order) + F.col(a)
+        after = F.min(F.col("d") + F.col(a)).over(order.rowsBetween(0, W.unboundedFollowing)) - F.col(a)
+        steps = steps.withColumn("d", F.least(before, after))
+    return steps.where(F.col("d") <= n).select(*CELL)
 
 
 def ball(r: int) -> list[tuple[int, int, int]]:
     return [(i, j, k) for i in range(-r, r + 1) for j in range(-r, r + 1) for k in range(-r, r + 1) if i * i + j * j + k * k <= r * r]
 
 
-def close_ball(cells: DataFrame, r: int) -> DataFrame:
-    """Dilation, then erosion by a ball; the space around the box counts as empty for the first and isn't cut for the second."""
-    grown = around(cells.withColumn("v", F.lit(1)), ball(r)).select(*CELL).distinct()
-    back = around(grown.withColumn("v", F.lit(1)), ball(r)).groupBy(*CELL).agg(F.count("*").alias("n"))
-    return back.where(F.col("n") == len(ball(r))).select(*CELL)
+def close_ball(cells: DataFrame, r: int, shape: tuple[int, int, int] | DataFrame | None = None) -> DataFrame:
+    """Dilation, then erosion by a ball of radius r.
+
+    With a shape, what lies outside of it counts as empty for the first and as full for the second. Without, space has no border.
+    Both are distance transforms inside blocks whose halo is 2 r, so a voxel is shuffled once whatever the radius.
+    """
+    own = cells.select(*CELL).distinct()
+    boxes = boxes_of(own, shape, r)
+    # blocks count from 0
+    low = boxes.select("scan_id", *[F.least(F.col(f"lo_{a}"), F.lit(0)).alias(f"m{a}") for a in "zyx"])
+    every = box_cells(boxes).join(own.withColumn("v", F.lit(1)), list(CELL), "left").na.fill(0, ["v"])
+    moved = every.join(low, "scan_id").select("scan_id", *[(F.col(a) - F.col(f"m{a}")).alias(a) for a in "zyx"], "v")
+    h, bounded = 2 * r, shape is not None
+
+    def close(arrays: list, inside: np.ndarray) -> list:
+        grown = (squared_distances(arrays[0] > 0) <= r * r) & inside
+        gaps = ~grown & inside if bounded else ~grown
+        return [shifted(squared_distances(gaps) > r * r, (0, 0, 0), h)]
+
+    out = over_blocks(moved, h, close, ["kept"], side=max(SIDE, 2 * h), rows=lambda results: results[0])
+    return out.join(low, "scan_id").select("scan_id", *[(F.col(a) + F.col(f"m{a}")).cast("int").alias(a) for a in "zyx"])
 
 
 def resample_linear_weights(n: int, m: int) -> list[tuple[int, int, float]]:
@@ -186,18 +236,25 @@ def radial_descriptor(voxels: DataFrame, points: DataFrame, r: int = 6, shells:
 def nlm_denoise(voxels: DataFrame, h: float, patch: int = 1, search: int = 2) -> DataFrame:
     """Non-local means: sum w I / sum w over the search window, w = exp(-|dP|^2 / 2h^2) with the mean squared patch difference.
 
-    Each pair of cells in reach is compared through sums of squared differences over shifted patches; cells outside are left out.
+    Each shift is compared through sums of squared differences over shifted patches; cells outside are left out.
     """
-    base = voxels.select(*CELL, F.col("v").cast("double").alias("v"))
-    reach = range(-search, search + 1)
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in reach for j in reach for k in reach]))
-    other = base.select("*", steps.alias("t")).select("scan_id", *[(F.col(a) - F.col(f"t.{n}")).alias(a) for a, n in zip("zyx", "ijk", strict=True)], "t", F.col("v").alias("o"))
-    # each shift of a scan is a volume of its own
-    shift = F.struct("scan_id", "t").alias("scan_id")
-    pair = base.join(other, list(CELL)).select(shift, "z", "y", "x", "o", ((F.col("v") - F.col("o")) ** 2).alias("s"), F.lit(1.0).alias("n"))
-    w = F.exp(-F.col("s") / F.col("n") / (2 * h * h))
-    near = box_sums(pair, patch, ["s", "n"]).select(F.col("scan_id.scan_id").alias("scan_id"), "z", "y", "x", w.alias("w"), (w * F.col("o")).alias("t"))
-    return near.groupBy(*CELL).agg((F.sum("t") / F.sum("w")).alias("v"))
+    halo, reach = patch + search, range(-search, search + 1)
+    ones = np.ones(2 * patch + 1)
+
+    def denoise(arrays: list, inside: np.ndarray) -> list:
+        v, core = arrays[0], tuple(slice(halo, s - halo) for s in inside.shape)
+        near = lambda array, o: array[tuple(slice(search + k, s - search + k) for k, s in zip(o, array.shape, strict=True))]
+        top = low = 0.0
+        for o in ((i, j, k) for i in reach for j in reach for k in reach):
+            both = near(inside, (0, 0, 0)) & near(inside, o)
+            gap, n = np.where(both, (near(v, (0, 0, 0)) - near(v, o)) ** 2, 0.0), both.astype(np.float64)
+            for axis in range(3):
+                gap, n = weighted(gap, ones, axis), weighted(n, ones, axis)
+            w = np.where(shifted(inside, o, halo) & inside[core], np.exp(-gap / np.maximum(n, 1.0) / (2 * h * h)), 0.0)
+            top, low = top + w * shifted(v, o, halo), low + w
+        return [top / np.where(low > 0, low, 1.0)]
+
+    return over_blocks(voxels, halo, denoise, ["v"])
 
 
 def interest_points(voxels: DataFrame, inside: DataFrame, r: int = 2, n: int = 180, sep: int = 4) -> DataFrame:

@@ -5,9 +5,16 @@ voxels: scan_id, z, y, x, v. A histogram is the only thing that is gathered per
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .stencil import gaussian_smooth
+from .tables import written
+
 
 def by_scan():
     return W.partitionBy("scan_id")
@@ -41,22 +48,71 @@ def span_histogram(voxels: DataFrame, bins: int) -> DataFrame:
     return every.join(counts, ["scan_id", "bin"], "left").select("scan_id", "bin", F.coalesce("n", F.lit(0)).alias("n"), "a", "w")
 
 
-def fd_histogram_peak(voxels: DataFrame) -> DataFrame:
-    """Peak of a Freedman-Diaconis histogram (16 to 4096 bins), refined by a parabola by half a bin at most."""
+def fd_bins(voxels: DataFrame) -> DataFrame:
+    """scan_id, a, w, bins of a Freedman-Diaconis histogram of 16 to 4096 bins; a scan of one value has one bin around it."""
     q = voxels.groupBy("scan_id").agg(F.percentile("v", [0.25, 0.75]).alias("q"), F.min("v").cast("double").alias("a"), F.max("v").cast("double").alias("b"), F.count("*").alias("total"))
     width = 2 * (F.col("q")[1] - F.col("q")[0]) / F.pow(F.col("total").cast("double"), F.lit(1 / 3))
-    bins = F.when((width > 0) & (F.col("b") > F.col("a")), F.least(F.greatest(F.ceil((F.col("b") - F.col("a")) / width), F.lit(16)), F.lit(4096))).otherwise(F.lit(16))
-    plan = q.select("scan_id", "a", F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) / bins).otherwise(F.lit(1.0)).alias("w"), bins.cast("int").alias("bins"))
+    spread = F.col("b") > F.col("a")
+    bins = F.when(spread & (width > 0), F.least(F.greatest(F.ceil((F.col("b") - F.col("a")) / width), F.lit(16)), F.lit(4096))).when(spread, F.lit(16)).otherwise(F.lit(1)).cast("int")
+    plan = q.withColumn("bins", bins)
+    return plan.select("scan_id", F.when(spread, F.col("a")).otherwise(F.col("a") - 0.5).alias("a"), F.when(spread, (F.col("b") - F.col("a")) / F.col("bins")).otherwise(F.lit(1.0)).alias("w"), "bins")
+
+
+def fd_histogram(voxels: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """scan_id, a, w, bins, bin, n of the bins that hold values."""
+    plan = fd_bins(voxels) if plan is None else plan
     at = F.least(F.floor((F.col("v") - F.col("a")) / F.col("w")), F.col("bins") - 1).cast("int")
-    counts = voxels.join(plan, "scan_id").groupBy("scan_id", "a", "w", at.alias("bin")).agg(F.count("*").alias("n"))
-    top = counts.groupBy("scan_id", "a", "w").agg(F.max(F.struct("n", (-F.col("bin")).alias("i"))).alias("t")).select("scan_id", "a", "w", F.col("t.n").alias("n"), (-F.col("t.i")).alias("bin"))
+    return voxels.select("scan_id", "v").join(plan, "scan_id").groupBy("scan_id", "a", "w", "bins", at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def fd_histogram_peak(voxels: DataFrame) -> DataFrame:
+    """Peak of a Freedman-Diaconis histogram, refined by a parabola by half a bin at most; the first and last bin aren't refined."""
+    counts = fd_histogram(voxels)
+    top = counts.groupBy("scan_id", "a", "w", "bins").agg(F.max(F.struct("n", (-F.col("bin")).alias("i"))).alias("t")).select("scan_id", "a", "w", "bins", F.col("t.n").alias("n"), (-F.col("t.i")).alias("bin"))
     beside = lambda d, name: counts.select("scan_id", (F.col("bin") + d).alias("bin"), F.col("n").alias(name))
     met = top.join(beside(1, "l"), ["scan_id", "bin"], "left").join(beside(-1, "r"), ["scan_id", "bin"], "left").na.fill(0, ["l", "r"])
     bend = F.col("l") - 2 * F.col("n") + F.col("r")
-    move = F.when(bend < 0, F.least(F.greatest(0.5 * (F.col("l") - F.col("r")) / bend, F.lit(-0.5)), F.lit(0.5))).otherwise(F.lit(0.0))
+    inner = (F.col("bin") > 0) & (F.col("bin") < F.col("bins") - 1)
+    move = F.when(inner & (bend < 0), F.least(F.greatest(0.5 * (F.col("l") - F.col("r")) / bend, F.lit(-0.5)), F.lit(0.5))).otherwise(F.lit(0.0))
     return met.select("scan_id", (F.col("a") + (F.col("bin") + 0.5 + move) * F.col("w")).alias("peak"), "w")
 
 
+def half_max_spread(voxels: DataFrame, peaks: DataFrame) -> DataFrame:
+    """scan_id and half: the deviation of a mode from where its histogram falls to half of the peak's bin, on one side.
+
+    peaks: scan_id, peak, side (-1 or 1). The crossing is interpolated; scans whose histogram ends before it are left out.
+    """
+    counts = written(fd_histogram(voxels))
+    plan = counts.select("scan_id", "a", "w", "bins").distinct().join(peaks, "scan_id")
+    own = F.least(F.greatest(F.floor((F.col("peak") - F.col("a")) / F.col("w")), F.lit(0)), F.col("bins") - 1).cast("int")
+    plan = plan.withColumn("k", own)
+    every = plan.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).join(counts.select("scan_id", "bin", "n"), ["scan_id", "bin"], "left").na.fill(0, ["n"])
+    steps = every.withColumn("step", (F.col("bin") - F.col("k")) * F.col("side")).where("step >= 0")
+    order = by_scan().orderBy("step")
+    walked = steps.withColumn("half", F.first("n").over(order) / 2.0).withColumn("before", F.lag("n").over(order))
+    first = walked.where("n <= half AND step > 0").groupBy("scan_id").agg(F.min_by(F.struct("bin", "n", "half", "before", "a", "w", "side", "peak"), "step").alias("c")).select("scan_id", "c.*")
+    share = F.when(F.col("before") != F.col("n"), (F.col("before") - F.col("half")) / (F.col("before") - F.col("n"))).otherwise(F.lit(0.0))
+    crossing = F.col("a") + (F.col("bin") - F.col("side") + 0.5) * F.col("w") + F.col("side") * share * F.col("w")
+    return first.select("scan_id", (F.abs(crossing - F.col("peak")) / math.sqrt(2 * math.log(2))).alias("half"))
+
+
+def mode_spread(voxels: DataFrame, peaks: DataFrame, clipped: DataFrame) -> DataFrame:
+    """scan_id, spread and rule of the mode at each scan's peak.
+
+    The narrower of both sides' root mean squares; where one end of the range alone is clipped (clipped: scan_id, low_end,
+    high_end), the half-maximum width of the other side, if it can be measured.
+    """
+    d = voxels.select("scan_id", "v").join(peaks.select("scan_id", "peak"), "scan_id").withColumn("d", F.col("v") - F.col("peak"))
+    rms = lambda side: F.sqrt(F.avg(F.when(side, F.col("d") * F.col("d"))))
+    sides = d.groupBy("scan_id").agg(rms(F.col("d") < 0).alias("below"), rms(F.col("d") > 0).alias("above"))
+    cut = clipped.where("low_end <> high_end").select("scan_id", F.when(F.col("low_end"), 1).otherwise(-1).alias("side"))
+    half = half_max_spread(voxels, peaks.select("scan_id", "peak").join(cut, "scan_id"))
+    met = sides.join(cut, "scan_id", "left").join(half, "scan_id", "left")
+    wide = F.col("half") > 0
+    rule = F.when(wide & (F.col("side") > 0), "half_max_upper").when(wide, "half_max_lower").when(F.coalesce("below", "above").isNull(), "none").otherwise("narrower_side_rms")
+    return met.select("scan_id", F.when(wide, F.col("half")).otherwise(F.coalesce(F.least("below", "above"), F.lit(0.0))).alias("spread"), rule.alias("rule"))
+
+
 def peak_spread(voxels: DataFrame, peaks: DataFrame) -> DataFrame:
     """Root mean square distance from the peak on the side where it is smaller."""
     d = voxels.join(peaks.select("scan_id", "peak"), "scan_id").withColumn("d", F.col("v") - F.col("peak"))
@@ -187,11 +243,25 @@ METHODS = {
 }
 
 
-def align_thresholds(method: str, voxels: DataFrame, eligible: DataFrame, reference: int | None = None, value: float | None = None) -> DataFrame:
-    """scan_id, threshold and foreground (voxels above it) of every eligible scan."""
-    chosen = METHODS[method](voxels) if method in ("otsu", "li", "kapur") else METHODS[method](voxels, reference, value)
-    kept = chosen.join(eligible.where("keep").select("scan_id"), "scan_id", "left_semi")
-    counts = voxels.join(kept, "scan_id").groupBy("scan_id", "threshold").agg(F.sum((F.col("v") > F.col("threshold")).cast("long")).alias("foreground"))
+def align_thresholds(method: str, voxels: DataFrame, eligible: DataFrame, reference: int | None = None, value: float | None = None, sigma: float | None = 1.0) -> DataFrame:
+    """scan_id, threshold and foreground (voxels above it) of every eligible scan.
+
+    Thresholds are found on volumes smoothed by a Gaussian of `sigma` (None: as they are), each pass cut to whole numbers if the
+    voxels are; they are never below a scan's smoothed minimum, but for method "same". Without a value, the reference's own Otsu
+    threshold counts.
+    """
+    kept = eligible.where("keep").select("scan_id").distinct()
+    needed = kept if reference is None else kept.union(voxels.sparkSession.createDataFrame([(reference,)], kept.schema)).distinct()
+    work = voxels.join(needed, "scan_id", "left_semi")
+    if sigma and method != "same":
+        work = written(gaussian_smooth(work, sigma, whole=isinstance(voxels.schema["v"].dataType, T.IntegralType)))
+    if value is None and method in ("percentile", "peak", "same"):
+        value = threshold_otsu(work.where(F.col("scan_id") == reference)).first()["threshold"]
+    chosen = METHODS[method](work) if method in ("otsu", "li", "kapur") else METHODS[method](work, reference, value)
+    if method != "same":
+        low = work.groupBy("scan_id").agg(F.min("v").cast("double").alias("low"))
+        chosen = chosen.join(low, "scan_id").select("scan_id", F.greatest("threshold", "low").alias("threshold"))
+    counts = voxels.join(chosen.join(kept, "scan_id", "left_semi"), "scan_id").groupBy("scan_id", "threshold").agg(F.sum((F.col("v") > F.col("threshold")).cast("long")).alias("foreground"))
     return counts.select("scan_id", "threshold", "foreground")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cohort, intensity as i, thresholds as t
+from ..operators.stencil import kernel
 from .proxies import dense_voxels, edits, scans, sparse_voxels, with_tables
 
 T = with_tables
@@ -29,17 +30,19 @@ def channels(s, d):
     return dense(s, d).select(F.floor(F.col("scan_id") / 3).alias("scan_id"), "z", "y", "x", "v", (F.col("scan_id") % 3).cast("int").alias("channel"))
 
 
-def aligned(method, **options):
+def aligned(method, voxels=sparse_voxels, **options):
     def query(s, d):
         batch = cohort.eligible_batch(scans(s, d), edits(s, d), "crop")
-        return t.align_thresholds(method, sparse_voxels(s, d), batch, **options)
+        return t.align_thresholds(method, voxels(s, d), batch, **options)
 
     return query
 
 
 QUERIES = {
-    "x2_align_thresholds_percentile": aligned("percentile", reference=1, value=25.0),
-    "x2_align_thresholds_otsu": aligned("otsu"),
+    "x2_align_thresholds_percentile": aligned("percentile", reference=1, value=25.0, sigma=None),
+    "x2_align_thresholds_otsu": aligned("otsu", dense),
+    "x2_align_thresholds_smoothed_percentile": aligned("percentile", dense, reference=0),
+    "x2_align_thresholds_same": aligned("same", dense, reference=0, value=128.0),
     "p1_subtract_background": lambda s, d: i.subtract_background(dense(s, d), offsets(s, d)).select(*CELLS),
     "p2_remove_background": lambda s, d: i.remove_background(dense(s, d), level(s, d)).select(*CELLS),
     "p3_shift_to_reference": lambda s, d: i.shift_to_reference_threshold(dense(s, d), level(s, d).withColumn("threshold", (F.col("scan_id") % 50 + 100).cast("int")), F.lit(128)).select(*CELLS),
@@ -90,7 +93,30 @@ _RANKED = """r AS (SELECT scan_id, v, row_number() OVER (PARTITION BY scan_id OR
     o AS (SELECT scan_id, max(v) FILTER (i = floor(pos)) + (max(v) FILTER (i = ceil(pos)) - max(v) FILTER (i = floor(pos))) * (any_value(pos) - floor(any_value(pos))) AS threshold FROM r GROUP BY 1)"""
 _FINAL = " SELECT o.scan_id, o.threshold, sum((v > threshold)::INT)::BIGINT AS foreground FROM sparse JOIN o USING (scan_id) WHERE scan_id IN (FROM e) GROUP BY ALL"
 
+
+
+def kernel_rows(sigma: float, n: int = 4) -> str:
+    """(target, source, weight) of a Gaussian along an axis of n cells, mirrored at its faces."""
+    weights = kernel(sigma)
+    r, rows = len(weights) // 2, {}
+    for to in range(n):
+        for k, w in enumerate(weights):
+            at = (to + k - r) % (2 * n)
+            at = at if at < n else 2 * n - 1 - at
+            rows[to, at] = rows.get((to, at), 0.0) + w
+    return "kernel(t, s, w) AS (VALUES " + ", ".join(f"({a}, {b}, {w!r}::DOUBLE)" for (a, b), w in rows.items()) + ")"
+
+
+_SMOOTH = kernel_rows(1.0) + """,
+    sz AS (SELECT scan_id, t AS z, y, x, floor(sum(v * w) + 1e-9::DOUBLE) AS v FROM dense JOIN kernel ON s = z GROUP BY ALL),
+    sy AS (SELECT scan_id, z, t AS y, x, floor(sum(v * w) + 1e-9::DOUBLE) AS v FROM sz JOIN kernel ON s = y GROUP BY ALL),
+    smooth AS (SELECT scan_id, z, y, t AS x, floor(sum(v * w) + 1e-9::DOUBLE) AS v FROM sy JOIN kernel ON s = x GROUP BY ALL)"""
+_FINAL_DENSE = " SELECT o.scan_id, o.threshold::DOUBLE AS threshold, sum((v > threshold)::INT)::BIGINT AS foreground FROM dense JOIN o USING (scan_id) WHERE scan_id IN (FROM e) GROUP BY ALL"
+
 SQL = {
+    "x2_align_thresholds_otsu": T("dense", "scans", "edits") + f", {_ELIGIBLE}, {_SMOOTH}, " + _OTSU.format(t="smooth") + _FINAL_DENSE,
+    "x2_align_thresholds_smoothed_percentile": T("dense", "scans", "edits") + f", {_ELIGIBLE}, {_SMOOTH}, " + _OTSU.format(t="smooth").replace("o AS", "otsu AS") + ", q AS (SELECT avg((v < (SELECT threshold FROM otsu WHERE scan_id = 0))::INT) AS share FROM smooth WHERE scan_id = 0), " + _RANKED.format(t="smooth") + _FINAL_DENSE,
+    "x2_align_thresholds_same": T("dense", "scans", "edits") + f", {_ELIGIBLE} SELECT scan_id, 128.0::DOUBLE AS threshold, sum((v > 128)::INT)::BIGINT AS foreground FROM dense WHERE scan_id IN (FROM e) GROUP BY 1",
     "x2_align_thresholds_percentile": T("sparse", "scans", "edits") + f", {_ELIGIBLE}, q AS (SELECT avg((v < 25)::INT) AS share FROM sparse WHERE scan_id = 1), " + _RANKED.format(t="sparse") + _FINAL,
     "p1_subtract_background": T("dense") + " SELECT scan_id, z, y, x, least(greatest(v - trunc((scan_id % 7) * 1.5)::INT, 0), 255)::INT AS v FROM dense",
     "p2_remove_background": T("dense") + " SELECT scan_id, z, y, x, CASE WHEN v < 128 THEN min(v) OVER (PARTITION BY scan_id) ELSE v END AS v FROM dense",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g, planning as p, stencil as s
-from .intensity_queries import dense, masks
+from .intensity_queries import dense, kernel_rows, masks
 from .proxies import points, scans, table, with_tables
 from .space_queries import subjects, triangles, volume_pairs
 
@@ -47,7 +47,7 @@ QUERIES = {
     "w8_distance_guard": lambda k, d: s.distance_guard(dense(k, d), 140),
     "w9_constant_fill": lambda k, d: s.constant_fill(dense(k, d).withColumn("v", (F.col("v") / 64).cast("int")), 2),
     "w10_dilate": lambda k, d: s.dilate(masks(k, d).where("label = 1"), 1, (4, 4, 4)),
-    "w10_close_ball": lambda k, d: s.close_ball(masks(k, d), 1),
+    "w10_close_ball": lambda k, d: s.close_ball(masks(k, d), 1, (4, 4, 4)),
     "w11_variance_select": lambda k, d: p.variance_select(deformation(k, d), 0.5),
     "w12_subject_split": lambda k, d: p.subject_split(names(k, d), 10, 15, 7),
     "w13_k_fold": lambda k, d: p.k_fold(names(k, d), 5, 3),
@@ -84,6 +84,14 @@ def s_pairs(k, d):
 _NB = "FROM dense d JOIN dense n ON n.scan_id = d.scan_id AND abs(n.z - d.z) <= 1 AND abs(n.y - d.y) <= 1 AND abs(n.x - d.x) <= 1"
 
 SQL = {
+    "w5_gaussian_smooth": T("dense") + f", {kernel_rows(0.8)} SELECT scan_id, a.t::INT AS z, b.t::INT AS y, c.t::INT AS x, sum(v * a.w * b.w * c.w) AS v FROM dense JOIN kernel a ON a.s = z JOIN kernel b ON b.s = y JOIN kernel c ON c.s = x GROUP BY ALL",
+    "w7_local_ncc": T("dense") + f""", p AS (SELECT a.scan_id // 2 AS scan_id, a.z, a.y, a.x, a.v::DOUBLE AS p, b.v::DOUBLE AS q FROM dense a JOIN dense b ON b.scan_id = a.scan_id + 1 AND b.z = a.z AND b.y = a.y AND b.x = a.x WHERE a.scan_id % 2 = 0),
+        s AS (SELECT d.scan_id, d.z, d.y, d.x, count(*) AS n, sum(n.p * n.q) - sum(n.p) * sum(n.q) / count(*) AS pq, sum(n.p ** 2) - sum(n.p) ** 2 / count(*) AS pp, sum(n.q ** 2) - sum(n.q) ** 2 / count(*) AS qq {_NB.replace("dense", "p")} GROUP BY ALL)
+        SELECT scan_id, z, y, x, CASE WHEN n > 1 AND pp > 1e-9 AND qq > 1e-9 THEN 1 - (least(greatest(pq / sqrt(pp * qq), -1), 1) + 1) / 2 ELSE 0.5::DOUBLE END AS d FROM s""",
+    "w10_close_ball": T("dense") + """, m AS (SELECT scan_id, z, y, x FROM dense WHERE v > 128), s AS (SELECT DISTINCT scan_id FROM m),
+        b AS (SELECT scan_id, z, y, x FROM dense WHERE scan_id IN (FROM s)),
+        g AS (SELECT DISTINCT b.* FROM b JOIN m ON m.scan_id = b.scan_id AND abs(m.z - b.z) + abs(m.y - b.y) + abs(m.x - b.x) <= 1)
+        SELECT scan_id, z, y, x FROM b EXCEPT SELECT b.scan_id, b.z, b.y, b.x FROM b JOIN (SELECT * FROM b EXCEPT SELECT * FROM g) e ON e.scan_id = b.scan_id AND abs(e.z - b.z) + abs(e.y - b.y) + abs(e.x - b.x) <= 1""",
     "w6_median_filter": T("dense") + f" SELECT d.scan_id, d.z, d.y, d.x, median(n.v) AS v {_NB} GROUP BY ALL",
     "w7_box_moments": T("dense") + f" SELECT d.scan_id, d.z, d.y, d.x, count(*) AS n, avg(n.v) AS mean, var_pop(n.v) AS var {_NB} GROUP BY ALL",
     "w8_distance_guard": T("dense") + ", i AS (SELECT * FROM dense WHERE v > 140) SELECT d.scan_id, d.z, d.y, d.x, min(sqrt((d.z - i.z) ** 2 + (d.y - i.y) ** 2 + (d.x - i.x) ** 2))::DOUBLE AS distance FROM dense d JOIN i ON i.scan_id = d.scan_id GROUP BY ALL",
