@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import evaluate, graph, spatial, stencil, thresholds
+from . import blocks, evaluate, graph, spatial, stencil, thresholds
 from .geometry import AXES
 from .tables import written
 
@@ -74,24 +74,120 @@ def union_foreground(voxels: DataFrame, threshold: float) -> DataFrame:
     return labeled.join(best, ["scan_id", "component"], "left_semi").select("z", "y", "x").distinct()
 
 
-def estimate_background(voxels: DataFrame, levels: DataFrame, guard: float = 3.0, least: int = 2000) -> DataFrame:
-    """Background per scan and how it was found.
+#: Regions whose peak is the background: far outside of the specimen, or the tissue next to it.
+REGIONS = ("outside", "surrounding_tissue")
+MOST_SAMPLED, AIR_SIGMAS = 16_000_000, 3.0
 
-    Cells outside the specimen (connected to the border below its threshold), farther than `guard` from it and not of a constant fill are the region; its
-    Freedman-Diaconis peak is the background. Scans with fewer than `least` such cells fall back to the most frequent low value.
-    levels: scan_id, threshold.
+
+def region_name(requested: str | None) -> str:
+    name = (requested or "").strip().lower()
+    return name if name in REGIONS else REGIONS[0]
+
+
+def sampled(voxels: DataFrame, most: int = MOST_SAMPLED, least_stride: int = 2) -> DataFrame:
+    """Every s-th voxel of each axis, with s as its stride; s is the least, from least_stride on, that leaves at most `most` of a scan's box."""
+    n = blocks.extents(voxels)
+    total = F.col("nz").cast("double") * F.col("ny") * F.col("nx")
+    stride = F.greatest(F.when(total > most, F.ceil(F.pow(total / most, F.lit(1 / 3)) - 1e-12)).otherwise(F.lit(1)), F.lit(least_stride)).cast("int")
+    met = voxels.join(n.select("scan_id", stride.alias("stride")), "scan_id").where(" AND ".join(f"{a} % stride = 0" for a in "zyx"))
+    return met.select("scan_id", *[F.floor(F.col(a) / F.col("stride")).cast("int").alias(a) for a in "zyx"], "v", "stride")
+
+
+def _blur_and_fill(sigma: float, guard: float):
+    """Blurred values, and whether a cell is closer than the guard to constant fill: below the threshold and one value in 3x3x3."""
+    weights = np.array(stencil.kernel(sigma))
+    near = int(np.ceil(guard))
+    halo = max(len(weights) // 2, near + 1)
+    cube = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+    def work(arrays: list, inside: np.ndarray) -> list:
+        v, below = arrays
+        cut = halo - len(weights) // 2
+        blurred = v[tuple(slice(cut, n - cut) for n in v.shape)]
+        for axis in range(3):
+            blurred = blocks.weighted(blurred, weights, axis)
+        around = [blocks.shifted(v, o, 1) for o in cube]
+        fill = (np.maximum.reduce(around) == np.minimum.reduce(around)) & blocks.shifted((below > 0) & inside, (0, 0, 0), 1)
+        close = blocks.shifted(blocks.squared_distances(fill), (0, 0, 0), halo - 1) < guard * guard
+        return [blurred, close]
+
+    return halo, work
+
+
+def background_cells(voxels: DataFrame, levels: DataFrame, sigma: float = 1.0, guard: float = 3.0) -> DataFrame:
+    """Cells whose value may be background: scan_id, v, blurred, d (distance to the specimen in cells) and exterior.
+
+    Specimen: v >= threshold. Eligible are cells below it, at least `guard` from the specimen and from constant fill. Exterior
+    cells are connected to the volume's border below the threshold. voxels: whole boxes; levels: scan_id, threshold.
+    """
+    marked = written(voxels.join(levels, "scan_id").select(*CELL, "v", (F.col("v") >= F.col("threshold")).alias("site")))
+    outside = graph.exterior(marked.select(*CELL, F.col("site").cast("int").alias("v")), 0).withColumn("exterior", F.lit(True))
+    halo, work = _blur_and_fill(sigma, guard)
+    shaped = blocks.over_blocks(marked.withColumn("below", (~F.col("site")).cast("double")), halo, work, ["blurred", "fill"], columns=("v", "below"), pad="edge")
+    far = blocks.distance_transform(marked).where(~F.col("site") & (F.col("d2") >= guard * guard)).select(*CELL, "v", F.sqrt("d2").alias("d"))
+    kept = far.join(shaped.where("fill = 0"), list(CELL)).join(outside, list(CELL), "left")
+    return kept.select("scan_id", "v", "blurred", "d", F.coalesce("exterior", F.lit(False)).alias("exterior"))
+
+
+def estimate_background(
+    voxels: DataFrame, levels: DataFrame, guard: float = 3.0, least: int = 2000, region: str | None = None, sigma: float = 1.0, most: int = MOST_SAMPLED, least_stride: int = 2, dtype: str = "uint8",
+) -> DataFrame:
+    """Background of every scan at once, and how it was found.
+
+    On a sample of each volume (`sampled`), the eligible cells (`background_cells`) are split at the median distance of the
+    exterior ones. Region "outside": exterior cells at or beyond it. "surrounding_tissue": the innermost shell around the specimen, one
+    guard wide; its width doubles until it holds `least` cells, but not past the split, and cells within three spreads of the
+    outer region's peak (air) are left out if `least` cells remain. The value is the peak of a Freedman-Diaconis histogram
+    of the blurred values, rounded half-even. Scans with fewer than `least` cells fall back to the most frequent low value, with the reason.
+
+    levels: scan_id, threshold. Returns scan_id, background, reason, stride, eligible, split, shell_outer, samples, peak, air_peak,
+    air_spread, air_rule, air_exclusion ("applied", "skipped" or null).
     """
-    shifted = voxels.join(levels, "scan_id").withColumn("v", F.col("v") - F.col("threshold"))
-    outside = graph.exterior(shifted.select(*CELL, "v"), -1)
-    far = stencil.distance_guard(shifted.select(*CELL, "v"), -1).where(F.col("distance") > guard)
-    fill = stencil.constant_fill(shifted.select(*CELL, "v"), 0)
-    region = written(voxels.join(outside, list(CELL), "left_semi").join(far.select(*CELL), list(CELL), "left_semi").join(fill, list(CELL), "left_anti"))
-    counts = region.groupBy("scan_id").agg(F.count("*").alias("n"))
-    peaks = thresholds.fd_histogram_peak(region).select("scan_id", "peak")
-    legacy = thresholds.background_mode_legacy(voxels, levels)
-    joined = levels.select("scan_id").join(counts, "scan_id", "left").join(peaks, "scan_id", "left").join(legacy, "scan_id", "left")
-    enough = F.coalesce(F.col("n"), F.lit(0)) >= least
-    return joined.select("scan_id", F.when(enough, F.col("peak")).otherwise(F.col("background")).alias("background"), F.when(enough, "exterior").otherwise("too few samples").alias("reason"))
+    region = region_name(region)
+    small = written(sampled(voxels, most, least_stride))
+    cells = written(background_cells(small.drop("stride"), levels, sigma, guard))
+    q = lambda c: F.percentile(c, 0.5)
+    split = cells.groupBy("scan_id").agg(F.count("*").alias("eligible"), F.coalesce(q(F.when(F.col("exterior"), F.col("d"))), q(F.col("d"))).alias("split"))
+    split = written(split)
+    fit = cells.join(split.where(F.col("eligible") >= least), "scan_id")
+    air = written(fit.where(F.col("exterior") & (F.col("d") >= F.col("split"))).select("scan_id", "v", "blurred"))
+    none = levels.select("scan_id").limit(0)
+    shells = none.withColumn("shell_outer", F.lit(None).cast("double"))
+    exclusion = none.select("scan_id", *[F.lit(None).cast(t).alias(c) for c, t in (("air_peak", "double"), ("air_spread", "double"), ("air_rule", "string"), ("air_exclusion", "string"))])
+    if region == "outside":
+        values = air.select("scan_id", F.col("blurred").alias("v"))
+    else:
+        # the doubling that first reaches past a distance; the shell is the first that holds enough, or ends at the split
+        step = F.greatest(F.ceil(F.log2((F.floor(F.col("d") * (1 << 20)) / (1 << 20) + 2.0 ** -20 - guard) / guard)), F.lit(0)).cast("int")
+        counts = fit.groupBy("scan_id", "split", step.alias("step")).agg(F.count("*").alias("n"))
+        held = counts.withColumn("held", F.sum("n").over(W.partitionBy("scan_id").orderBy("step"))).withColumn("outer", F.least(guard + guard * F.pow(F.lit(2.0), F.col("step")), F.col("split")))
+        done = held.where((F.col("held") >= least) & (F.col("outer") < F.col("split"))).groupBy("scan_id").agg(F.min("outer").alias("outer"))
+        shells = written(fit.select("scan_id", "split").distinct().join(done, "scan_id", "left").select("scan_id", F.coalesce("outer", "split").alias("shell_outer")))
+        near = written(fit.join(shells, "scan_id").where(F.col("d") < F.col("shell_outer")).select("scan_id", F.col("blurred").alias("v")))
+        enough = written(air.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scan_id"))
+        air = air.join(enough, "scan_id", "left_semi")
+        measured = air.select("scan_id", F.col("blurred").alias("v"))
+        peaks = written(thresholds.fd_histogram_peak(measured).select("scan_id", "peak"))
+        spread = thresholds.mode_spread(measured, peaks, thresholds.range_pile_up(air.select("scan_id", "v")))
+        peaks = written(peaks.join(spread, "scan_id").select("scan_id", F.col("peak").alias("air_peak"), F.col("spread").alias("air_spread"), F.col("rule").alias("air_rule")))
+        marked = near.join(peaks, "scan_id", "left").withColumn("tissue", F.coalesce(F.abs(F.col("v") - F.col("air_peak")) > AIR_SIGMAS * F.col("air_spread"), F.lit(True)))
+        left = marked.groupBy("scan_id").agg(F.sum(F.col("tissue").cast("long")).alias("left"))
+        exclusion = written(shells.select("scan_id").join(peaks, "scan_id", "left").join(left, "scan_id", "left").select(
+            "scan_id", "air_peak", "air_spread", "air_rule", F.when(F.col("air_peak").isNotNull() & (F.col("left") >= least), "applied").otherwise("skipped").alias("air_exclusion")))
+        values = marked.join(exclusion.select("scan_id", "air_exclusion"), "scan_id").where(F.col("tissue") | (F.col("air_exclusion") == "skipped")).select("scan_id", "v")
+    values = written(values)
+    found = values.groupBy("scan_id").agg(F.count("*").alias("samples")).join(thresholds.fd_histogram_peak(values).select("scan_id", "peak"), "scan_id")
+    legacy = thresholds.background_mode_legacy(voxels, levels, dtype)
+    strides = small.groupBy("scan_id").agg(F.first("stride").alias("stride"))
+    met = levels.select("scan_id").distinct()
+    for other in (strides, split, shells, exclusion, found, legacy):
+        met = met.join(other, "scan_id", "left")
+    few = F.coalesce("eligible", F.lit(0)) < least
+    good = ~few & (F.coalesce("samples", F.lit(0)) >= least)
+    reason = F.when(few, "too few cells beyond the guard").when(~good, "too few cells in the region").otherwise(F.lit(region))
+    return met.select(
+        "scan_id", F.when(good, F.rint("peak")).otherwise(F.col("background")).alias("background"), reason.alias("reason"), "stride", F.coalesce("eligible", F.lit(0)).alias("eligible"), "split", "shell_outer",
+        F.coalesce("samples", F.lit(0)).alias("samples"), "peak", "air_peak", "air_spread", "air_rule", "air_exclusion")
 
 
 def _local(points: DataFrame, subject: DataFrame, reference: DataFrame, r: int) -> DataFrame:

@@ -44,7 +44,8 @@ QUERIES = {
     "a30_atlas_mean": lambda k, d: e.atlas_mean(dense(k, d), dense(k, d).select("scan_id", "z", "y", "x", F.lit(1.0).alias("ux"), F.lit(0.0).alias("uy"), F.lit(-0.4).alias("uz"))),
     "a31_union_foreground": lambda k, d: pose.union_foreground(dense(k, d), 140),
     "a42_span_summary": lambda k, d: e.span_summary(table(k, d, "events").select(F.col("event_type").alias("span"), F.when(F.col("user_id") % 2 == 0, "train").otherwise("val").alias("phase"), F.coalesce("value", F.lit(0.0)).alias("seconds"))),
-    "a5_estimate_background": lambda k, d: pose.estimate_background(dense(k, d), level(k, d, 140), 1.0, 10).select("scan_id", "reason"),
+    "a5_estimate_background": lambda k, d: pose.estimate_background(dense(k, d), level(k, d, 140), 1.0, 8, least_stride=1),
+    "a5_estimate_tissue": lambda k, d: pose.estimate_background(dense(k, d), level(k, d, 150), 1.0, 4, "surrounding_tissue", least_stride=1),
     "g2_crop_voxels": lambda k, d: g.crop_voxels(dense(k, d), dense(k, d).select("scan_id").distinct().withColumns({"pad": F.lit(1), **{f"lo_{a}": F.lit(1) for a in XYZ}, **{f"hi_{a}": F.lit(3) for a in XYZ}}), 9),
     "g8_to_shared_frame": lambda k, d: g.to_shared_frame(subjects(k, d), subjects(k, d).groupBy("scan_id").agg(*[F.min(a).alias(f"s_{a}") for a in XYZ], *[F.lit(0.5).alias(f"r_{a}") for a in XYZ]).withColumn("move", F.col("scan_id") % 2 == 0)),
     "g15_native_voxel_size": lambda k, d: c.native_voxel_size(scans(k, d).withColumn("alignment_previous_voxel_size", F.when(F.col("scan_id") % 3 == 0, 0.5)), scans(k, d).where("scan_id % 2 = 0").select("scan_id", F.lit(0.25).alias("size"))),
