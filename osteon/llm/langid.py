@@ -5,8 +5,9 @@ trigrams, averaged; all are hashed into one table of weights. Transitions betwee
 words are learned too: training sequences join segments of documents of several languages, as code-switched
 text does. Forward-backward gives each word's label probabilities; their mean over a text is the text's.
 
-The model is fitted on the driver from at most `per_label` documents of each label, those with the lowest
-hash of doc_id. Only text and label of training rows are used; a prediction sees the text alone.
+The model is fitted on the driver from at most `per_label` distinct rows of each label, those with the lowest
+hash of doc_id, then the lowest hash of the text; rows with a null doc_id are rows like others. The order in which rows come
+does not matter. Equal probabilities go to the label that sorts first. Only text and label of training rows are used; a prediction sees the text alone.
 Texts that are null or hold no letter get `und` and score 0. Equal texts get equal results, up to rounding.
 Without labelled rows everything is `und`. Input columns named as the added ones are replaced.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from .common import crc, in_batches, read, without
 from .words import KEEP, M1, WORD, Run, runs
 
-PER_LABEL, BITS, EPOCHS, SEED = 300, 16, 3, 8
+PER_LABEL, BITS, EPOCHS, SEED, PARTS = 300, 16, 3, 8, 64
 RUN_BYTES = 1 << 20
 AFFIXES, LONG = 4, 64
 ADDED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -148,13 +149,17 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = S
 
 
 def training_sample(docs: DataFrame, learn: Column, label: str, per_label: int) -> DataFrame:
-    """text and label of at most per_label rows of each label, of the lowest hash of doc_id."""
-    rows = docs.where(learn & F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy(label).orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id")
-    chosen = rows.select("doc_id", label).withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_label)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
-    kept = F.col("doc_id").isin([i for i in ids if i is not None]) if any(i is not None for i in ids) else F.lit(False)
-    return rows.where(kept).select("text", label, "doc_id").dropDuplicates(["doc_id"])
+    """doc_id, key, text and label of the first per_label distinct rows of each label, by hash of doc_id, doc_id (null first) and hash of the text.
+
+    Rows that repeat in all three count once. Each part of a label's rows is ranked on its own first, so that no task ranks a whole label.
+    """
+    rows = docs.where(learn & F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col(label).alias("label"), F.md5(F.col("text").cast("binary")).alias("key"))
+    order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), F.col("doc_id"), F.col("key")]
+    first = lambda df, *by: df.withColumn("at", F.dense_rank().over(W.partitionBy("label", *by).orderBy(*order))).where(F.col("at") <= per_label).drop("at").distinct()
+    keys = rows.select("doc_id", "label", "key").withColumn("part", F.pmod(F.xxhash64("key", "doc_id"), F.lit(PARTS)))
+    chosen = first(first(keys, "part").drop("part")).select(F.col("doc_id").alias("c_id"), F.col("label").alias("c_label"), F.col("key").alias("c_key"))
+    met = rows.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("label") == F.col("c_label")) & (F.col("key") == F.col("c_key")), "left_semi")
+    return met.dropDuplicates(["doc_id", "label", "key"])
 
 
 def identify(docs: DataFrame, model: tuple, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -183,10 +188,10 @@ def identify(docs: DataFrame, model: tuple, names: tuple[str, str] = ("lang_pred
 
 
 def train(docs: DataFrame, learn: Column, label: str = "lang", per_label: int = PER_LABEL) -> tuple:
-    rows = training_sample(docs, learn, label, per_label).orderBy("doc_id").collect()
+    rows = sorted(training_sample(docs, learn, label, per_label).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.key, r.label))
     if not rows:
         return [], np.zeros((1 << BITS, 1), np.float32), np.ones((1, 1), np.float32)
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    return fit([r.text for r in rows], [r.label for r in rows])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
