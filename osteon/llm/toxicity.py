@@ -1,8 +1,9 @@
 """Toxicity: a logistic classifier that is regularised with counterfactuals.
 
 Swaps come from two sources: a list of identity terms, and pairs of words that the labelled sample shows to be
-interchangeable. Those stand in the same places (equal words before and after) at least `slots` times and are each
-used in at least `least` texts of label 0, so that they are neutral themselves: what labels them toxic is company.
+interchangeable. Those are content words, not those that hold sentences together; they stand in the same places (equal words
+before and after) at least `slots` times and are each used in at least `least` texts of label 0, so that they are neutral
+themselves: what labels them toxic is company. A sample without such pairs has the listed terms only.
 
 Features say which words a text has, and which first four and five bytes of words, hashed into one table.
 For every labelled text that holds such terms, they are swapped for others of their row; the loss
@@ -34,6 +35,8 @@ PER_CLASS, BITS, THRESHOLD = 2500, 18, 0.7
 L1, SWAP_PENALTY, STEPS, RATE = 4e-3, 0.5, 200, 0.5
 PREFIXES = (4, 5)
 LEAST_NEUTRAL, SLOTS, MOST_PAIRS = 20, 3, 200
+#: What counts as a content word: its letters, and its mean uses in a text that has it.
+CONTENT_LETTERS, CONTENT_USES = 4, 1.5
 #: Texts whose swaps are worked out at a time.
 CHUNK = 200
 #: Terms that name groups; one of a row may stand for another of it.
@@ -73,28 +76,36 @@ def distinct(rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def interchangeable(texts: list[str], labels: list[int], least: int = LEAST_NEUTRAL, slots: int = SLOTS, most: int = MOST_PAIRS) -> tuple[tuple[str, str], ...]:
-    """Pairs of neutral words with the most places between neutral words in common, each word in one pair; ties by the words."""
-    used = Counter(w for t, y in zip(texts, labels, strict=True) if y == 0 for w in set(t.lower().split()))
+def interchangeable(texts: list[str], labels: list[int], least: int = LEAST_NEUTRAL, slots: int = SLOTS, most: int = MOST_PAIRS, uses: float = CONTENT_USES) -> tuple[tuple[str, str], ...]:
+    """Pairs of neutral content words with the most places between neutral words in common, each word in one pair; ties by the words.
+
+    Neutral: in at least `least` texts of label 0. Content: of CONTENT_LETTERS letters or more and used at most `uses` times, on average, by
+    the texts that use it, so that words which hold sentences together are places, but don't get swapped.
+    """
+    clean = [t.lower().split() for t, y in zip(texts, labels, strict=True) if y == 0]
+    used, times = Counter(w for words in clean for w in set(words)), Counter(w for words in clean for w in words)
     names = sorted(w for w, n in used.items() if n >= least)
     number, size = {w: i for i, w in enumerate(names)}, len(names)
+    content = np.array([len(w) >= CONTENT_LETTERS and times[w] <= uses * used[w] for w in names], bool)
     found = [np.zeros(0, np.int64)]
     for t in texts:
         own = np.array([number.get(w, -1) for w in t.lower().split()], np.int64)
         ok = np.flatnonzero((own[:-2] >= 0) & (own[1:-1] >= 0) & (own[2:] >= 0))
+        ok = ok[content[own[ok + 1]]]
         found.append(np.unique((own[ok] * size + own[ok + 2]) * size + own[ok + 1]))
     keys = np.unique(np.concatenate(found))
-    common = np.zeros((size, size), np.int32)
-    starts = np.flatnonzero(np.append(True, keys[1:] // max(size, 1) != keys[:-1] // max(size, 1))) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return ()
+    starts = np.flatnonzero(np.append(True, keys[1:] // size != keys[:-1] // size))
+    common: Counter = Counter()
     for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True):
         if hi - lo > 1:
-            here = keys[lo:hi] % size
-            common[np.ix_(here, here)] += 1
-    left, right = np.nonzero(np.triu(common, 1) >= max(slots, 1))
+            here = (keys[lo:hi] % size).tolist()
+            common.update((a, b) for i, a in enumerate(here) for b in here[i + 1 :])
     pairs, taken = [], set()
-    for i in np.lexsort((right, left, -common[left, right])).tolist():
-        pair = names[left[i]], names[right[i]]
-        if len(pairs) < most and not taken & set(pair):
+    for (left, right), n in sorted(common.items(), key=lambda p: (-p[1], p[0])):
+        pair = names[left], names[right]
+        if n >= max(slots, 1) and len(pairs) < most and not taken & set(pair):
             pairs.append(pair)
             taken |= set(pair)
     return tuple(pairs)
