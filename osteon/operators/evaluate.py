@@ -219,6 +219,14 @@ def middle_slab(masks: DataFrame, label: int, axis: str = "z") -> DataFrame:
     return kept.select("scan_id", "slice", (F.col("i") == F.floor(F.col("n") / 2)).alias("centre"))
 
 
+def init_slice(masks: DataFrame, label: int, axis: str = "z", seed: int | None = None) -> DataFrame:
+    """scan_id and the slice that a prompt starts from: the centre of the middle slab, or one of its slices drawn by a hash of seed and scan."""
+    slab = middle_slab(masks, label, axis)
+    if seed is None:
+        return slab.groupBy("scan_id").agg(F.array_sort(F.collect_list("slice")).alias("s")).select("scan_id", F.element_at("s", (F.floor(F.size("s") / 2) + 1).cast("int")).alias("slice"))
+    return slab.groupBy("scan_id").agg(F.min_by("slice", F.struct(F.xxhash64(F.lit(seed), "scan_id", "slice"), "slice")).alias("slice"))
+
+
 def slice_bbox(masks: DataFrame, label: int, shape: tuple[int, int], pad: int = 2) -> DataFrame:
     """Per slice z: box of the label, padded and clamped to the shape (y, x)."""
     box = masks.where(F.col("label") == label).groupBy("scan_id", "z").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))

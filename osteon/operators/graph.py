@@ -7,6 +7,11 @@ then jumps to the label's own label, so that long components take few rounds.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 from .evaluate import kabsch_batch, robust_inliers
 from .geometry import AXES
 from .spatial import radius_pairs, surface_distance
+from .stencil import close_ball
 from .tables import written
 
 CELL = ("scan_id", "z", "y", "x")
@@ -148,6 +154,107 @@ def greedy_decorrelate(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
     return nodes.select("id").limit(0) if kept is None else kept
 
 
+def field_blocks(fields: DataFrame, size: int = 256) -> DataFrame:
+    """id, block and v: each landmark's displacements, scan by scan, as arrays of at most 3 * size numbers.
+
+    fields: scan_id, id, ux, uy, uz. Every landmark must have the same scans.
+    """
+    order = fields.select("scan_id").distinct().withColumn("block", F.pmod(F.xxhash64("scan_id"), F.greatest(F.lit(1), F.ceil(F.lit(fields.select("scan_id").distinct().count()) / size))).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("scan_id", *[F.col(f"u{a}").cast("double").alias(f"u{a}") for a in AXES])))
+    packed = fields.join(order, "scan_id").groupBy("id", "block").agg(parts.alias("p"))
+    return packed.select("id", "block", F.flatten(F.transform("p", lambda p: F.array(*[p[f"u{a}"] for a in AXES]))).alias("v"))
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inner products and sums of both vectors of each row, a batch at a time."""
+    for batch in batches:
+        u, v = batch.column("u"), batch.column("v")
+        ends = np.asarray(u.offsets)
+        x, y = np.asarray(u.values)[ends[0] : ends[-1]], np.asarray(v.values)[v.offsets[0].as_py() : v.offsets[-1].as_py()]
+        cut = ends - ends[0]
+        total = lambda z: np.diff(np.concatenate([[0.0], np.cumsum(z)])[cut])
+        if len(set(np.diff(cut).tolist())) == 1 and cut[1]:  # rows of one length: no running sums, so no loss
+            x, y = x.reshape(batch.num_rows, -1), y.reshape(batch.num_rows, -1)
+            sums = [np.einsum("ij,ij->i", p, q) for p, q in ((x, y), (x, x), (y, y))] + [x.sum(1), y.sum(1)]
+            n = np.full(batch.num_rows, x.shape[1])
+        else:
+            sums, n = [total(x * y), total(x * x), total(y * y), total(x), total(y)], np.diff(cut)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), *[pa.array(s) for s in sums]], names=["a", "b", "n", "xy", "xx", "yy", "x", "y"])
+
+
+def field_correlations(pairs: DataFrame, fields: DataFrame, size: int = 256) -> DataFrame:
+    """a, b and correlation of both landmarks' displacements over all scans and axes; null where one doesn't vary.
+
+    Vectors meet in blocks of scans, and blocks' sums are added up, so no row holds more than `size` scans.
+    """
+    packed = written(field_blocks(fields, size))
+    met = pairs.select("a", "b").join(packed.select(F.col("id").alias("a"), "block", F.col("v").alias("u")), "a").join(packed.withColumnRenamed("id", "b"), ["b", "block"])
+    kind = packed.schema["id"].dataType.simpleString()
+    sums = met.select("a", "b", "u", "v").mapInArrow(_products, f"a {kind}, b {kind}, n long, xy double, xx double, yy double, x double, y double")
+    total = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "xx", "yy", "x", "y")])
+    n = F.col("n")
+    vx, vy = F.col("xx") - F.col("x") ** 2 / n, F.col("yy") - F.col("y") ** 2 / n
+    fits = (vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy"))
+    return total.select("a", "b", F.when(fits, (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(vx * vy)).alias("correlation"))
+
+
+def decorrelate_landmarks(landmarks: DataFrame, fields: DataFrame, radius: float, least: float, size: int = 256) -> DataFrame:
+    """Landmarks kept when they are taken by falling variance and each suppresses those within the radius whose fields correlate with its own by `least` or more.
+
+    landmarks: id, x, y, z, variance; fields: scan_id, id, ux, uy, uz. Ties go by id.
+    """
+    near = written(radius_pairs(landmarks.select("id", *AXES), radius).select("a", "b"))
+    conflicts = field_correlations(near, fields, size).where(F.col("correlation") >= least)
+    return landmarks.join(greedy_decorrelate(landmarks, conflicts), "id", "left_semi")
+
+
+def spread_select(points: DataFrame, rho: float = 0.7, most: int = 10) -> DataFrame:
+    """scan_id, id and order: the most central point first, then always the remaining one farthest from those chosen; ties: lower id.
+
+    Each chosen point removes its nearest `most` points (itself included; ties: lower id) within -5 ln(rho), removed ones counting too.
+    A round chooses one point in every scan. points: scan_id, id, x, y, z.
+    """
+    radius = -5 * math.log(rho)
+    gap = lambda p: sum((F.col(a) - F.col(f"{p}{a}")) ** 2 for a in AXES)
+    centre = points.groupBy("scan_id").agg(*[F.avg(a).alias(f"m{a}") for a in AXES])
+    state = written(points.select("scan_id", "id", *AXES).join(centre, "scan_id").select("scan_id", "id", *AXES, F.lit(True).alias("open"), F.lit(float("inf")).alias("near"), (-gap("m")).alias("score")))
+    chosen, k = None, 0
+    while True:
+        best = state.where("open").groupBy("scan_id").agg(F.max(F.struct("score", (-F.col("id")).alias("i"), *AXES)).alias("p"))
+        pick = written(best.select("scan_id", (-F.col("p.i")).alias("id"), *[F.col(f"p.{a}").alias(f"c{a}") for a in AXES], F.lit(k).alias("order")))
+        if not pick.limit(1).count():
+            break
+        mine = pick.select("scan_id", "id", "order")
+        chosen = mine if chosen is None else chosen.unionByName(mine)
+        met = state.join(pick.select("scan_id", *[f"c{a}" for a in AXES]), "scan_id", "left").withColumn("far", gap("c"))
+        close = met.where(F.col("far") <= radius * radius).withColumn("r", F.row_number().over(W.partitionBy("scan_id").orderBy("far", "id"))).where(F.col("r") <= most).select("scan_id", "id", F.lit(True).alias("gone"))
+        gone = close.unionByName(mine.select("scan_id", "id", F.lit(True).alias("gone"))).distinct()
+        near = F.least("near", F.coalesce("far", F.lit(float("inf"))))
+        state = written(met.join(gone, ["scan_id", "id"], "left").select("scan_id", "id", *AXES, (F.col("open") & F.col("gone").isNull()).alias("open"), near.alias("near"), near.alias("score")))
+        k += 1
+    return points.select("scan_id", "id").limit(0).withColumn("order", F.lit(0)) if chosen is None else chosen
+
+
+def edge_mask(voxels: DataFrame, low: float, high: float, r: int = 1, mode: str = "off", least: int = 1) -> DataFrame:
+    """Cells of the mask: hysteresis on each scan's values from 0 to 1, closed by a ball, then all, the largest, or components of `least` cells or more.
+
+    mode: off, largest (which must have `least` cells too) or above_min; components are of full adjacency for the largest and of
+    faces for the size. Scans of one value have no cells.
+    """
+    ends = voxels.groupBy("scan_id").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), *[(F.max(a) + 1).cast("int").alias(f"n{a}") for a in "zyx"])
+    scaled = voxels.join(ends.where("hi > lo"), "scan_id").select(*CELL, ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("v"))
+    closed = written(close_ball(hysteresis(scaled, low, high), r, ends.select("scan_id", "nz", "ny", "nx")))
+    if mode == "largest":
+        labeled = written(label_components(closed, full=True))
+        sizes = component_sizes(labeled)
+        best = sizes.groupBy("scan_id").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("b")).where(F.col("b.n") >= least).select("scan_id", (-F.col("b.c")).alias("component"))
+        closed = labeled.join(best, ["scan_id", "component"], "left_semi").select(*CELL)
+    if mode in ("largest", "above_min"):
+        labeled = written(label_components(closed))
+        closed = labeled.join(component_sizes(labeled).where(F.col("n") >= least), ["scan_id", "component"], "left_semi").select(*CELL)
+    return closed
+
+
 def farthest_points(points: DataFrame, n: int) -> DataFrame:
     """scan_id, id and order of n points per scan: the most central first, then always the one farthest from those chosen; ties: lower id."""
     centre = points.groupBy("scan_id").agg(*[F.avg(a).alias(f"m{a}") for a in AXES])

@@ -144,6 +144,40 @@ def resolve_intensity_map(edits: DataFrame, maps: DataFrame) -> DataFrame:
     return joined.withColumn("m", F.coalesce("own", "raw", "first")).select("scan_id", "filename", "m.mapping_scale", "m.mapping_shift")
 
 
+def apply_map_changes(maps: DataFrame, changes: DataFrame) -> DataFrame:
+    """The intensity maps of all scans after a log of changes, each scan's folded in order of seq.
+
+    maps: scan_id, seq, filename, mapping_scale, mapping_shift; changes: scan_id, seq, op, filename, other, s, o. Operations:
+    record: the last map of another file (else the first map), composed with v' = v s + o, becomes the file's, at the end; for the
+    raw file, `other` being its name, the raw map (the first without "_edit_" in its name, else the first) composed becomes the only one.
+    remove: the file's map goes. drop: maps whose filename contains `filename` go. rename: `filename` in names becomes `other`.
+    Scans without maps stay without; empty names change nothing. Returns maps, seq counting from 1.
+    """
+    entry = F.struct("filename", F.col("mapping_scale").cast("double").alias("scale"), F.col("mapping_shift").cast("double").alias("shift"))
+    have = maps.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", entry.alias("e")))), lambda x: x["e"]).alias("maps"))
+    step = F.struct("seq", "op", F.coalesce("filename", F.lit("")).alias("name"), F.coalesce("other", F.lit("")).alias("other"), F.coalesce(F.col("s").cast("double"), F.lit(1.0)).alias("s"), F.coalesce(F.col("o").cast("double"), F.lit(0.0)).alias("o"))
+    log = changes.groupBy("scan_id").agg(F.array_sort(F.collect_list(step)).alias("log"))
+
+    def fold(now: Column, c: Column) -> Column:
+        name, same = c["name"], lambda e: e["filename"] == c["name"]
+        others = F.filter(now, lambda e: ~same(e))
+        parent = F.when(F.size(others) > 0, F.element_at(others, -1)).otherwise(F.element_at(now, 1))
+        raws = F.filter(now, lambda e: F.coalesce(~e["filename"].contains("_edit_"), F.lit(True)))
+        raw = F.when(F.size(raws) > 0, F.element_at(raws, 1)).otherwise(F.element_at(now, 1))
+        scale = lambda p: F.when(c["s"] == 0, p["scale"]).otherwise(p["scale"] / c["s"])
+        composed = lambda p: F.array(F.struct(name.alias("filename"), scale(p).alias("scale"), F.when(c["s"] == 0, p["shift"]).otherwise(p["shift"] - c["o"] * scale(p)).alias("shift")))
+        renamed = F.transform(now, lambda e: F.struct(F.replace(e["filename"], name, c["other"]).alias("filename"), e["scale"].alias("scale"), e["shift"].alias("shift")))
+        return (
+            F.when((F.size(now) == 0) | (name == ""), now)
+            .when((c["op"] == "record") & (c["other"] == name), composed(raw)).when(c["op"] == "record", F.concat(others, composed(parent)))
+            .when(c["op"] == "remove", others).when(c["op"] == "drop", F.filter(now, lambda e: ~F.coalesce(e["filename"].contains(name), F.lit(False))))
+            .when(c["op"] == "rename", renamed).otherwise(now)
+        )
+
+    done = have.join(log, "scan_id", "left").select("scan_id", F.when(F.col("log").isNull(), F.col("maps")).otherwise(F.aggregate("log", F.col("maps"), fold)).alias("maps"))
+    return done.select("scan_id", F.posexplode("maps").alias("seq", "m")).select("scan_id", (F.col("seq") + 1).alias("seq"), "m.filename", F.col("m.scale").alias("mapping_scale"), F.col("m.shift").alias("mapping_shift"))
+
+
 def combine_channels(voxels: DataFrame, mode: str, dtype: str = "uint8", channel: int = 0) -> DataFrame:
     """One channel from several (voxels has channel): first, channel, mean, max, luma, sum or multiply."""
     top = RANGES[dtype][1]

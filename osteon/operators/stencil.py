@@ -7,11 +7,14 @@ medians, closing and non-local means work on blocks with a halo, Euclidean dista
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import SIDE, distance_transform, over_blocks, shifted, squared_distances, weighted
 
@@ -164,35 +167,116 @@ def close_ball(cells: DataFrame, r: int, shape: tuple[int, int, int] | DataFrame
     return out.join(low, "scan_id").select("scan_id", *[(F.col(a) + F.col(f"m{a}")).cast("int").alias(a) for a in "zyx"])
 
 
-def resample_linear_weights(n: int, m: int) -> list[tuple[int, int, float]]:
-    """(target, source, weight) by overlap of cells when shrinking, linear between centres when growing."""
-    f, out = n / m, []
-    for t in range(m):
-        if f >= 1:
-            a, b = t * f, (t + 1) * f
-            out += [(t, s, (min(b, s + 1) - max(a, s)) / f) for s in range(int(a), min(n, math.ceil(b - 1e-12)))]
-        else:
-            c = (t + 0.5) * f - 0.5
-            s = math.floor(c)
-            for k, w in ((s, 1 - (c - s)), (s + 1, c - s)):
-                if w > 0:
-                    out.append((t, min(max(k, 0), n - 1), w))
-    return out
-
-
-def resample_isotropic(voxels: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
-    """Resamples full boxes of one shape (z, y, x), shrinking axes first; clipped to the scan's range and rounded half-even.
-
-    Shrinking is weighted by overlap; growing is linear, not the cubic spline, which needs a prefilter along whole lines.
+def spline_coefficients(f: np.ndarray) -> np.ndarray:
+    """Cubic B-spline coefficients of lines x cells, mirrored about the outer faces: a forward and a backward recursion over the cells."""
+    lines, n = f.shape
+    if n == 1:
+        return f.copy()
+    factor, c = np.empty(n), np.empty((lines, n))
+    # (c[i - 1] + 4 c[i] + c[i + 1]) / 6 = f[i], where the cell before the first is the first itself
+    pivot = 5.0
+    c[:, 0] = 6 * f[:, 0]
+    for i in range(1, n):
+        factor[i - 1] = 1 / pivot
+        c[:, i] = 6 * f[:, i] - c[:, i - 1] * factor[i - 1]
+        pivot = (5.0 if i == n - 1 else 4.0) - factor[i - 1]
+    c[:, n - 1] /= pivot
+    for i in range(n - 2, -1, -1):
+        c[:, i] = (c[:, i] - c[:, i + 1]) * factor[i]
+    return c
+
+
+def resample_lines(f: np.ndarray, own: float, target: float, binary: bool = False) -> np.ndarray:
+    """Lines x cells of spacing `own` at round(n own / target) cells of spacing `target` around the same centre.
+
+    Coarser lines are interpolated by a cubic spline (binary: the cell that holds the centre), finer ones averaged by overlap.
+    """
+    n = f.shape[1]
+    m = max(1, round(n * own / target))
+    if m == n and abs(own - target) <= 1e-9 * target:
+        return f
+    start = (n * own - m * target) / 2
+    if own > target:
+        at = (start + (np.arange(m) + 0.5) * target) / own - 0.5
+        if binary:
+            return f[:, np.clip(np.floor(at + 0.5).astype(np.int64), 0, n - 1)]
+        if n == 1:
+            return np.repeat(f, m, axis=1)
+        c, base, out = spline_coefficients(f), np.floor(at).astype(np.int64), 0.0
+        for k in range(-1, 3):
+            far = np.abs(at - (base + k))
+            weight = np.where(far < 1, (4 - 6 * far**2 + 3 * far**3) / 6, np.maximum(2 - far, 0.0) ** 3 / 6)
+            cell = (base + k) % (2 * n)
+            out = out + weight * c[:, np.where(cell < n, cell, 2 * n - 1 - cell)]
+        return out
+    edges = np.clip(start + np.arange(m + 1) * target, 0.0, n * own)
+    run = np.concatenate([np.zeros((len(f), 1)), np.cumsum(f, axis=1)], axis=1) * own
+    # the sum up to a place inside a cell is linear between the cell's faces
+    cell = np.minimum(np.floor(edges / own).astype(np.int64), n - 1)
+    upto = run[:, cell] + f[:, cell] * (edges - cell * own)
+    return (upto[:, 1:] - upto[:, :-1]) / np.maximum(edges[1:] - edges[:-1], 1e-300)
+
+
+#: Target spacings, and relative differences that count as none.
+TARGETS, SAME_SPACING = {"finest": F.least, "coarsest": F.greatest}, 1e-9
+
+
+def _resample_pass(axis: str):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cells")
+            ends, flat = np.asarray(lists.offsets), lists.values
+            at, v = np.asarray(flat.field(axis)), np.asarray(flat.field("v"))
+            plan = {c: np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("n", "own", "target", "binary")}
+            kinds, of = np.unique(np.stack([plan["n"], plan["own"], plan["target"], plan["binary"].astype(float)], axis=1), axis=0, return_inverse=True)
+            which, to, values = [], [], []
+            for k, (n, own, target, binary) in enumerate(kinds):
+                rows = np.flatnonzero(of.ravel() == k)
+                step = max(1, (1 << 21) // int(n))
+                for part in np.split(rows, range(step, len(rows), step)):
+                    lines = np.zeros((len(part), int(n)))
+                    for i, row in enumerate(part):
+                        cells = slice(ends[row], ends[row + 1])
+                        lines[i, at[cells]] = v[cells]
+                    new = resample_lines(lines, own, target, bool(binary))
+                    which.append(np.repeat(part, new.shape[1]))
+                    to.append(np.tile(np.arange(new.shape[1], dtype=np.int32), len(part)))
+                    values.append(new.ravel())
+            if which:
+                row = pa.array(np.concatenate(which))
+                others = [c for c in CELL if c != axis]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in others], pa.array(np.concatenate(to)), pa.array(np.concatenate(values))], names=[*others, axis, "v"])
+
+    return solve
+
+
+def resample_isotropic(voxels: DataFrame, spacings: DataFrame, target: str = "finest") -> DataFrame:
+    """Whole boxes of any shapes at one spacing on all axes, each scan's finest or coarsest; the field of view keeps its centre.
+
+    spacings: scan_id, sz, sy, sx and, if some are masks of two values, binary. Axes that are coarser than the target are
+    interpolated by a cubic B-spline (prefilter and basis along whole lines), finer ones averaged by overlap; values are clipped to
+    the scan's own range and, for whole numbers, rounded half-even. Binary volumes take the nearest cell or the majority by
+    volume (half counts as high). An axis that keeps its spacing is not shuffled. Scans without spacings are left out.
     """
-    ends = voxels.groupBy("scan_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    out = voxels.withColumn("v", F.col("v").cast("double"))
-    for a, n, m in sorted(zip("zyx", shape, target, strict=True), key=lambda t: t[2] / t[1]):
-        if n != m:
-            table = F.broadcast(voxels.sparkSession.createDataFrame(resample_linear_weights(n, m), f"to int, {a} int, w double"))
-            others = [c for c in CELL if c != a]
-            out = out.join(table, a).groupBy(*others, F.col("to").alias(a)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return out.join(ends, "scan_id").select(*CELL, F.rint(F.least(F.greatest("v", F.col("lo")), F.col("hi"))).cast("int").alias("v"))
+    kind = voxels.schema["v"].dataType
+    binary = F.coalesce(F.col("binary"), F.lit(False)) if "binary" in spacings.columns else F.lit(False)
+    sizes = [F.col(f"s{a}").cast("double") for a in "zyx"]
+    plan = spacings.select("scan_id", *[f"s{a}" for a in "zyx"], TARGETS[target if target in TARGETS else "finest"](*sizes).alias("target"), binary.alias("binary"))
+    ends = voxels.groupBy("scan_id").agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), *[(F.max(a) + 1).alias(f"n{a}") for a in "zyx"])
+    plan = plan.join(ends, "scan_id")
+    out = voxels.select(*CELL, F.col("v").cast("double").alias("v"))
+    for a in "zyx":
+        others = [c for c in CELL if c != a]
+        own = F.col(f"s{a}").cast("double")
+        axis = plan.select("scan_id", F.col(f"n{a}").alias("n"), own.alias("own"), "target", "binary", (F.abs(own - F.col("target")) > SAME_SPACING * F.col("target")).alias("moves"))
+        met = out.join(axis, "scan_id")
+        lines = met.where("moves").groupBy(*others, "n", "own", "target", "binary").agg(F.collect_list(F.struct(a, "v")).alias("cells"))
+        schema = T.StructType([*[lines.schema[c] for c in others], T.StructField(a, T.IntegerType()), T.StructField("v", T.DoubleType())])
+        out = met.where("NOT moves").select(*CELL, "v").unionByName(lines.mapInArrow(_resample_pass(a), schema))
+    met = out.join(plan.select("scan_id", "lo", "hi", "binary"), "scan_id")
+    new = F.least(F.greatest("v", F.col("lo")), F.col("hi"))
+    new = F.when(F.col("binary"), F.when(F.col("v") >= (F.col("lo") + F.col("hi")) / 2, F.col("hi")).otherwise(F.col("lo"))).otherwise(F.rint(new) if isinstance(kind, T.IntegralType) else new)
+    return met.select("scan_id", *[F.col(a).cast("int").alias(a) for a in "zyx"], new.cast(kind).alias("v"))
 
 
 def clahe(voxels: DataFrame, tile: int, clip: float, bins: int = 256) -> DataFrame:
@@ -257,14 +341,25 @@ def nlm_denoise(voxels: DataFrame, h: float, patch: int = 1, search: int = 2) ->
     return over_blocks(voxels, halo, denoise, ["v"])
 
 
-def interest_points(voxels: DataFrame, inside: DataFrame, r: int = 2, n: int = 180, sep: int = 4) -> DataFrame:
+def erode(cells: DataFrame, n: int) -> DataFrame:
+    """Cells that are more than n face-adjacent steps from all that is not in the set; beyond a volume's box nothing is."""
+    own = cells.select(*CELL).distinct()
+    gaps = box_cells(boxes_of(own, None, 1)).join(own, list(CELL), "left_anti")
+    return own.join(dilate(gaps, n), list(CELL), "left_anti")
+
+
+def interest_points(voxels: DataFrame, inside: DataFrame, r: int = 2, n: int = 180, sep: int = 4, erosion: int = 0, least: int = 64) -> DataFrame:
     """Up to n local maxima of local variance inside the mask, at least sep apart, by falling variance: scan_id, z, y, x, var, order.
 
-    Separation is greedy, in rounds of which each keeps the points that come before all their open neighbours.
+    The mask is first eroded by `erosion` steps, but for scans that would keep fewer than `least` cells. Separation is greedy, in rounds of which each keeps the points that come before all their open neighbours.
     """
     from .graph import greedy_decorrelate
     from .spatial import radius_pairs
 
+    if erosion:
+        inner = erode(inside, erosion)
+        enough = inner.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scan_id")
+        inside = inner.join(enough, "scan_id", "left_semi").unionByName(inside.select(*CELL).join(enough, "scan_id", "left_anti"))
     var = box_moments(voxels, r).join(inside.select(*CELL), list(CELL), "left_semi").select(*CELL, "var")
     peak = var.withColumn("top", F.col("var"))
     for a in "zyx":

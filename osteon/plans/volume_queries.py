@@ -35,6 +35,12 @@ def epochs(k, d):
     return table(k, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), (F.col("o_totalprice") / 1e5).alias("loss"), (F.col("o_orderkey") % 100 / 100).alias("dice"))
 
 
+def spacings(k, d):
+    """Spacings of every dense scan: thick slices, thick rows, or none."""
+    ids = dense(k, d).select("scan_id").distinct()
+    return ids.select("scan_id", F.when(F.col("scan_id") % 3 == 0, 2.0).otherwise(1.0).alias("sz"), F.when(F.col("scan_id") % 3 == 1, 1.6).otherwise(1.0).alias("sy"), F.lit(1.0).alias("sx"))
+
+
 def names(k, d):
     return scans(k, d).select("name")
 
@@ -59,7 +65,9 @@ QUERIES = {
     "w20_clip_window": lambda k, d: p.clip_window(table(k, d, "lineitem").groupBy(F.col("l_suppkey").alias("scan_id")).agg((F.min("l_partkey") % 40).alias("prompt"), F.lit(40).cast("long").alias("slices")), 8),
     "w21_nlm_denoise": lambda k, d: s.nlm_denoise(dense(k, d), 10.0),
     "w22_settings_key": lambda k, d: p.settings_key(scans(k, d).select(F.col("scan_id").alias("run"), F.create_map(F.lit("voxel"), F.col("scan_id").cast("string"), F.lit("name"), F.col("name")).alias("settings"))),
-    "a16_resample_isotropic": lambda k, d: s.resample_isotropic(dense(k, d), (4, 4, 4), (2, 4, 8)),
+    "a16_resample_isotropic": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", F.col("v").cast("double")), spacings(k, d)),
+    "a16_resample_coarsest": lambda k, d: s.resample_isotropic(dense(k, d), spacings(k, d), "coarsest"),
+    "a16_resample_masks": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", (F.col("v") > 128).cast("int")), spacings(k, d).withColumn("binary", F.lit(True)), "coarsest"),
     "a40_component_stats": lambda k, d: g.component_stats(grid_faces(k, d), grid_faces(k, d).select("mesh_id", "face_id", (F.col("face_id") % 5 + 1.0).alias("area"))).select("mesh_id", "component", "vertices", "faces", "area", "kept"),
     "a43_clahe": lambda k, d: s.clahe(dense(k, d), 2, 4.0),
     "i1_label_components": lambda k, d: g.label_components(dense(k, d).where("v > 135")).groupBy("scan_id", "component").agg(F.count("*").alias("n")).groupBy("scan_id").agg(F.count("*").alias("components"), F.max("n").alias("largest")),
