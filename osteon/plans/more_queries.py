@@ -51,7 +51,7 @@ QUERIES = {
     "g15_native_voxel_size": lambda k, d: c.native_voxel_size(scans(k, d).withColumn("alignment_previous_voxel_size", F.when(F.col("scan_id") % 3 == 0, 0.5)), scans(k, d).where("scan_id % 2 = 0").select("scan_id", F.lit(0.25).alias("size"))),
     "i8_ransac_rigid": lambda k, d: pose.ransac_rigid(paired(k, d), apart=0.5).select("scan_id", F.round("r21", 6).alias("r21"), F.round("t_z", 6).alias("t_z")),
     "i9_pca_flip_seeds": lambda k, d: pose.pca_flip_seeds(subjects(k, d)).groupBy("scan_id").agg(F.count("*").alias("n")),
-    "j4_parallel_distance": lambda k, d: s.parallel_surface_distance(probes(k, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)}), triangles(k, d)).select("id"),
+    "j4_parallel_distance": lambda k, d: s.parallel_surface_distance(probes(k, d).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)}), triangles(k, d)),
     "j7_transfer_landmarks": lambda k, d: s.transfer_landmarks(dense(k, d).where("v > 150").select("scan_id", (F.col("z") * 16 + F.col("y") * 4 + F.col("x")).cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in XYZ], F.lit("main").alias("type")), dense(k, d).select("scan_id", *XYZ, *[F.lit(1.5).alias(f"u{a}") for a in XYZ])),
     "j19_keep_landmarks_near": lambda k, d: s.keep_landmarks_near(probes(k, d), triangles(k, d)).select("id"),
     "j20_propagate_uv": lambda k, d: s.propagate_uv(cloud(k, d, 1).select(F.col("id").alias("face_id"), *XYZ, F.col("id").alias("uv")), points(k, d).select(F.col("id").alias("face_id"), *XYZ)),

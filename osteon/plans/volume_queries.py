@@ -61,12 +61,12 @@ QUERIES = {
     "w15_best_checkpoint": lambda k, d: p.best_checkpoint(epochs(k, d)),
     "w16_rank_folds": lambda k, d: p.rank_folds(epochs(k, d).select("run", F.col("epoch").alias("fold"), F.when(F.col("epoch") % 9 != 0, F.col("loss")).alias("loss"), "dice")),
     "w18_interest_points": lambda k, d: s.interest_points(dense(k, d), dense(k, d).where("v > 100"), 1, 10, 2).select(*CELLS, F.round("var", 6).alias("var")),
-    "w19_radial_descriptor": lambda k, d: s.radial_descriptor(dense(k, d), dense(k, d).where("v > 180").withColumn("id", F.col("z") * 16 + F.col("y") * 4 + F.col("x")), 2, 3).select("scan_id", "id", F.size("vector").alias("n")),
+    "w19_radial_descriptor": lambda k, d: s.radial_descriptor(dense(k, d), dense(k, d).where("v > 180").withColumn("id", F.col("z") * 16 + F.col("y") * 4 + F.col("x")), 2, 3).select("scan_id", "id", F.posexplode("vector").alias("n", "part")),
     "w20_clip_window": lambda k, d: p.clip_window(table(k, d, "lineitem").groupBy(F.col("l_suppkey").alias("scan_id")).agg((F.min("l_partkey") % 40).alias("prompt"), F.lit(40).cast("long").alias("slices")), 8),
     "w21_nlm_denoise": lambda k, d: s.nlm_denoise(dense(k, d), 10.0),
     "w22_settings_key": lambda k, d: p.settings_key(scans(k, d).select(F.col("scan_id").alias("run"), F.create_map(F.lit("voxel"), F.col("scan_id").cast("string"), F.lit("name"), F.col("name")).alias("settings"))),
-    "a16_resample_isotropic": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", F.col("v").cast("double")), spacings(k, d)),
-    "a16_resample_coarsest": lambda k, d: s.resample_isotropic(dense(k, d), spacings(k, d), "coarsest"),
+    "a16_resample_isotropic": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", F.col("v") * 0.7071067811865476), spacings(k, d)),
+    "a16_resample_coarsest": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", F.col("v") * 0.7071067811865476), spacings(k, d), "coarsest"),
     "a16_resample_masks": lambda k, d: s.resample_isotropic(dense(k, d).withColumn("v", (F.col("v") > 128).cast("int")), spacings(k, d).withColumn("binary", F.lit(True)), "coarsest"),
     "a40_component_stats": lambda k, d: g.component_stats(grid_faces(k, d), grid_faces(k, d).select("mesh_id", "face_id", (F.col("face_id") % 5 + 1.0).alias("area"))).select("mesh_id", "component", "vertices", "faces", "area", "kept"),
     "a43_clahe": lambda k, d: s.clahe(dense(k, d), 2, 4.0),
@@ -74,12 +74,12 @@ QUERIES = {
     "i1_island_cleanup": lambda k, d: g.island_cleanup(dense(k, d), 140),
     "i2_fill_holes": lambda k, d: g.fill_holes(dense(k, d), 118),
     "i3_mesh_components": lambda k, d: g.mesh_components(grid_faces(k, d)),
-    "i4_proximity_weld": lambda k, d: g.proximity_weld(as_mesh(k, d), grid_faces(k, d), 0.2)[0].select("mesh_id", "vertex_id"),
+    "i4_proximity_weld": lambda k, d: g.proximity_weld(as_mesh(k, d), grid_faces(k, d), 0.2)[0],
     "i5_greedy_decorrelate": lambda k, d: g.greedy_decorrelate(points(k, d).select("id", F.round(F.abs("x"), 3).alias("variance")), s_pairs(k, d)),
     "i6_farthest_points": lambda k, d: g.farthest_points(subjects(k, d), 5),
     "i7_icp_batch": lambda k, d: g.icp_batch(subjects(k, d).withColumn("x", F.col("x") + 0.05), triangles(k, d).withColumnRenamed("mesh_id", "scan_id"), 0.05),
     "i10_hysteresis": lambda k, d: g.hysteresis(dense(k, d), 130, 150),
-    "i11_semi_landmarks": lambda k, d: g.semi_landmarks(g.mesh_edges(grid_faces(k, d)).select("a", "b"), points(k, d).select("id", "x", "y", "z"), g.mesh_edges(grid_faces(k, d)).groupBy("mesh_id").agg(F.min("a").alias("start"), F.min("b").alias("goal")).withColumnRenamed("mesh_id", "pair"), 3).select("pair", "idx"),
+    "i11_semi_landmarks": lambda k, d: g.semi_landmarks(g.mesh_edges(grid_faces(k, d)).select("a", "b"), points(k, d).select("id", "x", "y", "z"), g.mesh_edges(grid_faces(k, d)).groupBy("mesh_id").agg(F.min("a").alias("start"), F.min("b").alias("goal")).withColumnRenamed("mesh_id", "pair"), 3),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("intensity_queries", "cohort_queries", "space_queries", "volume_queries", "stream_queries", "more_queries", "frame_queries")
+FAMILIES = ("intensity_queries", "cohort_queries", "space_queries", "volume_queries", "stream_queries", "more_queries", "frame_queries", "oracle_queries")
 
 
 def _families() -> list:
