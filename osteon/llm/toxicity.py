@@ -97,15 +97,30 @@ def interchangeable(texts: list[str], labels: list[int], least: int = LEAST_NEUT
     if not len(keys):
         return ()
     starts = np.flatnonzero(np.append(True, keys[1:] // size != keys[:-1] // size))
-    common: Counter = Counter()
-    for lo, hi in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-        if hi - lo > 1:
-            here = (keys[lo:hi] % size).tolist()
-            common.update((a, b) for i, a in enumerate(here) for b in here[i + 1 :])
+    length = np.diff(np.append(starts, len(keys)))
+    place, word = np.repeat(np.arange(len(starts)), length), keys % size
+    order = np.argsort(word, kind="stable")
+    ends = np.searchsorted(word[order], np.arange(size + 1))
+    lefts, rights, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i in np.flatnonzero(content & (np.diff(ends) >= max(slots, 1))).tolist():
+        # one word at a time: its places, and how often each later word stands in them
+        n = np.zeros(size, np.int32)
+        own = place[order[ends[i] : ends[i + 1]]]
+        for chunk in np.array_split(own, max(1, int(length[own].sum()) >> 20)):
+            many = length[chunk]
+            at = np.repeat(starts[chunk] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            n += np.bincount(word[at], minlength=size).astype(np.int32)
+        good = np.flatnonzero(n[i + 1 :] >= max(slots, 1)) + i + 1
+        lefts.append(np.full(len(good), i, np.int32))
+        rights.append(good.astype(np.int32))
+        counts.append(n[good])
+    left, right, common = (np.concatenate(x) for x in (lefts, rights, counts))
     pairs, taken = [], set()
-    for (left, right), n in sorted(common.items(), key=lambda p: (-p[1], p[0])):
-        pair = names[left], names[right]
-        if n >= max(slots, 1) and len(pairs) < most and not taken & set(pair):
+    for i in np.lexsort((right, left, -common)).tolist():
+        pair = names[left[i]], names[right[i]]
+        if len(pairs) == most:
+            break
+        if not taken & set(pair):
             pairs.append(pair)
             taken |= set(pair)
     return tuple(pairs)
