@@ -13,9 +13,11 @@ def normal_stem(path: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key in which numbers order by size: each is left-padded to 12 digits."""
+    """A sort key in which numbers of any length order by size: each has its count of digits, without leading zeros, before it."""
     parts = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(F.lower(p))), "")
+    digits = lambda p: F.ltrim(p, F.lit("0"))
+    sized = lambda p: F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), sized(p)).otherwise(F.lower(p))), "")
 
 
 def clean_label(label: Column) -> Column:

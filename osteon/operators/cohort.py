@@ -211,12 +211,17 @@ def classify_spacing(spacings: DataFrame) -> DataFrame:
 
 
 def collect_examples(scans: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """(scan_id, label) pairs to train on; dropped when a subject's labels are known and the label isn't among them."""
-    has = known.groupBy("scan_id").agg(F.collect_set("label").alias("has"))
-    listed = labels.agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    pairs = scans.select("scan_id").join(F.broadcast(listed)).select("scan_id", F.explode("labels").alias("label"))
-    joined = pairs.join(has, "scan_id", "left")
-    return joined.where(F.col("has").isNull() | F.array_contains("has", F.col("label"))).select("scan_id", "label")
+    """(scan_id, label) pairs to train on; dropped when a subject's labels are known and the label isn't among them.
+
+    Scans with known labels meet their own by key. The others take every label: they are dealt into as many parts as a shuffle has,
+    each of which gets the distinct labels once.
+    """
+    wanted, told = labels.select("label").where("label IS NOT NULL").distinct(), known.select("scan_id", "label").distinct()
+    of_known = told.join(scans.select("scan_id"), "scan_id").join(wanted, "label", "left_semi").select("scan_id", "label")
+    parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = scans.select("scan_id").join(told, "scan_id", "left_anti").withColumn("part", F.pmod(F.xxhash64("scan_id"), F.lit(parts)).cast("int"))
+    every = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return of_known.union(rest.join(every, "part").select("scan_id", "label"))
 
 
 def invalid_subjects(selection: DataFrame, scans: DataFrame, known: DataFrame, wanted: list[int]) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .geometry import AXES
-from .spatial import nearest_point
+from .spatial import invert_field, nearest_point
+from .tables import written
 
 CELL = ("scan_id", "z", "y", "x")
 
@@ -154,10 +155,11 @@ def kabsch_batch(pairs: DataFrame, scaled: bool = False) -> DataFrame:
 
 
 def atlas_mean(images: DataFrame, fields: DataFrame) -> DataFrame:
-    """Mean image of the aligned subjects, pulled through the inverse of the mean field (to first order, minus it)."""
+    """Mean image of the aligned subjects, pulled through the inverse of the mean field; cells whose source is outside are left out."""
     image = images.groupBy("z", "y", "x").agg(F.avg("v").alias("v"))
     mean = fields.groupBy("z", "y", "x").agg(*[F.avg(f"u{a}").alias(f"u{a}") for a in AXES])
-    source = mean.select("z", "y", "x", *[F.rint(F.col(a) - F.col(f"u{a}")).cast("int").alias(f"s{a}") for a in AXES])
+    inverse = invert_field(written(mean.withColumn("scan_id", F.lit(0))))
+    source = inverse.select("z", "y", "x", *[F.rint(F.col(a) + F.col(f"w{a}")).cast("int").alias(f"s{a}") for a in AXES])
     return source.join(image.withColumnsRenamed({a: f"s{a}" for a in AXES}), ["sx", "sy", "sz"]).select("z", "y", "x", "v")
 
 

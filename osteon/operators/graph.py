@@ -307,7 +307,7 @@ def hysteresis(voxels: DataFrame, low: float, high: float) -> DataFrame:
     return labeled.join(strong, ["scan_id", "component"], "left_semi").select(*CELL)
 
 
-def semi_landmarks(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, rounds: int = 10_000) -> DataFrame:
+def semi_landmarks(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """n points evenly along the shortest edge path of each pair (pair, start, goal), ends left out: pair, idx, x, y, z.
 
     The frontiers of all pairs are relaxed together, a round at a time; then each pair's path is walked back together too.
@@ -319,7 +319,7 @@ def semi_landmarks(edges: DataFrame, vertices: DataFrame, pairs: DataFrame, n: i
     weighted = written(both.join(at("a"), "a").join(at("b"), "b").select("a", "b", length.alias("w")))
     best = written(pairs.select("pair", F.col("start").alias("at"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")))
     front = best
-    for _ in range(rounds):
+    while True:  # costs only fall and paths without a loop are finitely many, so the frontier empties
         reached = front.join(weighted, front["at"] == weighted["a"]).groupBy("pair", F.col("b").alias("at")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("a").alias("via"))).alias("n"))
         met = best.join(reached, ["pair", "at"], "full_outer")
         better = F.col("cost").isNull() | (F.col("n.cost") < F.col("cost"))

@@ -93,8 +93,7 @@ def clip_window(prompts: DataFrame, n: int) -> DataFrame:
 
 def settings_key(settings: DataFrame) -> DataFrame:
     """First 12 hex digits of the SHA-1 of the settings as canonical JSON; settings: run and a map of strings."""
-    entries = F.array_sort(F.map_entries("settings"))
-    body = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"'))), ","), F.lit("}"))
+    body = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("settings"))), {"ignoreNullFields": "false"})
     return settings.select("run", F.substring(F.sha1(body.cast("binary")), 1, 12).alias("key"))
 
 

@@ -7,10 +7,16 @@ Groups of points (scan, cohort, mesh) are part of the key. Nothing here compares
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .blocks import over_blocks
 from .geometry import AXES, cross
 from .tables import written
 
@@ -241,6 +247,68 @@ def grow_mask(masks: DataFrame, factor: int, shape: tuple[int, int, int]) -> Dat
     return out
 
 
+def resized_cells(i: Column, n: Column, m: Column) -> Column:
+    """The cells of an axis of m that take cell i of an axis of n."""
+    rf = F.greatest(F.rint(F.greatest(n, m) / F.least(n, m)), F.lit(1.0)).cast("int")
+    repeats, strides = (m > n) & (F.ceil(m / rf) == n), (m < n) & (F.ceil(n / rf) == m)
+    step = F.when(m > 1, (n - 1) / F.greatest(m - 1, F.lit(1))).otherwise(F.lit(1.0))
+    low = F.greatest(F.when(step > 0, F.floor((i - 0.5) / F.when(step > 0, step)) - 1).otherwise(F.lit(0)), F.lit(0)).cast("int")
+    high = F.least(F.when(step > 0, F.ceil((i + 0.5) / F.when(step > 0, step)) + 1).otherwise(m - 1), m - 1).cast("int")
+    zoomed = F.filter(F.when(low <= high, F.sequence(low, high)), lambda j: F.least(F.floor(step * j + 0.5), n - 1) == i)
+    taken = F.when(n == m, F.array(i)).when(repeats, F.filter(F.sequence(i * rf, i * rf + rf - 1), lambda j: j < m))
+    return taken.when(strides, F.when(i % rf == 0, F.array((i / rf).cast("int")))).otherwise(zoomed)
+
+
+def resize_mask(masks: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Masks on grids of another shape; masks: scan_id, z, y, x, label; shapes: scan_id, nz, ny, nx (now), mz, my, mx (wanted).
+
+    An axis whose sizes fit blocks of rf cells (rf: the rounded ratio, ceil(larger / rf) = smaller) is repeated or taken at every rf-th cell,
+    so cell j covers the cells from j * rf; any other axis takes the nearest cell with first and last centres on each other.
+    """
+    out = masks.select("scan_id", "z", "y", "x", "label").join(shapes.select("scan_id", *[f"{k}{a}" for k in "nm" for a in "zyx"]), "scan_id")
+    for a in "zyx":
+        out = out.withColumn(a, F.explode(resized_cells(F.col(a), F.col(f"n{a}"), F.col(f"m{a}"))))
+    return out.select("scan_id", "z", "y", "x", "label")
+
+
+def invert_field(fields: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """scan_id, z, y, x, wz, wy, wx, residual: the inverse of each field, w(p) = -u(p + w(p)), by fixed-point rounds.
+
+    fields: scan_id, z, y, x (a full box), uz, uy, ux in cells; beyond the box the field goes on as at its edge. The halo of a block is the
+    largest displacement, so all rounds run where the block is: one shuffle. residual: how far p + w + u(p + w) is from p; it stays large
+    only where the field folds, since there is no inverse there.
+    """
+    u = [f"u{a}" for a in "zyx"]
+    far = fields.agg(F.max(F.greatest(*[F.abs(c) for c in u]))).first()[0] or 0.0
+    halo = math.ceil(far) + 1
+
+    def work(arrays: list[np.ndarray], inside: np.ndarray) -> list[np.ndarray]:
+        shape = arrays[0].shape
+        at = np.stack(np.meshgrid(*[np.arange(halo, n - halo, dtype=float) for n in shape], indexing="ij"))
+        pulled = lambda w: np.stack([linear(v, at + w) for v in arrays])
+        w = np.zeros_like(at)
+        for _ in range(rounds):
+            new = -pulled(w)
+            moved = np.abs(new - w).max(initial=0.0)
+            w = new
+            if moved < tolerance:
+                break
+        return [*w, np.sqrt(((w + pulled(w)) ** 2).sum(0))]
+
+    return over_blocks(fields, halo, work, ["wz", "wy", "wx", "residual"], columns=tuple(u), pad="edge")
+
+
+def linear(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values at the places `at` (axis first), linear between cells."""
+    low = [np.clip(np.floor(p).astype(int), 0, n - 2) for p, n in zip(at, values.shape, strict=True)]
+    part = [p - b for p, b in zip(at, low, strict=True)]
+    total = np.zeros(at.shape[1:])
+    for corner in np.ndindex(2, 2, 2):
+        weight = np.prod([t if c else 1 - t for c, t in zip(corner, part, strict=True)], axis=0)
+        total += weight * values[tuple(b + c for b, c in zip(low, corner, strict=True))]
+    return total
+
+
 def map_to_display(display: DataFrame, surface: DataFrame, spacing: float) -> tuple[DataFrame, DataFrame]:
     """Each display point takes its nearest surface point's value; and the mean and largest distance, with a warning over one spacing."""
     near = nearest_point(display, surface)
@@ -248,16 +316,63 @@ def map_to_display(display: DataFrame, surface: DataFrame, spacing: float) -> tu
     return values, near.agg(F.avg("distance").alias("mean"), F.max("distance").alias("most"), (F.max("distance") > spacing).alias("warn"))
 
 
-def mutual_matches(moving: DataFrame, fixed: DataFrame, least: float = 0.55) -> DataFrame:
-    """Pairs that are each other's best by cosine, ranked; moving and fixed: pair, id, vector (few points a pair)."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    m = moving.select("pair", F.col("id").alias("a"), F.col("vector").alias("va"))
-    f = fixed.select("pair", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    product = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = m.join(f, "pair").select("pair", "a", "b", (product / (norm(F.col("va")) * norm(F.col("vb")))).alias("cos"))
-    best = met.withColumn("ra", F.row_number().over(W.partitionBy("pair", "a").orderBy(F.desc("cos"), "b"))).withColumn("rb", F.row_number().over(W.partitionBy("pair", "b").orderBy(F.desc("cos"), "a")))
-    kept = best.where((F.col("ra") == 1) & (F.col("rb") == 1) & (F.col("cos") >= least))
-    return kept.select("pair", "a", "b", "cos", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("cos"), "a")).alias("rank"))
+def vector_blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """pair, block, blocks (of the pair) and cells (id, vector), about `size` a block; ids that are null and vectors without a direction are left out."""
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    known = vectors.where(F.col("id").isNotNull() & (squares > 0) & (squares < float("inf"))).select("pair", "id", "vector")
+    counts = known.groupBy("pair").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = known.join(counts, "pair").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return dealt.groupBy("pair", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("cells"))
+
+
+def _opened(lists: pa.ListArray, i: int) -> tuple[pa.Array, np.ndarray]:
+    """Ids of a row's cells and their vectors as a matrix."""
+    cells = lists.values.slice(lists.offsets[i].as_py(), lists.offsets[i + 1].as_py() - lists.offsets[i].as_py())
+    rows = cells.field("vector")
+    flat = np.asarray(rows.flatten().cast(pa.float64()))
+    return cells.field("id"), flat.reshape(len(rows), -1)
+
+
+def _best_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best partner of each vector of both blocks of a row; equal cosines go to the lower id.
+
+    A matrix product finds who may be best; cosines that decide are summed vector by vector, so that equal vectors tie.
+    """
+    for batch in batches:
+        for i in range(batch.num_rows):
+            (ids_a, a), (ids_b, b) = (_opened(batch.column(c), i) for c in ("of_moving", "of_fixed"))
+            long_a, long_b = (np.sqrt((v * v).sum(1)) for v in (a, b))
+            about = (a / long_a[:, None]) @ (b / long_b[:, None]).T
+            for by_fixed, axis in ((False, 1), (True, 0)):
+                row, col = np.nonzero(about >= about.max(axis=axis, keepdims=True) - 1e-9)
+                cos = (a[row] * b[col]).sum(1) / (long_a[row] * long_b[col])
+                own, other = (col, row) if by_fixed else (row, col)
+                order = np.lexsort((other, -cos, own))
+                first = order[np.append(True, own[order][1:] != own[order][:-1])]
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([by_fixed] * n), batch.column("pair").take(pa.array(np.full(n, i))), ids_a.take(pa.array(row[first])), ids_b.take(pa.array(col[first])), pa.array(-cos[first]),
+                ], names=["by_fixed", "pair", "a", "b", "neg"])
+
+
+def mutual_matches(moving: DataFrame, fixed: DataFrame, least: float = 0.55, size: int = 512) -> DataFrame:
+    """Pairs that are each other's best by cosine, ranked; moving and fixed: pair, id (unique in its pair), vector (of one length).
+
+    Blocks of vectors meet, not vectors: a task takes at most 64 moving blocks of a pair with all of its fixed ones, so a fixed
+    vector is sent once for every 64 * size moving ones, and only the best of each vector and block leave the task.
+    Ties: lower id. Vectors that are null, zero or not finite match nothing.
+    """
+    m, f = vector_blocks(moving, size), vector_blocks(fixed, size)
+    slices = m.groupBy("pair").agg(F.max(F.floor((F.col("blocks") - 1) / 64)).cast("int").alias("last"))
+    left = m.select("pair", F.floor(F.col("block") / 64).cast("int").alias("slice"), F.col("cells").alias("of_moving"))
+    right = f.join(slices, "pair").select("pair", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slice"), F.col("cells").alias("of_fixed"))
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    met = left.join(right, ["pair", "slice"]).select("pair", "of_moving", "of_fixed")
+    best = met.mapInArrow(_best_of_blocks, f"by_fixed boolean, pair {kind(moving, 'pair')}, a {kind(moving, 'id')}, b {kind(fixed, 'id')}, neg double")
+    own = [F.when(~F.col("by_fixed"), F.col("a")).alias("own_a"), F.when(F.col("by_fixed"), F.col("b")).alias("own_b")]
+    top = best.groupBy("by_fixed", "pair", *own).agg(F.min(F.struct("neg", "a", "b")).alias("t"))
+    both = top.groupBy("pair", F.col("t.a").alias("a"), F.col("t.b").alias("b")).agg(F.count("*").alias("n"), (-F.min("t.neg")).alias("cos")).where((F.col("n") == 2) & (F.col("cos") >= least))
+    return both.select("pair", "a", "b", "cos", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("cos"), "a")).alias("rank"))
 
 
 def keep_landmarks_near(landmarks: DataFrame, faces: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ SQL = {
     "p10_combine_max": T("dense") + _CHANNELS + "max(v)::INT AS v FROM ch GROUP BY ALL",
     "p10_split_channels": T("dense", "scans") + ", ch AS (SELECT DISTINCT scan_id // 3 AS scan_id, (scan_id % 3)::INT AS channel FROM dense) SELECT scan_id, name || '_ch' || channel AS name, scan_id AS linked_to, channel FROM scans JOIN ch USING (scan_id)",
     "scalar_names": """SELECT p_partkey, trim(regexp_replace(lower(p_name || ' #' || p_partkey), '[^a-z0-9]+', '_', 'g'), '_') AS stem,
-        array_to_string(list_transform(regexp_extract_all(p_name || '-' || p_partkey, '[0-9]+|[^0-9]+'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN lpad(s, 12, '0') ELSE lower(s) END), '') AS key,
+        array_to_string(list_transform(regexp_extract_all(p_name || '-' || p_partkey, '[0-9]+|[^0-9]+'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN lpad(length(ltrim(s, '0'))::VARCHAR, 10, '0') || ltrim(s, '0') ELSE lower(s) END), '') AS key,
         trim(regexp_replace(' ' || p_name || '  ' || p_brand, '\\s+', ' ', 'g')) AS label FROM part""",
     "scalar_measures": "SELECT l_orderkey, l_linenumber, -l_discount::DOUBLE * ln(l_discount::DOUBLE + 1e-10::DOUBLE) AS entropy, degrees(acos(least(greatest((l_tax::DOUBLE + l_tax::DOUBLE * 2 + l_tax::DOUBLE * 4 - 1) / 2, -1), 1))) AS angle FROM lineitem",
 }

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as e, graph as g, intensity as i, stencil as s
+from ..operators import evaluate as e, graph as g, intensity as i, spatial as j, stencil as s
+from ..operators.tables import shared_path
+from ..sources import manifests as m
 from .intensity_queries import dense
-from .proxies import edits, with_tables
+from .proxies import edits, scans, table, with_tables
 from .space_queries import actual, subjects
 from .volume_queries import deformation
 
@@ -28,7 +30,46 @@ def map_log(k, d):
     return edits(k, d).select("scan_id", n.alias("seq"), op.alias("op"), name.alias("filename"), F.when(kind == "smooth", "cut").alias("other"), F.when(F.col("has_mask"), 2.0).otherwise(1.0).alias("s"), (n % 5 - 2.0).alias("o"))
 
 
+def waves(k, d):
+    """Displacements of every dense scan, in part smooth and in part its own values."""
+    own = (F.col("v") - 128) / 4036.0
+    return dense(k, d).select("scan_id", "z", "y", "x", (own + F.col("y") * 0.05).alias("uz"), (F.col("x") * 0.08).alias("uy"), (F.col("z") * 0.1 + own / 2).alias("ux"))
+
+
+def grids(k, d):
+    """Shapes to resize to: repeated, taken at steps, and zoomed."""
+    pick = lambda a: F.element_at(F.array(*[F.lit(g[a]) for g in GRIDS]), (F.col("scan_id") % 4 + 1).cast("int"))
+    return dense(k, d).select("scan_id").distinct().select("scan_id", *[F.lit(4).alias(f"n{a}") for a in "zyx"], *[pick(n).alias(f"m{a}") for n, a in enumerate("zyx")])
+
+
+def scan_files(k, d):
+    """Metadata of every scan in its own file, beside files that are none."""
+    s = scans(k, d).select("name", "voxel_size", F.col("threshold").cast("double").alias("threshold"), "faulty", "is_mesh", "voxelized", "flag")
+    at = lambda file: F.concat(F.lit("project/extracted/"), F.col("name"), F.lit("/"), file)
+    text = F.to_json(F.struct(*s.columns)).alias("text")
+    return s.select(at(F.concat("name", F.lit(".json"))).alias("path"), text).union(s.select(at(F.lit("landmarks.json")), text))
+
+
+def landmark_rows(k, d):
+    p = table(k, d, "embeddings").where("vec_id > 0")
+    at = lambda n: F.col("embedding")[n].cast("double").alias("xyz"[n])
+    return p.select(F.floor((F.col("vec_id") - 1) / 3).cast("long").alias("scan_id"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.when(F.col("vec_id") % 3 == 2, "semi").otherwise("main").alias("type"), *[at(n) for n in range(3)])
+
+
+def landmarks_csv(k, d):
+    """Writes the wide landmarks and reads the file back."""
+    path = shared_path(k, "landmarks")
+    m.write_landmarks_csv(m.landmarks_wide(landmark_rows(k, d), scans(k, d).where("scan_id > 0"), 3), path)
+    back = k.read.csv(path, header=True)
+    return back.select("Subject", *[F.coalesce(c, F.lit("")).try_cast("double").alias(c) for c in back.columns if c != "Subject"])
+
+
+GRIDS = ((8, 6, 3), (2, 7, 4), (4, 5, 1), (3, 4, 10))
 QUERIES = {
+    "a30_invert_field": lambda k, d: j.invert_field(waves(k, d), tolerance=1e-12).select("scan_id", "z", "y", "x", *[F.round(c, 6).alias(c) for c in ("wz", "wy", "wx", "residual")]),
+    "j9_resize_any": lambda k, d: j.resize_mask(dense(k, d).select("scan_id", "z", "y", "x", (F.col("v") % 3).alias("label")), grids(k, d)),
+    "s1_scan_rows": lambda k, d: m.scan_rows(scan_files(k, d)).select("folder", "voxel_size", "threshold", "faulty", "is_mesh", "voxelized", "flag"),
+    "s7_landmarks_csv": landmarks_csv,
     "i5_decorrelate_fields": lambda k, d: g.decorrelate_landmarks(marks(k, d), deformation(k, d).withColumnRenamed("idx", "id"), 2.0, 0.02).select("id", "variance"),
     "i6_spread_select": lambda k, d: g.spread_select(subjects(k, d)),
     "i10_edge_mask": lambda k, d: g.edge_mask(dense(k, d), 0.6, 0.9, 1, "above_min", 3),
@@ -108,7 +149,34 @@ def labeled(level: int) -> str:
 _STRIP = "l AS (SELECT cohort AS mesh_id, id AS a, lead(id) OVER w AS b, lead(id, 2) OVER w AS c FROM points WINDOW w AS (PARTITION BY cohort ORDER BY id)), f AS (SELECT * FROM l WHERE c IS NOT NULL AND a % 7 <> 0 AND b % 7 <> 0)"
 _KNOWN = "known AS (SELECT DISTINCT o_custkey AS scan_id, o_orderkey % 5 AS label FROM orders)"
 
+def inverted(rounds: int) -> str:
+    """Fixed-point rounds of inverting the displacements of waves, linear between cells."""
+    field = T("dense") + ", u AS (SELECT scan_id, z, y, x, (v - 128) / 4036.0::DOUBLE + y * 0.05::DOUBLE AS uz, x * 0.08::DOUBLE AS uy, z * 0.1::DOUBLE + (v - 128) / 8072.0::DOUBLE AS ux FROM dense)"
+    corner = ", k AS (SELECT i, j, l FROM range(2) p(i), range(2) q(j), range(2) r(l)), w0 AS (SELECT scan_id, z, y, x, 0.0::DOUBLE AS wz, 0.0::DOUBLE AS wy, 0.0::DOUBLE AS wx FROM u)"
+    weight = " * ".join(f"CASE WHEN {c} = 1 THEN {a} + w{a} - floor({a} + w{a}) ELSE 1 - ({a} + w{a} - floor({a} + w{a})) END" for a, c in zip("zyx", "ijl", strict=True))
+    cell = ", ".join(f"least(greatest(floor({a} + w{a}) + {c}, 0), 3)::INT AS s{a}" for a, c in zip("zyx", "ijl", strict=True))
+    steps = "".join(
+        f", w{n} AS (SELECT c.scan_id, c.z, c.y, c.x, " + ", ".join(f"-sum(g * u.u{a}) AS w{a}" for a in "zyx") + f" FROM (SELECT scan_id, z, y, x, {weight} AS g, {cell} FROM w{n - 1}, k) c"
+        " JOIN u ON u.scan_id = c.scan_id AND u.z = sz AND u.y = sy AND u.x = sx GROUP BY ALL)" for n in range(1, rounds + 1)
+    )
+    return field + corner + steps + f" SELECT scan_id, z, y, x, {', '.join(f'round(w{a}, 6) AS w{a}' for a in 'zyx')}, 0.0::DOUBLE AS residual FROM w{rounds}"
+
+
+def resized() -> str:
+    shape = "CASE scan_id % 4 " + " ".join(f"WHEN {n} THEN {list(g)}" for n, g in enumerate(GRIDS)) + " END AS m"
+    rf = "greatest(round_even(greatest(4, m) / least(4, m), 0), 1)::INT"
+    source = f"CASE WHEN m = 4 THEN t WHEN m > 4 AND ceil(m / {rf}) = 4 THEN t // {rf} WHEN m < 4 AND ceil(4 / {rf}) = m THEN t * {rf} ELSE least(floor(t * (3 / greatest(m - 1, 1)::DOUBLE) + 0.5::DOUBLE), 3) END::INT"
+    axes = f"ax AS (SELECT m, t, {source} AS s FROM (SELECT m, unnest(range(m)) AS t FROM range(1, 11) r(m)))"
+    return T("dense") + f", {axes}, d AS (SELECT *, {shape} FROM dense) SELECT scan_id, az.t::INT AS z, ay.t::INT AS y, ax.t::INT AS x, (v % 3)::INT AS label FROM d JOIN ax az ON az.m = d.m[1] AND az.s = d.z JOIN ax ay ON ay.m = d.m[2] AND ay.s = d.y JOIN ax ON ax.m = d.m[3] AND ax.s = d.x"
+
+
 SQL = {
+    "a30_invert_field": inverted(20),
+    "j9_resize_any": resized(),
+    "s1_scan_rows": T("scans") + " SELECT name AS folder, voxel_size, threshold::DOUBLE AS threshold, faulty, is_mesh, voxelized, flag FROM scans",
+    "s7_landmarks_csv": T("scans") + ", e AS (SELECT (vec_id - 1) // 3 AS scan_id, (vec_id % 3)::INT AS i, embedding FROM embeddings WHERE vec_id > 0) SELECT name AS \"Subject\", " + ", ".join(
+        f'max(CASE WHEN i = {n} THEN embedding[{c + 1}]::DOUBLE END) AS {p}landmark_{n}_{a}' if (p == "semi_") == (n == 2) else f"NULL::DOUBLE AS {p}landmark_{n}_{a}" for p in ("", "semi_") for n in range(3) for c, a in enumerate("xyz")
+    ) + " FROM e JOIN scans USING (scan_id) WHERE NOT faulty AND scan_id > 0 GROUP BY name",
     "a16_resample_isotropic": resampled(True, "v * 0.7071067811865476::DOUBLE", "least(greatest(v, lo), hi)"),
     "a16_resample_coarsest": resampled(False, "v * 0.7071067811865476::DOUBLE", "least(greatest(v, lo), hi)"),
     "a16_resample_masks": resampled(False, "(v > 128)::INT", "CASE WHEN v >= (lo + hi) / 2.0::DOUBLE - 1e-12 THEN hi ELSE lo END::INT"),

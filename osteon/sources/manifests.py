@@ -13,11 +13,16 @@ SCAN = "name string, voxel_size double, threshold double, original_format string
 POINT = "double"
 
 
+def scan_rows(files: DataFrame) -> DataFrame:
+    """One row per folder that holds its own <name>.json, with that file's values; files: path, text. Broken JSON gives nulls."""
+    parts = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), -2).alias("folder"), F.from_json("text", SCAN).alias("s"))
+    return parts.where(F.col("file") == F.concat("folder", F.lit(".json"))).select("s.*", "folder")
+
+
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """One row per folder under extracted/ that holds its own <name>.json; other files are left out. Sorted by folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("multiLine", "true").schema(SCAN).json(f"{path}/extracted")
-    parts = files.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
-    return parts.where(F.col("file") == F.concat("folder", F.lit(".json"))).drop("file").orderBy("folder")
+    """scan_rows of the JSON files under extracted/, sorted by folder."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(f"{path}/extracted", wholetext=True)
+    return scan_rows(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))).orderBy("folder")
 
 
 def parse_edit_names(files: DataFrame) -> DataFrame:
@@ -103,6 +108,11 @@ def landmarks_wide(landmarks: DataFrame, scans: DataFrame, most: int) -> DataFra
     return wide.na.fill("").orderBy(F.lower("name"))
 
 
+def write_landmarks_csv(wide: DataFrame, path: str) -> None:
+    """Writes landmarks_wide as CSV with a header, the subject first, in part files that follow its order; missing values are empty."""
+    wide.withColumnRenamed("name", "Subject").orderBy(F.lower("Subject"), "Subject").write.csv(path, header=True, emptyValue="")
+
+
 def distances_wide(distances: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Two tables, a row per subject and a column per landmark: distances now and before snapping."""
     one = lambda c: distances.groupBy("scan_id").pivot("idx", list(range(most))).agg(F.first(c))
