@@ -1,7 +1,8 @@
 """Nearest-neighbour and distance joins in space.
 
 A cloud is dealt into cubic cells; a point looks into its own cell and the 26 around it, which is an equi-join. Points that
-find fewer than k neighbours within one cell width go on with cells twice as wide, until none is left, so answers are exact at any density.
+find fewer than k neighbours within one cell width go down a tree of cells, so answers are exact at any density. Triangles are listed in
+cells that grow until every point has found one.
 Groups of points (scan, cohort, mesh) are part of the key. Nothing here compares all pairs.
 """
 
@@ -43,11 +44,30 @@ def in_cells(points: DataFrame, width, names=("gx", "gy", "gz"), around: bool =
     return sent.withColumns({n: c + F.col(f"__s.{s}") for n, c, s in zip(names, cells, "ijk", strict=True)}).drop("__s")
 
 
-def cell_width(cloud: DataFrame, per_cell: float = 2.0) -> float:
-    """A width at which the cloud's box has about per_cell points a cell."""
-    r = cloud.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in AXES]).first()
-    extent = max(r.x or 0.0, r.y or 0.0, r.z or 0.0, 1e-9)
-    return max(extent / max((r.n / per_cell) ** (1 / 3), 1.0), 1e-9)
+def group_widths(cloud: DataFrame, group: list[str], per_cell: float = 2.0, most: float = 16.0, sample: int = 1_000_000) -> DataFrame:
+    """The group, __have (its points), __w (a cell width) and __levels (doublings of it that span the group's box).
+
+    The width gives the box about per_cell points a cell; where the points crowd, it is halved, at most seven times, until a point shares its
+    cell with at most `most` others on average. That is judged on a sample of about `sample` points in all; the width changes speed, not results.
+    """
+    extent = F.greatest(*[F.max(a) - F.min(a) for a in AXES], F.lit(1e-9))
+    least = F.greatest(*[F.max(F.abs(a)) for a in AXES]) / FARTHEST
+    boxes = written(cloud.groupBy(*group).agg(F.count("*").alias("__have"), extent.alias("__extent"), least.alias("__least")))
+    boxes = boxes.withColumn("__w0", F.greatest(F.col("__extent") / F.greatest(F.cbrt(F.col("__have") / per_cell), F.lit(1.0)), "__least", F.lit(1e-9)))
+    share = min(1.0, sample / max(boxes.agg(F.sum("__have")).first()[0] or 0, 1))
+    some = cloud.select(*group, *AXES) if share == 1 else cloud.select(*group, *AXES).sample(share, seed=7)
+    some = some.join(boxes.select(*group, "__w0"), group) if group else some.join(F.broadcast(boxes.select("__w0")))
+    level = some.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    cells = level.groupBy(*group, "__level", *[F.floor(F.col(a) * F.pow(F.lit(2.0), "__level") / F.col("__w0")).alias(f"g{a}") for a in AXES]).agg(F.count("*").alias("__c"))
+    crowd = cells.groupBy(*group, "__level").agg((F.sum(F.col("__c") * (F.col("__c") - 1)) / F.sum("__c") / share).alias("__others"))
+    chosen = crowd.groupBy(*group).agg(F.coalesce(F.min(F.when(F.col("__others") <= most, F.col("__level"))), F.lit(7)).alias("__level"))
+    out = boxes.join(chosen, group, "left") if group else boxes.join(F.broadcast(chosen), F.lit(True), "left")
+    width = F.greatest(F.col("__w0") / F.pow(F.lit(2.0), F.coalesce("__level", F.lit(0))), "__least", F.lit(1e-9))
+    return out.withColumn("__w", width).select(*group, "__have", "__w", spanning(F.col("__extent"), F.col("__w")))
+
+
+def spanning(extent: Column, width: Column) -> Column:
+    return (F.ceil(F.log2(F.greatest(extent / width, F.lit(1.0)))) + 1).cast("int").alias("__levels")
 
 
 def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[str] | None = None, width: float | None = None) -> DataFrame:
@@ -55,30 +75,64 @@ def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[s
 
     A point whose group has no cloud, or with a coordinate that is null, NaN or infinite, gets one row with null
     neighbour and infinite distance; such points of the cloud count as absent.
+
+    Each group has its own cell width, from how its points lie. A point looks into the 27 cells around it; what finds too little within one
+    width descends a tree of cells instead (see descend), so that points far from a crowd never meet all of it. Of cloud points in one
+    place only the k lowest ids can be neighbours, and only they are kept.
     """
     group = group or []
-    cloud = cloud.where(usable(list(AXES)))
-    c = cloud.select(*group, F.col("id").alias("neighbour"), *[F.col(a).alias(f"n{a}") for a in AXES])
-    sizes = cloud.groupBy(*group).agg(F.count("*").alias("__have"))
-    p = points.select(*group, "id", *AXES)
-    p = p.join(sizes, group, "left") if group else p.join(F.broadcast(sizes))
-    width = width or cell_width(cloud)
+    cloud = cloud.where(usable(list(AXES))).select(*group, "id", *AXES)
+    sizes = group_widths(cloud, group) if width is None else cloud.groupBy(*group).agg(F.count("*").alias("__have"), F.lit(float(width)).alias("__w"), spanning(F.greatest(*[F.max(a) - F.min(a) for a in AXES]), F.lit(float(width))))
+    sizes = written(sizes)
+    joined = lambda d, how: d.join(sizes, group, how) if group else d.join(F.broadcast(sizes))
+    place = W.partitionBy(*group, *AXES).orderBy("id")
+    apart = cloud.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k)
+    keys = ["gx", "gy", "gz"]
+    c = written(joined(apart, "inner").select(*group, F.col("id").alias("neighbour"), *[F.col(a).alias(f"n{a}") for a in AXES], *[F.floor(F.col(a) / F.col("__w")).alias(n) for n, a in zip(keys, AXES, strict=True)]))
+    p = joined(points.select(*group, "id", *AXES), "left")
     lost = ~usable(list(AXES)) | (F.coalesce("__have", F.lit(0)) == 0)
     out = p.where(lost).select(*group, "id", F.lit(None).cast("long").alias("neighbour"), F.lit(float("inf")).alias("distance"), F.lit(1).alias("rank"))
-    left = written(p.where(~lost))
-    order = W.partitionBy(*group, "id").orderBy("distance", "neighbour")
-    while True:
-        keyed = c.withColumns({n: F.floor(F.col(f"n{a}") / width) for n, a in zip(("gx", "gy", "gz"), AXES, strict=True)})
-        met = in_cells(left, width, around=True).join(keyed, [*group, "gx", "gy", "gz"])
-        d = F.sqrt(sum((F.col(a) - F.col(f"n{a}")) ** 2 for a in AXES))
-        ranked = met.withColumn("distance", d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = written(ranked.select(*group, "id", "neighbour", "distance", "rank", F.least(F.col("__have"), F.lit(k)).alias("want")))
-        settled = found.groupBy(*group, "id", "want").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") >= F.col("want")) & (F.col("far") <= width)).select(*group, "id")
-        out = out.union(found.join(settled, [*group, "id"], "left_semi").select(*group, "id", "neighbour", "distance", "rank"))
-        left = written(left.join(settled, [*group, "id"], "left_anti"))
-        if not left.limit(1).count():
-            return out
-        width *= 2
+    left = written(p.where(~lost).withColumn("want", F.least(F.col("__have"), F.lit(k))))
+    best = lambda met: met.withColumn("distance", F.sqrt(sum((F.col(a) - F.col(f"n{a}")) ** 2 for a in AXES))).withColumn("rank", F.row_number().over(W.partitionBy(*group, "id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
+    met = in_cells(left, F.col("__w"), around=True).join(c, [*group, *keys])
+    found = written(best(met).select(*group, "id", "neighbour", "distance", "rank", "want", "__w"))
+    settled = found.groupBy(*group, "id").agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.first("want").alias("want"), F.first("__w").alias("w")).where((F.col("n") >= F.col("want")) & (F.col("far") <= F.col("w"))).select(*group, "id")
+    result = ["id", "neighbour", "distance", "rank"]
+    out = out.union(found.join(settled, [*group, "id"], "left_semi").select(*group, *result))
+    rest = written(left.join(settled, [*group, "id"], "left_anti"))
+    if not rest.limit(1).count():
+        return out
+    leaves = descend(rest, c, group, rest.agg(F.max("__levels")).first()[0])
+    return out.union(best(leaves.join(c, [*group, *keys])).select(*group, *result))
+
+
+def descend(points: DataFrame, cloud: DataFrame, group: list[str], levels: int) -> DataFrame:
+    """The cells (gx, gy, gz) of the cloud that may hold one of a point's `want` nearest, found from the largest cells down.
+
+    Cells of each level join eight of the one below and know their points' count and box. A cell goes when its box is farther than
+    others that hold `want` points together; the rest are opened. So a point meets few cells of each level, however many points they hold.
+    """
+    keys = ["gx", "gy", "gz"]
+    box = [(f"{f}{a}", g) for a in AXES for f, g in (("lo_", F.min), ("hi_", F.max))]
+    tree = [written(cloud.groupBy(*group, *keys).agg(F.count("*").alias("__n"), *[g(f"n{n[3:]}").alias(n) for n, g in box]))]
+    for _ in range(levels):
+        up = tree[-1].withColumns({n: F.shiftright(n, 1) for n in keys})
+        tree.append(written(up.groupBy(*group, *keys).agg(F.sum("__n").alias("__n"), *[g(n).alias(n) for n, g in box])))
+    mine = [*group, "id", *AXES, "want"]
+    low, high = F.col("__near"), F.col("__far")
+    gap = lambda a: F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0))
+    reach = lambda a: F.greatest(F.abs(F.col(a) - F.col(f"lo_{a}")), F.abs(F.col(a) - F.col(f"hi_{a}")))
+    own = W.partitionBy(*group, "id")
+    met = points.select(*mine).join(tree[-1], group) if group else points.select(*mine).join(F.broadcast(tree[-1]))
+    for at in range(levels, -1, -1):
+        far = met.withColumns({"__near": sum(gap(a) ** 2 for a in AXES), "__far": sum(reach(a) ** 2 for a in AXES)})
+        held = far.withColumn("__sum", F.sum("__n").over(own.orderBy("__far", *keys).rowsBetween(W.unboundedPreceding, 0)))
+        bound = held.withColumn("__bound", F.min(F.when(F.col("__sum") >= F.col("want"), high)).over(own)).where(low <= F.col("__bound"))
+        kept = written(bound.select(*mine, *keys))
+        if at:
+            below = tree[at - 1].withColumnsRenamed({n: f"__{n}" for n in keys}).withColumns({n: F.shiftright(f"__{n}", 1) for n in keys})
+            met = kept.join(below, [*group, *keys]).drop(*keys).withColumnsRenamed({f"__{n}": n for n in keys})
+    return kept
 
 
 def radius_pairs(points: DataFrame, r: float, group: list[str] | None = None) -> DataFrame:

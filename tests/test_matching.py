@@ -139,3 +139,32 @@ def test_clusters_need_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_path(Session, "table")
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_in_crowds(spark, k):
+    """Crowds beside far points, points in one place, and groups of different scale: as by comparing all."""
+    rng = np.random.default_rng(8)
+    crowd = rng.normal(0, 1e-4, (300, 3))
+    far = rng.uniform(-50, 50, (20, 3))
+    grid = np.stack(np.meshgrid(*[np.arange(4.0)] * 3), -1).reshape(-1, 3) * 1e6
+    cloud = [(1, i, *map(float, p)) for i, p in enumerate(np.concatenate([crowd, far, np.zeros((40, 3))]))] + [(2, 1000 + i, *map(float, p)) for i, p in enumerate(grid)] + [(3, 2000, 5.0, 5.0, 5.0)]
+    asked = np.concatenate([rng.normal(0, 1e-4, (40, 3)), rng.uniform(-80, 80, (40, 3)), np.zeros((2, 3))])
+    points = [(1, i, *map(float, p)) for i, p in enumerate(asked)] + [(2, 500 + i, *map(float, p)) for i, p in enumerate(rng.uniform(-1e6, 5e6, (30, 3)))] + [(3, 900, -1e9, 0.0, 0.0)]
+    kind = "g int, id long, x double, y double, z double"
+    got = spatial.nearest_point(spark.createDataFrame(points, kind), spark.createDataFrame(cloud, kind), k, ["g"]).collect()
+    want = []
+    for g, i, *p in points:
+        near = sorted((sum((np.array(p) - np.array(q)) ** 2) ** 0.5, n) for h, n, *q in cloud if h == g)[:k]
+        want += [(g, i, r + 1, n, d) for r, (d, n) in enumerate(near)]
+    found = sorted((r.g, r.id, r.rank, r.neighbour, r.distance) for r in got)
+    assert [r[:4] for r in found] == [r[:4] for r in sorted(want)]
+    assert np.allclose([r[4] for r in found], [r[4] for r in sorted(want)], rtol=1e-12, atol=0)
+
+
+def test_widths_follow_crowds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, *map(float, p)) for p in rng.uniform(0, 100, (400, 3))] + [(2, *map(float, p)) for p in np.concatenate([rng.uniform(0, 1, (390, 3)), [[0, 0, 0], [100, 100, 100]]])]
+    cloud = spark.createDataFrame(rows, "g int, x double, y double, z double")
+    width = {r["g"]: r["__w"] for r in spatial.group_widths(cloud, ["g"]).collect()}
+    assert width[2] < width[1] / 8
