@@ -100,9 +100,10 @@ def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[s
     result = ["id", "neighbour", "distance", "rank"]
     out = out.union(found.join(settled, [*group, "id"], "left_semi").select(*group, *result))
     rest = written(left.join(settled, [*group, "id"], "left_anti"))
-    if not rest.limit(1).count():
+    levels = rest.agg(F.max("__levels")).first()[0]
+    if levels is None:
         return out
-    leaves = descend(rest, c, group, rest.agg(F.max("__levels")).first()[0])
+    leaves = descend(rest, c, group, levels)
     return out.union(best(leaves.join(c, [*group, *keys])).select(*group, *result))
 
 
@@ -115,9 +116,11 @@ def descend(points: DataFrame, cloud: DataFrame, group: list[str], levels: int)
     keys = ["gx", "gy", "gz"]
     box = [(f"{f}{a}", g) for a in AXES for f, g in (("lo_", F.min), ("hi_", F.max))]
     tree = [written(cloud.groupBy(*group, *keys).agg(F.count("*").alias("__n"), *[g(f"n{n[3:]}").alias(n) for n, g in box]))]
-    for _ in range(levels):
-        up = tree[-1].withColumns({n: F.shiftright(n, 1) for n in keys})
-        tree.append(written(up.groupBy(*group, *keys).agg(F.sum("__n").alias("__n"), *[g(n).alias(n) for n, g in box])))
+    for at in range(1, levels + 1):  # every third level is written, the two above it come from it
+        base = (at - 1) // 3 * 3
+        up = tree[base].withColumns({n: F.shiftright(n, at - base) for n in keys})
+        level = up.groupBy(*group, *keys).agg(F.sum("__n").alias("__n"), *[g(n).alias(n) for n, g in box])
+        tree.append(written(level) if at % 3 == 0 else level)
     mine = [*group, "id", *AXES, "want"]
     low, high = F.col("__near"), F.col("__far")
     gap = lambda a: F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0))
@@ -128,7 +131,7 @@ def descend(points: DataFrame, cloud: DataFrame, group: list[str], levels: int)
         far = met.withColumns({"__near": sum(gap(a) ** 2 for a in AXES), "__far": sum(reach(a) ** 2 for a in AXES)})
         held = far.withColumn("__sum", F.sum("__n").over(own.orderBy("__far", *keys).rowsBetween(W.unboundedPreceding, 0)))
         bound = held.withColumn("__bound", F.min(F.when(F.col("__sum") >= F.col("want"), high)).over(own)).where(low <= F.col("__bound"))
-        kept = written(bound.select(*mine, *keys))
+        kept = written(bound.select(*mine, *keys)) if at % 3 == 0 else bound.select(*mine, *keys)
         if at:
             below = tree[at - 1].withColumnsRenamed({n: f"__{n}" for n in keys}).withColumns({n: F.shiftright(f"__{n}", 1) for n in keys})
             met = kept.join(below, [*group, *keys]).drop(*keys).withColumnsRenamed({f"__{n}": n for n in keys})
