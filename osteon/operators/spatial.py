@@ -2,7 +2,7 @@
 
 A cloud is dealt into cubic cells; a point looks into its own cell and the 26 around it, which is an equi-join. Points that
 find fewer than k neighbours within one cell width go down a tree of cells, so answers are exact at any density. Triangles are listed in
-cells that grow until every point has found one.
+cells of their own size, large ones in coarser cells; points with none within one width go down the tree as well.
 Groups of points (scan, cohort, mesh) are part of the key. Nothing here compares all pairs.
 """
 
@@ -112,10 +112,12 @@ def descend(points: DataFrame, cloud: DataFrame, group: list[str], levels: int)
 
     Cells of each level join eight of the one below and know their points' count and box. A cell goes when its box is farther than
     others that hold `want` points together; the rest are opened. So a point meets few cells of each level, however many points they hold.
+    What the cloud holds is points nx, ny, nz, or has boxes lo_x to hi_z.
     """
     keys = ["gx", "gy", "gz"]
     box = [(f"{f}{a}", g) for a in AXES for f, g in (("lo_", F.min), ("hi_", F.max))]
-    tree = [written(cloud.groupBy(*group, *keys).agg(F.count("*").alias("__n"), *[g(f"n{n[3:]}").alias(n) for n, g in box]))]
+    ends = {n: n if n in cloud.columns else f"n{n[3:]}" for n, _ in box}
+    tree = [written(cloud.groupBy(*group, *keys).agg(F.count("*").alias("__n"), *[g(ends[n]).alias(n) for n, g in box]))]
     for at in range(1, levels + 1):  # every third level is written, the two above it come from it
         base = (at - 1) // 3 * 3
         up = tree[base].withColumns({n: F.shiftright(n, at - base) for n in keys})
@@ -181,56 +183,94 @@ def with_closest(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
-def face_width(faces: DataFrame, group: list[str], low: dict, high: dict) -> float:
-    """A cell width for triangles: about two a cell, but from a fifth to twice their mean extent."""
-    sets = F.count_distinct(F.struct(*group)) if group else F.lit(1)
-    r = faces.agg(F.count("*").alias("n"), sets.alias("sets"), F.avg(F.greatest(*[high[a] - low[a] for a in AXES])).alias("own"), *[(F.max(high[a]) - F.min(low[a])).alias(a) for a in AXES]).first()
-    own, extent = r.own or 1.0, max(r.x or 0.0, r.y or 0.0, r.z or 0.0)
-    dealt = extent / max((r.n / max(r.sets, 1) / 2.0) ** (1 / 3), 1.0)
-    return max(min(max(dealt, own / 5), 2 * own), 1e-9)
+def face_widths(faces: DataFrame, group: list[str], low: dict, high: dict, width: float | None) -> DataFrame:
+    """The group, __w (a cell width) and __levels (doublings of it that span the group's box).
+
+    About two triangles a cell, but a fifth to twice their geometric mean extent, which a few huge triangles hardly move. The width changes speed, not results.
+    """
+    own = F.exp(F.avg(F.log(F.greatest(*[high[a] - low[a] for a in AXES], F.lit(1e-9)))))
+    extent = F.greatest(*[F.max(high[a]) - F.min(low[a]) for a in AXES])
+    least = F.greatest(*[F.max(F.greatest(F.abs(low[a]), F.abs(high[a]))) for a in AXES]) / FARTHEST
+    boxes = faces.groupBy(*group).agg(F.count("*").alias("__n"), own.alias("__own"), extent.alias("__extent"), least.alias("__least")).where("__n > 0")
+    dealt = F.col("__extent") / F.greatest(F.cbrt(F.col("__n") / 2), F.lit(1.0))
+    w = F.least(F.greatest(dealt, F.col("__own") / 5), F.col("__own") * 2) if width is None else F.lit(float(width))
+    return boxes.withColumn("__w", F.greatest(w, "__least", F.lit(1e-9))).select(*group, "__w", spanning(F.col("__extent"), F.col("__w")))
+
+
+def salted(points: DataFrame, listed: DataFrame, keys: list[str], share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __salt: cells that hold over 1/share of the points' rows are dealt into parts of that size, and what is listed in them is repeated for each.
+
+    There are fewer than `share` such cells, so their table is broadcast at any size of the input.
+    """
+    part = max(points.count() // share, 1000)
+    hot = written(points.groupBy(*keys).agg(F.count("*").alias("__c")).where(F.col("__c") > part).select(*keys, F.ceil(F.col("__c") / part).alias("__parts")))
+    with_parts = lambda d: d.join(F.broadcast(hot), keys, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    p = with_parts(points).withColumn("__salt", F.pmod(F.xxhash64("id", *AXES), F.col("__parts"))).drop("__parts")
+    return p, with_parts(listed).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+
+
+def listed_faces(sized: DataFrame, low: dict, high: dict) -> DataFrame:
+    """Each triangle in the cells of its level that may hold a point at most __w from it: gx, gy, gz.
+
+    Cells of level l are __w * 2^l wide, and no triangle is over four of its level's widths long, so a huge one has no more cells than a small one.
+    Cells far from the triangle's plane are left out, unless it is too thin to have a sure one.
+    """
+    sides = [[F.col(f"{k}{a}") - F.col(f"a{a}") for a in AXES] for k in "bc"]
+    made = sized.withColumns({f"__n{a}": x for a, x in zip(AXES, cross(*sides), strict=True)})
+    n = [F.col(f"__n{a}") for a in AXES]
+    made = made.withColumns({"__l": F.sqrt(dot(n, n)), "__thin": F.sqrt(dot(n, n)) <= 1e-6 * F.sqrt(dot(sides[0], sides[0]) * dot(sides[1], sides[1])), "__cell": F.col("__w") * F.pow(F.lit(2.0), "__level")})
+    cells = ("gx", "gy", "gz")
+    for c, a in zip(cells, AXES, strict=True):
+        made = made.withColumn(c, F.explode(F.sequence(F.floor((low[a] - F.col("__w") * 1.001) / F.col("__cell")), F.floor((high[a] + F.col("__w") * 1.001) / F.col("__cell")))))
+    centre = [(F.col(c) + 0.5) * F.col("__cell") - F.col(f"a{a}") for c, a in zip(cells, AXES, strict=True)]
+    # half a cell's diagonal is below 0.867 widths; the rest is for rounding
+    near = F.abs(dot(centre, n)) <= (0.88 * F.col("__cell") + 1.01 * F.col("__w")) * F.col("__l")
+    return made.where(F.col("__thin") | near).drop("__l", "__thin", "__cell", *[f"__n{a}" for a in AXES])
 
 
 def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | None = None, width: float | None = None) -> DataFrame:
     """id, face_id, distance and closest point sx, sy, sz on the nearest triangle (ties: lower face_id).
 
-    A triangle is listed in every cell that may hold a point at most one cell width from it: those that its box, grown by the width, touches
-    and its plane passes near. A point looks into its own cell; what finds nothing that near goes on with cells twice as wide.
+    Each group has its own cell width. A triangle is listed in cells of a size that suits it (see listed_faces); a point looks into its own cell
+    of each size that its group uses, which finds all triangles within one width. Points that find none that near go down a tree of the
+    cells of the triangles' middles, with the boxes of all they hold (see descend), so that a far point never meets a whole mesh.
     faces: face_id, ax.. cz as from corners_of, and the group. Points of groups without faces, and those with a coordinate
     that is null, NaN or infinite, have a null face and an infinite distance; faces with such a corner count as absent.
     """
     group = group or []
-    faces = faces.where(usable([f"{k}{a}" for k in "abc" for a in AXES]))
+    corners = [f"{k}{a}" for k in "abc" for a in AXES]
+    faces = faces.where(usable(corners)).select(*group, "face_id", *corners)
     low = {a: F.least(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
     high = {a: F.greatest(*[F.col(f"{k}{a}") for k in "abc"]) for a in AXES}
-    if width is None:
-        width = face_width(faces, group, low, high)
-    some = faces.select(*group).distinct().withColumn("__some", F.lit(True)) if group else faces.limit(1).select(F.lit(True).alias("__some"))
-    known = points.select(*group, "id", *AXES).join(some, group, "left") if group else points.select("id", *AXES).join(F.broadcast(some), F.lit(True), "left")
-    known = written(known.withColumn("__some", F.coalesce("__some", F.lit(False)) & usable(list(AXES))))
+    sizes = written(face_widths(faces, group, low, high, width))
+    joined = lambda d, other, how: d.join(other, group, how) if group else d.join(F.broadcast(other), F.lit(True), how)
+    level = F.greatest(F.ceil(F.log2(F.greatest(*[high[a] - low[a] for a in AXES]) / (4 * F.col("__w")))), F.lit(0)).cast("int")
+    sized = written(joined(faces, sizes, "inner").withColumn("__level", F.coalesce(level, F.lit(0))))
+    used = sized.groupBy(*group).agg(F.first("__w").alias("__w"), F.first("__levels").alias("__levels"), F.collect_set("__level").alias("__used"))
+    known = joined(points.select(*group, "id", *AXES), used.where(F.size("__used") > 0), "left")
+    known = written(known.withColumn("__some", F.col("__w").isNotNull() & usable(list(AXES))))
     left = known.where("__some").drop("__some")
     none = F.lit(None).cast("double")
     out = known.where("NOT __some").select(*group, "id", F.lit(None).cast(faces.schema["face_id"].dataType).alias("face_id"), F.lit(float("inf")).alias("distance"), none.alias("sx"), none.alias("sy"), none.alias("sz"))
-    if not left.limit(1).count():
-        return out
+    keys = ["gx", "gy", "gz"]
     order = W.partitionBy(*group, "id").orderBy("distance", "face_id")
-    n = cross([F.col(f"b{a}") - F.col(f"a{a}") for a in AXES], [F.col(f"c{a}") - F.col(f"a{a}") for a in AXES])
-    flat = faces.withColumns({f"__n{a}": x for a, x in zip(AXES, n, strict=True)}).withColumn("__l", F.sqrt(dot([F.col(f"__n{a}") for a in AXES], [F.col(f"__n{a}") for a in AXES])))
-    cells = ("gx", "gy", "gz")
-    while True:
-        listed = flat
-        for c, a in zip(cells, AXES, strict=True):
-            listed = listed.withColumn(c, F.explode(F.sequence(F.floor((low[a] - width) / width), F.floor((high[a] + width) / width))))
-        centre = [(F.col(c) + 0.5) * width - F.col(f"a{a}") for c, a in zip(cells, AXES, strict=True)]
-        # half a cell's diagonal is below 0.867 widths; the rest is for rounding
-        listed = listed.where(F.abs(dot(centre, [F.col(f"__n{a}") for a in AXES])) <= 1.88 * width * F.col("__l") + 1e-9).drop(*[f"__n{a}" for a in AXES], "__l")
-        met = in_cells(left, width).join(listed, [*group, *cells])
-        best = with_closest(met).withColumn("r", F.row_number().over(order)).where("r = 1").select(*group, "id", "face_id", "distance", "sx", "sy", "sz")
-        found = written(best.where(F.col("distance") <= width))
-        out = out.union(found)
-        left = written(left.join(found, [*group, "id"], "left_anti"))
-        if not left.limit(1).count():
-            return out
-        width *= 2
+    best = lambda met: with_closest(met).withColumn("r", F.row_number().over(order)).where("r = 1")
+    result = [*group, "id", "face_id", "distance", "sx", "sy", "sz"]
+    asked = left.select(*group, "id", *AXES, "__w", F.explode("__used").alias("__level"))
+    asked = asked.withColumns({n: F.floor(F.col(a) / (F.col("__w") * F.pow(F.lit(2.0), "__level"))) for n, a in zip(keys, AXES, strict=True)}).withColumnRenamed("__w", "w")
+    asked, listed = salted(asked, listed_faces(sized, low, high).drop("__w", "__levels"), [*group, "__level", *keys])
+    met = asked.join(listed, [*group, "__level", *keys, "__salt"])
+    found = written(best(met).where(F.col("distance") <= F.col("w")).select(*result))
+    out = out.union(found)
+    rest = written(left.join(found, [*group, "id"], "left_anti").withColumn("want", F.lit(1)))
+    levels = rest.agg(F.max("__levels")).first()[0]
+    if levels is None:
+        return out
+    middle = {n: F.floor((low[a] / 2 + high[a] / 2) / F.col("__w")) for n, a in zip(keys, AXES, strict=True)}
+    boxed = sized.withColumns(middle | {f"lo_{a}": low[a] for a in AXES} | {f"hi_{a}": high[a] for a in AXES})
+    leaves = descend(rest, boxed, group, levels)
+    leaves, held = salted(leaves, boxed.select(*group, *keys, "face_id", *corners), [*group, *keys])
+    return out.union(best(leaves.join(held, [*group, *keys, "__salt"])).select(*result))
 
 
 def snap_landmarks(landmarks: DataFrame, faces: DataFrame, most: float, group: list[str] | None = None) -> DataFrame:
