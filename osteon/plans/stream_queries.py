@@ -63,10 +63,10 @@ SQL = {
     "r6_burst_progress": """WITH e AS (SELECT epoch_us(ts) AS t, event_type AS endpoint, coalesce(value, 0) AS v FROM events WHERE event_type <> 'error'),
         g AS (SELECT *, sum(CASE WHEN was IS NULL OR t - was >= 900000000 THEN 1 ELSE 0 END) OVER (PARTITION BY endpoint ORDER BY t) AS k FROM (SELECT *, lag(t) OVER (PARTITION BY endpoint ORDER BY t) AS was FROM e)),
         b AS (SELECT endpoint, k, min(t) AS start, max(t) + 900000000 AS stop FROM g GROUP BY ALL),
-        m AS (SELECT DISTINCT endpoint, k, start, stop, start + greatest((t - start + 1799999999) // 1800000000, 1) * 1800000000 AS at FROM g JOIN b USING (endpoint, k)),
-        w AS (SELECT *, false AS finished FROM m WHERE at < stop UNION ALL SELECT endpoint, k, start, stop, stop, true FROM b)
-        SELECT 'GET' AS method, w.endpoint, make_timestamp(start) AS start, make_timestamp(at) AS at, finished, count(*) AS n, round(sum(v), 6) AS total, max(v) AS longest
-        FROM w JOIN g ON g.endpoint = w.endpoint AND g.k = w.k AND g.t <= w.at GROUP BY ALL""",
+        m AS (SELECT DISTINCT endpoint, k, start, stop, start + greatest((t - start + 1799999999) // 1800000000, 1) * 1800000000 AS due FROM g JOIN b USING (endpoint, k)),
+        w AS (SELECT *, false AS finished FROM m WHERE due < stop UNION ALL SELECT endpoint, k, start, stop, stop, true FROM b)
+        SELECT 'GET' AS method, w.endpoint, make_timestamp(start) AS start, make_timestamp(due) AS "at", finished, count(*) AS n, round(sum(v), 6) AS total, max(v) AS longest
+        FROM w JOIN g ON g.endpoint = w.endpoint AND g.k = w.k AND g.t <= w.due GROUP BY ALL""",
     "r7_background_hourly": "SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS kind, count(*) AS n FROM events WHERE event_type IN ('view', 'progress') GROUP BY ALL",
     "r8_heartbeats": "SELECT event_id::VARCHAR AS id, a AS after FROM events, range(20, 10000, 30) t(a) WHERE value > 10 AND a <= floor(value)",
     "r9_report_queue": T("job_events") + ", s AS (SELECT * FROM job_events WHERE event = 'start'), e AS (SELECT * FROM job_events WHERE event = 'end') SELECT s.id, coalesce(e.status, 'interrupted') AS status, 'failed in <path> at 3' AS error FROM s LEFT JOIN e ON s.id = e.id WHERE e.id IS NULL OR e.ts - s.ts >= INTERVAL 60 SECOND ORDER BY s.ts DESC, s.id LIMIT 50",
