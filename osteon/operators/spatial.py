@@ -210,7 +210,7 @@ def salted(points: DataFrame, listed: DataFrame, keys: list[str], share: int = 1
 
 
 def listed_faces(sized: DataFrame, low: dict, high: dict) -> DataFrame:
-    """Each triangle in the cells of its level that may hold a point at most __w from it: gx, gy, gz.
+    """Each triangle in the cells of its level that may hold a point at most __w from it: gx, gy, gz, and its unit normal __nx, __ny, __nz (null if it is too thin).
 
     Cells of level l are __w * 2^l wide, and no triangle is over four of its level's widths long, so a huge one has no more cells than a small one.
     Cells far from the triangle's plane are left out, unless it is too thin to have a sure one.
@@ -225,7 +225,8 @@ def listed_faces(sized: DataFrame, low: dict, high: dict) -> DataFrame:
     centre = [(F.col(c) + 0.5) * F.col("__cell") - F.col(f"a{a}") for c, a in zip(cells, AXES, strict=True)]
     # half a cell's diagonal is below 0.867 widths; the rest is for rounding
     near = F.abs(dot(centre, n)) <= (0.88 * F.col("__cell") + 1.01 * F.col("__w")) * F.col("__l")
-    return made.where(F.col("__thin") | near).drop("__l", "__thin", "__cell", *[f"__n{a}" for a in AXES])
+    kept = made.where(F.col("__thin") | near)
+    return kept.withColumns({f"__n{a}": F.when(~F.col("__thin"), F.col(f"__n{a}") / F.col("__l")) for a in AXES}).drop("__l", "__thin", "__cell")
 
 
 def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | None = None, width: float | None = None) -> DataFrame:
@@ -254,13 +255,17 @@ def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | Non
     out = known.where("NOT __some").select(*group, "id", F.lit(None).cast(faces.schema["face_id"].dataType).alias("face_id"), F.lit(float("inf")).alias("distance"), none.alias("sx"), none.alias("sy"), none.alias("sz"))
     keys = ["gx", "gy", "gz"]
     order = W.partitionBy(*group, "id").orderBy("distance", "face_id")
-    best = lambda met: with_closest(met).withColumn("r", F.row_number().over(order)).where("r = 1")
+    best = lambda near: near.withColumn("r", F.row_number().over(order)).where("r = 1")
     result = [*group, "id", "face_id", "distance", "sx", "sy", "sz"]
     asked = left.select(*group, "id", *AXES, "__w", F.explode("__used").alias("__level"))
     asked = asked.withColumns({n: F.floor(F.col(a) / (F.col("__w") * F.pow(F.lit(2.0), "__level"))) for n, a in zip(keys, AXES, strict=True)}).withColumnRenamed("__w", "w")
     asked, listed = salted(asked, listed_faces(sized, low, high).drop("__w", "__levels"), [*group, "__level", *keys])
     met = asked.join(listed, [*group, "__level", *keys, "__salt"])
-    found = written(best(met).where(F.col("distance") <= F.col("w")).select(*result))
+    reach = 1.001 * F.col("w")
+    for a in AXES:  # what box or plane shows to be too far needs no closest point
+        met = met.where((low[a] - F.col(a) <= reach) & (F.col(a) - high[a] <= reach))
+    met = met.where(F.coalesce(F.abs(dot([F.col(a) - F.col(f"a{a}") for a in AXES], [F.col(f"__n{a}") for a in AXES])) <= reach, F.lit(True)))
+    found = written(best(with_closest(met)).where(F.col("distance") <= F.col("w")).select(*result))
     out = out.union(found)
     rest = written(left.join(found, [*group, "id"], "left_anti").withColumn("want", F.lit(1)))
     levels = rest.agg(F.max("__levels")).first()[0]
@@ -270,7 +275,7 @@ def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | Non
     boxed = sized.withColumns(middle | {f"lo_{a}": low[a] for a in AXES} | {f"hi_{a}": high[a] for a in AXES})
     leaves = descend(rest, boxed, group, levels)
     leaves, held = salted(leaves, boxed.select(*group, *keys, "face_id", *corners), [*group, *keys])
-    return out.union(best(leaves.join(held, [*group, *keys, "__salt"])).select(*result))
+    return out.union(best(with_closest(leaves.join(held, [*group, *keys, "__salt"]))).select(*result))
 
 
 def snap_landmarks(landmarks: DataFrame, faces: DataFrame, most: float, group: list[str] | None = None) -> DataFrame:
