@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SIDE, distance_transform, over_blocks, shifted, squared_distances, weighted
+from .tables import written
 
 CELL = ("scan_id", "z", "y", "x")
 
@@ -131,7 +132,7 @@ def dilate(cells: DataFrame, n: int, shape: tuple[int, int, int] | DataFrame | N
     A cell is n steps away if its city-block distance is at most n, which two running minima along each axis give.
     """
     own = cells.select(*CELL).distinct()
-    steps = box_cells(boxes_of(own, shape, n)).join(own.withColumn("d", F.lit(0)), list(CELL), "left").withColumn("d", F.coalesce("d", F.lit(1 << 30)))
+    steps = box_cells(boxes_of(own, shape, n)).join(own.withColumn("d", F.lit(0)).hint("merge"), list(CELL), "left").withColumn("d", F.coalesce("d", F.lit(1 << 30)))
     for a in "zyx":
         order = W.partitionBy("scan_id", *[b for b in "zyx" if b != a]).orderBy(a)
         before = F.min(F.col("d") - F.col(a)).over(order) + F.col(a)
@@ -343,7 +344,7 @@ def nlm_denoise(voxels: DataFrame, h: float, patch: int = 1, search: int = 2) ->
 
 def erode(cells: DataFrame, n: int) -> DataFrame:
     """Cells that are more than n face-adjacent steps from all that is not in the set; beyond a volume's box nothing is."""
-    own = cells.select(*CELL).distinct()
+    own = cells.select(*CELL).distinct().hint("merge")  # cells of boxes are far more than Spark expects, so none are broadcast
     gaps = box_cells(boxes_of(own, None, 1)).join(own, list(CELL), "left_anti")
     return own.join(dilate(gaps, n), list(CELL), "left_anti")
 
@@ -357,15 +358,15 @@ def interest_points(voxels: DataFrame, inside: DataFrame, r: int = 2, n: int = 1
     from .spatial import radius_pairs
 
     if erosion:
-        inner = erode(inside, erosion)
-        enough = inner.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scan_id")
+        inner = written(erode(inside, erosion))
+        enough = inner.groupBy("scan_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("scan_id").hint("merge")
         inside = inner.join(enough, "scan_id", "left_semi").unionByName(inside.select(*CELL).join(enough, "scan_id", "left_anti"))
-    var = box_moments(voxels, r).join(inside.select(*CELL), list(CELL), "left_semi").select(*CELL, "var")
+    var = box_moments(voxels, r).join(inside.select(*CELL).hint("merge"), list(CELL), "left_semi").select(*CELL, "var")
     peak = var.withColumn("top", F.col("var"))
     for a in "zyx":
         peak = peak.withColumn("top", F.max("top").over(line(a, 1)))
     code = F.concat_ws(":", *CELL)
-    found = peak.where("var = top AND var > 0").withColumn("id", F.xxhash64(code))
+    found = written(peak.where("var = top AND var > 0").withColumn("id", F.xxhash64(code)))
     close = radius_pairs(found, float(sep) - 1e-9, ["scan_id"])
     kept = greedy_decorrelate(found.select("id", F.col("var").alias("variance")), close.select("a", "b"))
     order = W.partitionBy("scan_id").orderBy(F.desc("var"), "id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from osteon.operators import tables
+from osteon.operators import stencil, tables
 
 
 def plan_of(df):
@@ -18,3 +18,10 @@ def test_written_rows_decide_on_broadcasts(spark):
     assert "Broadcast" not in plan_of(spark.range(10**8).join(many, "id", "left"))
     assert "Broadcast" in plan_of(spark.range(10**8).join(few, "id", "left"))
     assert tables.written(few.where("id > 50")).count() == 0
+
+
+def test_eroded_cells_are_not_broadcast(spark):
+    cells = spark.range(64).select(F.lit(1).alias("scan_id"), *[F.floor(F.col("id") / n % 4).cast("int").alias(a) for a, n in zip("zyx", (16, 4, 1), strict=True)])
+    inner = stencil.erode(cells, 1)
+    assert "Broadcast" not in plan_of(inner)
+    assert {tuple(r) for r in inner.collect()} == {(1, z, y, x) for z in (1, 2) for y in (1, 2) for x in (1, 2)}
