@@ -9,13 +9,14 @@ Groups of points (scan, cohort, mesh) are part of the key. Nothing here compares
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import over_blocks
 from .geometry import AXES, cross
@@ -229,6 +230,85 @@ def listed_faces(sized: DataFrame, low: dict, high: dict) -> DataFrame:
     return kept.withColumns({f"__n{a}": F.when(~F.col("__thin"), F.col(f"__n{a}") / F.col("__l")) for a in AXES}).drop("__l", "__thin", "__cell")
 
 
+def _pair_distances(p: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Distances of points (3 x n) to triangles (corner, axis, n), as in with_closest."""
+    dots = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    n = np.cross(corner[1] - corner[0], corner[2] - corner[0], axis=0)
+    nn = dots(n, n)
+    q = p - np.where(nn > 0, dots(p - corner[0], n) / np.where(nn > 0, nn, 1.0), np.nan) * n
+    inner, best = nn > 0, np.full(p.shape[1], np.inf)
+    for s, e in ((0, 1), (1, 2), (2, 0)):
+        d = corner[e] - corner[s]
+        length = dots(d, d)
+        inner &= dots(np.cross(d, q - corner[s], axis=0), n) >= 0
+        off = p - (corner[s] + np.clip(np.where(length > 0, dots(p - corner[s], d) / np.where(length > 0, length, 1.0), 0.0), 0.0, 1.0) * d)
+        best = np.minimum(best, dots(off, off))
+    return np.sqrt(np.where(inner, dots(p - q, p - q), best))
+
+
+def _nearest_pairs(group: list[str]) -> Callable:
+    """Rows of points (asked) and triangles (listed) of one cell: each point with those triangles of the row that are nearest to it, within 1.001 w.
+
+    Box and plane give a lower bound of every distance; the triangles of least bound are measured first, and then only those whose bound is no
+    larger than what was found. Whatever rounding may decide stays in: the exact choice is made on what comes out.
+    """
+    corners = [f"{k}{a}" for k in "abc" for a in AXES]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            lists = {c: (batch.column(c).values, np.asarray(batch.column(c).offsets)) for c in ("asked", "listed")}
+            numbers = lambda side, c: np.array(lists[side][0].field(c).to_numpy(zero_copy_only=False), float)
+            every = np.stack([numbers("asked", a) for a in AXES])
+            width = numbers("asked", "w")
+            shape = np.stack([numbers("listed", c) for c in corners]).reshape(3, 3, -1)
+            normal = np.stack([numbers("listed", f"__n{a}") for a in AXES])
+            low, high = shape.min(0), shape.max(0)
+            for i in range(batch.num_rows):
+                (a0, a1), (l0, l1) = (lists[c][1][i : i + 2] for c in ("asked", "listed"))
+                p, reach = every[:, a0:a1], 1.001 * width[a0:a1, None]
+                bound = np.zeros((a1 - a0, l1 - l0))
+                plane = 0.0
+                for k in range(3):
+                    at = p[k][:, None]
+                    bound = np.maximum(bound, np.maximum(low[k, l0:l1] - at, at - high[k, l0:l1]))
+                    plane = plane + (at - shape[0, k, l0:l1]) * normal[k, l0:l1]
+                bound = np.fmax(bound, np.abs(plane) * (1 - 1e-6))  # no normal: NaN, which fmax passes over
+                bound = np.where(bound <= reach, bound, np.inf)
+                some = min(8, l1 - l0)
+                first = np.argpartition(bound, some - 1, axis=1)[:, :some]
+                row, col = np.repeat(np.arange(a1 - a0), some), first.ravel()
+                near = _pair_distances(p[:, row], shape[:, :, l0 + col]).reshape(-1, some).min(1)
+                enough = np.minimum(near, reach[:, 0]) * (1 + 1e-6)
+                row, col = np.nonzero(bound <= enough[:, None])
+                for begin in range(0, len(row), 1 << 18):
+                    r, c = row[begin : begin + (1 << 18)], col[begin : begin + (1 << 18)]
+                    d = _pair_distances(p[:, r], shape[:, :, l0 + c])
+                    np.minimum.at(enough, r, d * (1 + 1e-6))
+                    kept = d <= enough[r]
+                    out.append((np.full(kept.sum(), i), a0 + r[kept], l0 + c[kept]))
+            which, point, face = (np.concatenate(c) if out else np.zeros(0, int) for c in (zip(*out, strict=True) if out else ((), (), ())))
+            asked, listed = (lists[c][0].take(pa.array(rows)) for c, rows in (("asked", point), ("listed", face)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(g).take(pa.array(which)) for g in group], *[asked.field(c) for c in ("id", *AXES, "w")], *[listed.field(c) for c in ("face_id", *corners)]], names=[*group, "id", *AXES, "w", "face_id", *corners])
+
+    return solve
+
+
+def nearest_of_cells(asked: DataFrame, listed: DataFrame, cell: list[str], group: list[str]) -> DataFrame:
+    """The group, id, x, y, z, w, face_id and corners of pairs of one cell that may be nearest: blocks of its points meet blocks of its triangles."""
+    def packed(df: DataFrame, name: str, key: str, columns: list[str], size: int) -> DataFrame:
+        at = F.floor((F.row_number().over(W.partitionBy(*cell).orderBy(key)) - 1) / size)
+        return df.withColumn(f"__{name}", at).groupBy(*cell, f"__{name}").agg(F.collect_list(F.struct(*columns)).alias(name)).drop(f"__{name}")
+
+    corners = [f"{k}{a}" for k in "abc" for a in AXES]
+    places = [F.col(a).cast("double").alias(a) for a in AXES]
+    p = packed(asked.select(*cell, "id", *places, F.col("w").cast("double").alias("w")), "asked", "id", ["id", *AXES, "w"], 256)
+    f = packed(listed.select(*cell, "face_id", *[F.col(c).cast("double").alias(c) for c in corners], *[f"__n{a}" for a in AXES]), "listed", "face_id", ["face_id", *corners, *[f"__n{a}" for a in AXES]], 1024)
+    fields = [*[T.StructField(g, asked.schema[g].dataType) for g in group], T.StructField("id", asked.schema["id"].dataType), *[T.StructField(c, T.DoubleType()) for c in (*AXES, "w")], T.StructField("face_id", listed.schema["face_id"].dataType), *[T.StructField(c, T.DoubleType()) for c in corners]]
+    return p.join(f.hint("merge"), cell).select(*group, "asked", "listed").mapInArrow(_nearest_pairs(group), T.StructType(fields))
+
+
 def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | None = None, width: float | None = None) -> DataFrame:
     """id, face_id, distance and closest point sx, sy, sz on the nearest triangle (ties: lower face_id).
 
@@ -260,11 +340,7 @@ def surface_distance(points: DataFrame, faces: DataFrame, group: list[str] | Non
     asked = left.select(*group, "id", *AXES, "__w", F.explode("__used").alias("__level"))
     asked = asked.withColumns({n: F.floor(F.col(a) / (F.col("__w") * F.pow(F.lit(2.0), "__level"))) for n, a in zip(keys, AXES, strict=True)}).withColumnRenamed("__w", "w")
     asked, listed = salted(asked, listed_faces(sized, low, high).drop("__w", "__levels"), [*group, "__level", *keys])
-    met = asked.join(listed, [*group, "__level", *keys, "__salt"])
-    reach = 1.001 * F.col("w")
-    for a in AXES:  # what box or plane shows to be too far needs no closest point
-        met = met.where((low[a] - F.col(a) <= reach) & (F.col(a) - high[a] <= reach))
-    met = met.where(F.coalesce(F.abs(dot([F.col(a) - F.col(f"a{a}") for a in AXES], [F.col(f"__n{a}") for a in AXES])) <= reach, F.lit(True)))
+    met = nearest_of_cells(asked, listed, [*group, "__level", *keys, "__salt"], group)
     found = written(best(with_closest(met)).where(F.col("distance") <= F.col("w")).select(*result))
     out = out.union(found)
     rest = written(left.join(found, [*group, "id"], "left_anti").withColumn("want", F.lit(1)))

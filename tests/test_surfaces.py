@@ -105,3 +105,16 @@ def test_empty_sides(spark, scene):
     none = spark.createDataFrame([], FACES)
     assert spatial.surface_distance(points, none, ["g"]).where("face_id IS NULL AND distance = double('infinity')").count() == len(scene[1])
     assert spatial.surface_distance(points.limit(0), spark.createDataFrame(scene[0], FACES), ["g"]).count() == 0
+
+
+def test_few_pairs_need_exact_distances(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    at, corner = rng.normal(0, 1, (60, 3)), rng.normal(0, 1, (400, 1, 3)) + rng.normal(0, 0.7, (400, 3, 3))
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at.tolist())], "id long, x double, y double, z double")
+    faces = spark.createDataFrame([(i, *t) for i, t in enumerate(corner.reshape(400, 9).tolist())], "face_id long, " + ", ".join(f"{k}{a} double" for k in "abc" for a in "xyz"))
+    measured, exact = [], spatial.with_closest
+    monkeypatch.setattr(spatial, "with_closest", lambda df: measured.append(df) or exact(df))
+    got = {r.id: (r.face_id, r.distance) for r in spatial.surface_distance(points, faces).collect()}
+    assert measured[0].count() < 5 * 60
+    every = exact(points.crossJoin(faces)).groupBy("id").agg(F.min(F.struct("distance", "face_id")).alias("m")).collect()
+    assert got == {r.id: (r.m.face_id, r.m.distance) for r in every}
