@@ -280,30 +280,70 @@ def resample_isotropic(voxels: DataFrame, spacings: DataFrame, target: str = "fi
     return met.select("scan_id", *[F.col(a).cast("int").alias(a) for a in "zyx"], new.cast(kind).alias("v"))
 
 
+def _blend_tiles(tile: int, clip: float, bins: int):
+    """Equalised values of the cells of rows that hold a tile's cells and the histograms of the tiles around it."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, near = batch.column("cells"), batch.column("around")
+            first, flat = np.asarray(lists.offsets), lists.values
+            at = [np.asarray(flat.field(a)).astype(np.int64) for a in "zyx"]
+            v = np.asarray(flat.field("v").cast(pa.int64()))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            tables = near.values
+            slots = len(tables)
+            place = np.full((batch.num_rows, 27), -1)
+            place[np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(near.offsets))), np.asarray(tables.field("side"))] = np.arange(slots)
+            held, counted = np.asarray(tables.field("held")), tables.field("h")
+            ends, entries = np.asarray(counted.offsets), counted.values
+            of = np.repeat(np.arange(slots), np.diff(ends))
+            n = np.asarray(entries.field("n"))
+            kept = np.minimum(n, np.maximum(clip * held / bins, 1.0)[of])
+            extra = np.bincount(of, weights=n - kept, minlength=slots)
+            key = of * bins + np.asarray(entries.field("bin"))
+            run = np.concatenate([[0.0], np.cumsum(kept)])
+            own = [np.asarray(batch.column(f"t{a}"))[row] for a in "zyx"]
+            top = [np.asarray(batch.column(f"l{a}"))[row] for a in "zyx"]
+            total, hit = np.zeros(len(v)), np.zeros(len(v), bool)
+            for corner in np.ndindex(2, 2, 2):
+                side, weight = 0, 1.0
+                for c, x, t, last in zip(corner, at, own, top, strict=True):
+                    p = (x + 0.5) / tile - 0.5
+                    low = np.floor(p)
+                    weight = weight * (p - low if c else 1 - (p - low))
+                    side = side * 3 + np.clip(low.astype(np.int64) + c, 0, last) - t + 1
+                s = place[row, side]
+                there = s >= 0
+                s = np.maximum(s, 0)
+                upto = run[np.searchsorted(key, s * bins + v, side="right")] - run[ends[s] - ends[0]]
+                to = (upto + (v + 1) * (extra[s] / bins)) / held[s] * (bins - 1)
+                total += np.where(there, weight * to, 0.0)
+                hit |= there
+            out = [batch.column("scan_id").take(pa.array(row[hit])), *[pa.array(x[hit].astype(np.int32)) for x in at], pa.array(np.rint(total[hit]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, names=[*CELL, "v"])
+
+    return solve
+
+
 def clahe(voxels: DataFrame, tile: int, clip: float, bins: int = 256) -> DataFrame:
-    """Contrast-limited equalisation of values 0 to bins - 1, blended linearly between the eight tiles around a cell.
+    """Contrast-limited equalisation of whole values 0 to bins - 1, blended linearly between the eight tiles around a cell.
 
-    A tile's counts over clip * cells / bins are cut and what was cut is spread over all bins.
+    A tile's counts over clip * cells / bins are cut and what was cut is spread over all bins. Cells are gathered by tile, and a tile's counts of
+    the values that it holds go to the tiles beside it; so a cell is shuffled once, and no row is made for a value that no cell has.
     """
     tiled = voxels.select(*CELL, "v", *[F.floor(F.col(a) / tile).cast("int").alias(f"t{a}") for a in "zyx"])
     key = ["scan_id", "tz", "ty", "tx"]
-    counts = tiled.groupBy(*key, F.col("v").alias("bin")).agg(F.count("*").cast("double").alias("n"))
-    total = tiled.groupBy(*key).agg(F.count("*").cast("double").alias("cells"))
-    full = total.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*key, "bin"], "left").na.fill(0.0, ["n"])
-    limit = F.greatest(F.lit(clip) * F.col("cells") / bins, F.lit(1.0))
-    cut = full.withColumn("kept", F.least("n", limit)).withColumn("extra", (F.col("n") - F.col("kept")))
-    spread = cut.withColumn("m", F.col("kept") + F.sum("extra").over(W.partitionBy(*key)) / bins)
-    cdf = spread.select(*key, "bin", (F.sum("m").over(W.partitionBy(*key).orderBy("bin")) / F.col("cells") * (bins - 1)).alias("to"))
-    top = tiled.groupBy("scan_id").agg(*[F.max(f"t{a}").alias(f"l{a}") for a in "zyx"])
-    place = tiled.join(top, "scan_id")
-    for a in "zyx":
-        p = (F.col(a) + 0.5) / tile - 0.5
-        low = F.floor(p)
-        corner = F.array(F.struct(low.alias("k"), (1 - (p - low)).alias("w")), F.struct((low + 1).alias("k"), (p - low).alias("w")))
-        place = place.withColumn(f"c{a}", F.explode(corner)).withColumn(f"k{a}", F.least(F.greatest(F.col(f"c{a}.k"), F.lit(0)), F.col(f"l{a}")).cast("int"))
-    weight = F.col("cz.w") * F.col("cy.w") * F.col("cx.w")
-    met = place.select(*CELL, F.col("v").alias("bin"), weight.alias("w"), *[F.col(f"k{a}").alias(f"t{a}") for a in "zyx"]).join(cdf, [*key, "bin"])
-    return met.groupBy(*CELL).agg(F.rint(F.sum(F.col("w") * F.col("to"))).cast("int").alias("v"))
+    valid = F.coalesce((F.col("v") >= 0) & (F.col("v") < bins) & (F.col("v") == F.floor("v")), F.lit(False))
+    counts = tiled.groupBy(*key, F.when(valid, F.col("v").cast("long")).alias("bin")).agg(F.count("*").cast("double").alias("n"))
+    h = counts.groupBy(*key).agg(F.sum("n").alias("held"), F.array_sort(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("h"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("z"), F.lit(j).alias("y"), F.lit(k).alias("x"), F.lit((1 - i) * 9 + (1 - j) * 3 + 1 - k).alias("side")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    top = tiled.groupBy("scan_id").agg(*[F.max(f"t{a}").alias(f"l{a}") for a in "zyx"]).hint("merge")
+    sent = h.join(top, "scan_id").withColumn("s", sides).withColumns({f"t{a}": F.col(f"t{a}") + F.col(f"s.{a}") for a in "zyx"})
+    sent = sent.where(" AND ".join(f"t{a} BETWEEN 0 AND l{a}" for a in "zyx"))
+    around = sent.groupBy(*key, *[f"l{a}" for a in "zyx"]).agg(F.collect_list(F.struct(F.col("s.side").alias("side"), "held", "h")).alias("around"))
+    cells = tiled.where(valid).groupBy(*key).agg(F.collect_list(F.struct("z", "y", "x", "v")).alias("cells"))
+    met = cells.join(around.hint("merge"), key).select(*key, *[f"l{a}" for a in "zyx"], "cells", "around")
+    return met.mapInArrow(_blend_tiles(tile, clip, bins), T.StructType([voxels.schema["scan_id"], *[T.StructField(a, T.IntegerType()) for a in "zyx"], T.StructField("v", T.IntegerType())]))
 
 
 def radial_descriptor(voxels: DataFrame, points: DataFrame, r: int = 6, shells: int = 8) -> DataFrame:

@@ -54,3 +54,27 @@ def test_spread_in_few_rounds(spark, monkeypatch):
     for s, points in scans.items():
         assert [r.id for r in sorted((r for r in got if r.scan_id == s), key=lambda r: r.order)] == spread(points, 0.7, 4)
     assert len(tables_written) < 2 * max(r.order + 1 for r in got)
+
+
+def test_clahe_sends_only_values_that_are_there(spark):
+    rng, tile, clip, bins = np.random.default_rng(3), 3, 6.0, 32
+    v = {(z, y, x): int(n) for (z, y, x), n in zip(np.ndindex(5, 4, 7), rng.integers(0, bins, 140), strict=True) if (z, y, x) != (2, 1, 1)}
+    held = {}
+    for at, n in v.items():
+        held.setdefault(tuple(c // tile for c in at), []).append(n)
+    to = {}
+    for t, values in held.items():
+        n = np.bincount(values, minlength=bins).astype(float)
+        kept = np.minimum(n, max(clip * len(values) / bins, 1.0))
+        to[t] = np.cumsum(kept + (n - kept).sum() / bins) / len(values) * (bins - 1)
+    expected = {}
+    for at, n in v.items():
+        p = [(c + 0.5) / tile - 0.5 for c in at]
+        low = [int(np.floor(c)) for c in p]
+        expected[at] = sum(
+            np.prod([c - b if o else 1 - (c - b) for c, b, o in zip(p, low, corner, strict=True)]) * to[tuple(min(max(b + o, 0), m) for b, o, m in zip(low, corner, (1, 1, 2), strict=True))][n]
+            for corner in np.ndindex(2, 2, 2))
+    out = stencil.clahe(spark.createDataFrame([(1, *at, n) for at, n in v.items()], "scan_id long, z int, y int, x int, v int"), tile, clip, bins)
+    assert "Broadcast" not in plan_of(out) and "sequence" not in plan_of(out)
+    got = {(r.z, r.y, r.x): r.v for r in out.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[at] - expected[at]) <= 0.5 + 1e-9 for at in got)
