@@ -192,7 +192,9 @@ def threshold_li(voxels: DataFrame, rounds: int = 64) -> DataFrame:
         fits = (a["nh"] > 0) & (a["nl"] > 0)
         return F.when(fits & (hi > lo), (hi - lo) / (F.log(hi) - F.log(lo)) + F.col("low") - 1).otherwise(t)
 
-    settled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("t0"), lambda t, i: sums(t))
+    # a threshold that a round leaves in place stays for good, so the sums over the histogram end there
+    begin = F.struct(F.col("t0").alias("t"), F.lit(None).cast("double").alias("was"))
+    settled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, lambda s, i: F.when(s["t"] == s["was"], s).otherwise(F.struct(sums(s["t"]).alias("t"), s["t"].alias("was"))), lambda s: s["t"])
     return per.select("scan_id", F.floor(settled).cast("double").alias("threshold"))
 
 

@@ -78,3 +78,13 @@ def test_clahe_sends_only_values_that_are_there(spark):
     assert "Broadcast" not in plan_of(out) and "sequence" not in plan_of(out)
     got = {(r.z, r.y, r.x): r.v for r in out.collect()}
     assert got.keys() == expected.keys() and all(abs(got[at] - expected[at]) <= 0.5 + 1e-9 for at in got)
+
+
+def test_li_rounds_end_when_settled(spark):
+    from osteon.operators.thresholds import threshold_li
+
+    rng = np.random.default_rng(2)
+    rows = [(s, i, 0, 0, int(v)) for s in range(3) for i, v in enumerate(np.concatenate([rng.normal(40, 9, 300), rng.normal(150, 20, 100 * (s + 1))]))]
+    voxels = spark.createDataFrame(rows, "scan_id int, z int, y int, x int, v int")
+    few, many = ({r.scan_id: r.threshold for r in threshold_li(voxels, n).collect()} for n in (64, 10**6))  # a million sums over the histogram take minutes
+    assert few == many and all(40 < t < 150 for t in few.values())
