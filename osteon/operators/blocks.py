@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIDE, ROWS = 32, 1 << 16
+#: Cells of blocks that are worked on at once.
+STACK = 1 << 16
 CELL = ("scan_id", "z", "y", "x")
 
 
@@ -28,8 +30,12 @@ def extents(voxels: DataFrame) -> DataFrame:
 
 
 def block_table(voxels: DataFrame, halo: int, columns: tuple[str, ...] = ("v",), side: int = SIDE) -> DataFrame:
-    """scan_id, bz, by, bx, nz, ny, nx (of the volume) and cells (at, columns): the block's cells and its halo's, inside the volume."""
-    out = voxels.select(*CELL, *columns).join(extents(voxels), "scan_id")
+    """scan_id, bz, by, bx, nz, ny, nx (of the volume) and cells (at, columns): the block's cells and its halo's, inside the volume.
+
+    voxels may bring nz, ny and nx along.
+    """
+    sizes = ["nz", "ny", "nx"]
+    out = voxels.select(*CELL, *columns, *sizes) if set(sizes) <= set(voxels.columns) else voxels.select(*CELL, *columns).join(extents(voxels), "scan_id")
     for a in "zyx":
         first = F.greatest(F.floor((F.col(a) - halo) / side), F.lit(0))
         last = F.least(F.floor((F.col(a) + halo) / side), F.floor((F.col(f"n{a}") - 1) / side))
@@ -41,60 +47,77 @@ def block_table(voxels: DataFrame, halo: int, columns: tuple[str, ...] = ("v",),
     return out.groupBy(*key).agg(F.collect_list(F.struct(at.cast("int").alias("at"), *[F.col(c).cast("double").alias(c) for c in columns])).alias("cells"))
 
 
+def stacked(batch: pa.RecordBatch, halo: int, columns: tuple[str, ...], side: int, stack: int = STACK) -> Iterator[tuple]:
+    """The blocks of a batch of block_table, those of one shape together, about `stack` cells at a time: their rows in the batch, first cells (row, axis), the
+    cells that the halo lacks before and after the block on each axis, the shape (block, z, y, x), and for each cell its place in that (flat) and the columns."""
+    n, b = (np.stack([np.asarray(batch.column(f"{k}{a}")).astype(np.int64) for a in "zyx"], axis=1) for k in "nb")
+    low, high, own = np.maximum(b * side - halo, 0), np.minimum((b + 1) * side + halo, n), np.minimum((b + 1) * side, n)
+    kinds, kind = np.unique(np.hstack([high - low, low - (b * side - halo), own + halo - high]), axis=0, return_inverse=True)
+    lists = batch.column("cells")
+    ends, flat = np.asarray(lists.offsets).astype(np.int64), lists.values
+    at, given = np.asarray(flat.field("at")), [np.asarray(flat.field(c).cast(pa.float64())) for c in columns]
+    for k, (*shape, z0, y0, x0, z1, y1, x1) in enumerate(kinds.tolist()):
+        size = int(np.prod(shape))
+        every = np.flatnonzero(kind.reshape(-1) == k)
+        step = max(1, stack // int(np.prod([m + i + j for m, i, j in zip(shape, (z0, y0, x0), (z1, y1, x1), strict=True)])))
+        for begin in range(0, len(every), step):
+            rows = every[begin : begin + step]
+            count = ends[rows + 1] - ends[rows]
+            before = np.cumsum(count) - count
+            cell = np.arange(count.sum()) + np.repeat(ends[rows] - before, count)
+            yield rows, b[rows] * side, ((z0, z1), (y0, y1), (x0, x1)), (len(rows), *shape), np.repeat(np.arange(len(rows)) * size, count) + at[cell], [g[cell] for g in given]
+
+
 def over_blocks(
-    voxels: DataFrame, halo: int, work: Callable, out: list[str], columns: tuple[str, ...] = ("v",), pad: str | None = None, fill: float = 0.0, every: bool = False, side: int = SIDE, rows: Callable | None = None,
+    voxels: DataFrame, halo: int, work: Callable, out: list[str], columns: tuple[str, ...] = ("v",), pad: str | None = None, fill: float = 0.0, every: bool = False, side: int = SIDE, rows: Callable | None = None, many: bool = False,
 ) -> DataFrame:
     """scan_id, z, y, x and the `out` columns (doubles) of what `work` returns for each block.
 
     work(arrays, inside): padded arrays of the columns and where cells of the volume exist, both longer than the block by 2 halo on each axis;
     returns a list of arrays of the block's own shape. pad: np.pad's mode beyond the volume (symmetric, edge), or None for cells that
     don't exist. every: all cells of the box come out, not only those that came in. rows(results): which cells to keep.
+    many: work takes and returns arrays of several blocks of one shape, the blocks along a first axis; small volumes then don't cost a call each.
     """
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = {c: np.asarray(batch.column(c)) for c in ("bz", "by", "bx", "nz", "ny", "nx")}
-            lists = batch.column("cells")
-            ends, flat = np.asarray(lists.offsets), lists.values
-            at = np.asarray(flat.field("at"))
-            given = [np.asarray(flat.field(c).cast(pa.float64())) for c in columns]
             held, total = [], 0
-            for i in range(batch.num_rows):
-                part = slice(ends[i], ends[i + 1])
-                shape, edges, origin = [], [], []
-                for a in "zyx":
-                    n, b = int(keys[f"n{a}"][i]), int(keys[f"b{a}"][i])
-                    low, high = max(b * side - halo, 0), min((b + 1) * side + halo, n)
-                    own = min((b + 1) * side, n)
-                    shape.append(high - low)
-                    edges.append((low - (b * side - halo), own + halo - high))
-                    origin.append(b * side)
+            for part, origin, edges, shape, index, given in stacked(batch, halo, columns, side):
                 there = np.zeros(shape, bool)
-                there.reshape(-1)[at[part]] = True
+                there.reshape(-1)[index] = True
                 arrays = []
                 for g in given:
                     array = np.full(shape, fill)
-                    array.reshape(-1)[at[part]] = g[part]
-                    arrays.append(np.pad(array, edges, mode=pad) if pad else np.pad(array, edges, constant_values=fill))
-                inside = np.pad(there, edges)
-                results = work(arrays, inside)
-                core = inside[tuple(slice(halo, s - halo) for s in inside.shape)]
+                    array.reshape(-1)[index] = g
+                    arrays.append(np.pad(array, ((0, 0), *edges), mode=pad) if pad else np.pad(array, ((0, 0), *edges), constant_values=fill))
+                inside = np.pad(there, ((0, 0), *edges))
+                if many:
+                    results = work(arrays, inside)
+                else:
+                    results = [np.stack(r) for r in zip(*[work([a[i] for a in arrays], inside[i]) for i in range(len(part))], strict=True)]
+                core = inside[(..., *(slice(halo, s - halo) for s in inside.shape[1:]))]
                 chosen = np.ones(core.shape, bool) if every else core
                 if rows is not None:
                     chosen = chosen & rows(results)
                 where = np.nonzero(chosen)
-                held.append((np.full(len(where[0]), i), *[w.astype(np.int32) + o for w, o in zip(where, origin, strict=True)], *[np.asarray(r, np.float64)[where] for r in results]))
+                held.append((part[where[0]], *[(w + origin[where[0], k]).astype(np.int32) for k, w in enumerate(where[1:])], *[np.asarray(r, np.float64)[where] for r in results]))
                 total += len(where[0])
-                if total >= ROWS or i == batch.num_rows - 1:
-                    joined = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column("scan_id").take(pa.array(joined[0])), *[pa.array(c) for c in joined[1:]]], names=[*CELL, *out])
+                if total >= ROWS:
+                    yield _rows_out(batch, held, out)
                     held, total = [], 0
+            if total:
+                yield _rows_out(batch, held, out)
 
     table = block_table(voxels, halo, columns, side)
     schema = T.StructType([table.schema["scan_id"], *[T.StructField(a, T.IntegerType()) for a in "zyx"], *[T.StructField(c, T.DoubleType()) for c in out]])
     return table.mapInArrow(solve, schema)
 
 
+def _rows_out(batch: pa.RecordBatch, held: list[tuple], out: list[str]) -> pa.RecordBatch:
+    joined = [np.concatenate(c) for c in zip(*held, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("scan_id").take(pa.array(joined[0])), *[pa.array(c) for c in joined[1:]]], names=[*CELL, *out])
+
+
 def weighted(array: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     """Sums along an axis that is len(weights) - 1 cells longer than the result."""
     n = array.shape[axis] - len(weights) + 1
@@ -102,8 +125,8 @@ def weighted(array: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
 
 
 def shifted(array: np.ndarray, offset: tuple[int, int, int], halo: int) -> np.ndarray:
-    """The array's core, moved."""
-    return array[tuple(slice(halo + o, s - halo + o) for o, s in zip(offset, array.shape, strict=True))]
+    """The array's core, moved; of several blocks that of each."""
+    return array[(..., *(slice(halo + o, s - halo + o) for o, s in zip(offset, array.shape[-3:], strict=True)))]
 
 
 def envelope(f: np.ndarray) -> np.ndarray:
@@ -145,10 +168,10 @@ def envelope(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def squared_distances(sites: np.ndarray) -> np.ndarray:
-    """Squared distances, in cells, of all cells of an array to the nearest true one; infinite where there is none."""
+def squared_distances(sites: np.ndarray, first: int = 0) -> np.ndarray:
+    """Squared distances, in cells, of all cells of an array to the nearest true one; infinite where there is none. Axes before `first` number arrays of their own."""
     d = np.where(sites, 0.0, np.inf)
-    for axis in range(d.ndim):
+    for axis in range(first, d.ndim):
         lines = np.moveaxis(d, axis, -1)
         d = np.moveaxis(envelope(np.ascontiguousarray(lines).reshape(-1, lines.shape[-1])).reshape(lines.shape), -1, axis)
     return d

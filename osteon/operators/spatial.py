@@ -461,29 +461,40 @@ def invert_field(fields: DataFrame, rounds: int = 100, tolerance: float = 1e-6)
     halo = math.ceil(far) + 1
 
     def work(arrays: list[np.ndarray], inside: np.ndarray) -> list[np.ndarray]:
-        shape = arrays[0].shape
-        at = np.stack(np.meshgrid(*[np.arange(halo, n - halo, dtype=float) for n in shape], indexing="ij"))
-        pulled = lambda w: np.stack([linear(v, at + w) for v in arrays])
-        w = np.zeros_like(at)
+        at = np.stack(np.meshgrid(*[np.arange(halo, n - halo, dtype=float) for n in arrays[0].shape[1:]], indexing="ij"))[:, None]
+        w = np.zeros((3, len(inside), *at.shape[2:]))
+        left, held = np.arange(len(inside)), arrays  # the blocks whose rounds go on
         for _ in range(rounds):
-            new = -pulled(w)
-            moved = np.abs(new - w).max(initial=0.0)
-            w = new
-            if moved < tolerance:
+            new = -linear_each(held, at + w[:, left])
+            moved = np.abs(new - w[:, left]).max(axis=(0, 2, 3, 4), initial=0.0)
+            w[:, left] = new
+            if (moved < tolerance).any():
+                left = left[~(moved < tolerance)]
+                held = [v[left] for v in arrays]
+            if not len(left):
                 break
-        return [*w, np.sqrt(((w + pulled(w)) ** 2).sum(0))]
+        return [*w, np.sqrt(((w + linear_each(arrays, at + w)) ** 2).sum(0))]
 
-    return over_blocks(fields, halo, work, ["wz", "wy", "wx", "residual"], columns=tuple(u), pad="edge")
+    return over_blocks(fields, halo, work, ["wz", "wy", "wx", "residual"], columns=tuple(u), pad="edge", many=True)
 
 
 def linear(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """values at the places `at` (axis first), linear between cells."""
-    low = [np.clip(np.floor(p).astype(int), 0, n - 2) for p, n in zip(at, values.shape, strict=True)]
+    return linear_each([values[None]], at[:, None])[0, 0]
+
+
+def linear_each(fields: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Each field (block, z, y, x) at the places `at` (axis, block, ...) of its blocks, linear between cells."""
+    shape = fields[0].shape
+    low = [np.clip(np.floor(p).astype(int), 0, n - 2) for p, n in zip(at, shape[1:], strict=True)]
     part = [p - b for p, b in zip(at, low, strict=True)]
-    total = np.zeros(at.shape[1:])
+    first = (low[0] * shape[2] + low[1]) * shape[3] + low[2] + (np.arange(shape[0]) * int(np.prod(shape[1:]))).reshape(-1, *[1] * (at.ndim - 2))
+    total = np.zeros((len(fields), *at.shape[1:]))
     for corner in np.ndindex(2, 2, 2):
-        weight = np.prod([t if c else 1 - t for c, t in zip(corner, part, strict=True)], axis=0)
-        total += weight * values[tuple(b + c for b, c in zip(low, corner, strict=True))]
+        z, y, x = (t if c else 1 - t for c, t in zip(corner, part, strict=True))
+        weight, cell = z * y * x, first + (corner[0] * shape[2] + corner[1]) * shape[3] + corner[2]
+        for sums, v in zip(total, fields, strict=True):
+            sums += weight * v.reshape(-1)[cell]
     return total
 
 

@@ -148,3 +148,41 @@ def test_denoising_across_blocks(spark):
         top, low = top + w * at(v, t), low + w
     got = as_arrays(stencil.nlm_denoise(volumes(spark, {1: a}), 10.0), {1: a.shape})[1]
     assert np.allclose(got, top / low)
+
+
+def test_small_volumes_are_worked_on_together(spark):
+    """Blocks of one shape share a call, and large volumes beside them still come right."""
+    rng = np.random.default_rng(6)
+    arrays = {s: rng.random((4, 4, 4)) if s % 3 else rng.random((2, 35, 3)) for s in range(30)}
+    met = blocks.over_blocks(volumes(spark, arrays).coalesce(1), 1, lambda a, inside: [blocks.shifted(a[0], (0, 0, 1), 1), np.full(inside.shape, float(len(inside)))[:, 1:-1, 1:-1, 1:-1]], ["next", "calls"], many=True)
+    got = as_arrays(met, {s: a.shape for s, a in arrays.items()}, "next")
+    assert all((got[s] == np.pad(a, [(0, 0), (0, 0), (0, 1)])[:, :, 1:]).all() for s, a in arrays.items())
+    assert met.agg(F.max("calls")).first()[0] > 1
+
+
+def test_inverse_rounds_end_for_each_volume(spark):
+    """Small volumes share NumPy calls, and each one's rounds still end by its own moves."""
+    from osteon.operators import spatial
+
+    rng = np.random.default_rng(9)
+    size = {s: 0.6 * (s % 5) / 5 for s in range(12)}
+    rows = [(s, *map(int, at), *[float(v) for v in rng.normal(0, 0.2, 3) * size[s]]) for s in size for at in np.ndindex(3, 4, 2)]
+    fields = spark.createDataFrame(rows, f"{CELL}, uz double, uy double, ux double")
+    seen, over = {}, spatial.over_blocks
+    spatial.over_blocks = lambda *a, **b: seen.update(b) or over(*a, **b)
+    try:
+        got = {tuple(r) for r in spatial.invert_field(fields).collect()}
+    finally:
+        spatial.over_blocks = over
+    assert seen["many"]
+    u = {(r[0], *r[1:4]): np.array(r[4:]) for r in rows}
+    for s in (0, 2, 4):
+        padded = [np.pad(np.array([u[s, *at][k] for at in np.ndindex(3, 4, 2)]).reshape(3, 4, 2), 2, mode="edge") for k in range(3)]
+        p = np.stack(np.meshgrid(*[np.arange(2.0, n + 2) for n in (3, 4, 2)], indexing="ij"))
+        w = np.zeros_like(p)
+        for _ in range(100):
+            new = -np.stack([spatial.linear(v, p + w) for v in padded])
+            moved, w = np.abs(new - w).max(), new
+            if moved < 1e-6:
+                break
+        assert {(s, *at, *[float(w[k][at]) for k in range(3)]) for at in np.ndindex(3, 4, 2)} == {r[:7] for r in got if r[0] == s}
