@@ -367,19 +367,19 @@ def nlm_denoise(voxels: DataFrame, h: float, patch: int = 1, search: int = 2) ->
     ones = np.ones(2 * patch + 1)
 
     def denoise(arrays: list, inside: np.ndarray) -> list:
-        v, core = arrays[0], tuple(slice(halo, s - halo) for s in inside.shape)
-        near = lambda array, o: array[tuple(slice(search + k, s - search + k) for k, s in zip(o, array.shape, strict=True))]
+        v = arrays[0]
+        near = lambda array, o: shifted(array, o, search)
         top = low = 0.0
         for o in ((i, j, k) for i in reach for j in reach for k in reach):
             both = near(inside, (0, 0, 0)) & near(inside, o)
             gap, n = np.where(both, (near(v, (0, 0, 0)) - near(v, o)) ** 2, 0.0), both.astype(np.float64)
-            for axis in range(3):
+            for axis in (-3, -2, -1):
                 gap, n = weighted(gap, ones, axis), weighted(n, ones, axis)
-            w = np.where(shifted(inside, o, halo) & inside[core], np.exp(-gap / np.maximum(n, 1.0) / (2 * h * h)), 0.0)
+            w = np.where(shifted(inside, o, halo) & shifted(inside, (0, 0, 0), halo), np.exp(-gap / np.maximum(n, 1.0) / (2 * h * h)), 0.0)
             top, low = top + w * shifted(v, o, halo), low + w
         return [top / np.where(low > 0, low, 1.0)]
 
-    return over_blocks(voxels, halo, denoise, ["v"])
+    return over_blocks(voxels, halo, denoise, ["v"], many=True)
 
 
 def erode(cells: DataFrame, n: int) -> DataFrame:

@@ -186,3 +186,18 @@ def test_inverse_rounds_end_for_each_volume(spark):
             if moved < 1e-6:
                 break
         assert {(s, *at, *[float(w[k][at]) for k in range(3)]) for at in np.ndindex(3, 4, 2)} == {r[:7] for r in got if r[0] == s}
+
+
+def test_non_local_means_of_many_small_volumes(spark, monkeypatch):
+    """Volumes that share NumPy calls come out as each does alone."""
+    rng = np.random.default_rng(12)
+    arrays = {s: rng.integers(80, 120, (4, 4, 4) if s % 2 else (3, 2, 5)).astype(float) for s in range(8)}
+    shapes = {s: a.shape for s, a in arrays.items()}
+    seen, over = {}, stencil.over_blocks
+    alone = lambda *a, **b: over(*a, **{**b, "many": False})
+    monkeypatch.setattr(stencil, "over_blocks", lambda *a, **b: seen.update(b) or over(*a, **b))
+    together = as_arrays(stencil.nlm_denoise(volumes(spark, arrays), 10.0), shapes)
+    assert seen["many"]
+    monkeypatch.setattr(stencil, "over_blocks", alone)
+    apart = as_arrays(stencil.nlm_denoise(volumes(spark, arrays), 10.0), shapes)
+    assert all((together[s] == apart[s]).all() for s in arrays)
