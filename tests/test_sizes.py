@@ -100,3 +100,31 @@ def test_greedy_choice_needs_no_pairs(spark):
     assert ids(graph.greedy_apart(nodes, 0.5)) == sorted(set(expected) - {len(at) - 1})  # the two farthest are in one place
     crowd = spark.range(200_000).selectExpr("id", "id % 1000 / 1e4 as x", "id % 777 / 1e4 as y", "0.0 as z", "id % 500 / 1.0 as variance")  # 20 billion pairs
     assert ids(graph.greedy_apart(crowd, 0.5)) == [499]
+
+
+def test_hd95_of_small_volumes_shuffles_no_neighbours(spark, monkeypatch):
+    """Volumes of one block are settled in it; in larger ones only cells with nothing within the halo go to nearest_point."""
+    from osteon.operators import evaluate
+
+    rng = np.random.default_rng(21)
+    asked, near = [], evaluate.nearest_point
+    monkeypatch.setattr(evaluate, "nearest_point", lambda p, *a, **b: asked.append(p.count()) or near(p, *a, **b))
+    sets = {}
+    for s, shape in enumerate([(4, 4, 4), (6, 3, 5), (4, 4, 4), (70, 5, 40), (50, 2, 2)]):
+        box = list(np.ndindex(shape))
+        sets[s] = [[tuple(int(c) - 3 for c in box[i]) for i in rng.choice(len(box), n, replace=False)] for n in (len(box) // 3, len(box) // 5)]
+    sets[4] = [[(0, 0, 0), (1, 0, 0), (30, 1, 0)], [(49, 0, 1)]]
+    sets[5] = [[(0, 0, 0)], []]
+    sets[6] = [[(0, 0, 0), (80, 0, 0)], []]
+    frame = lambda k, twice: spark.createDataFrame([(s, *c, 1 + n) for s, m in sets.items() for c in m[k] for n in range(twice)] + [(7, 0, 0, 0, 0)], "scan_id long, z int, y int, x int, label int")
+    expected = {5: None, 6: None, 7: None}
+    for s in range(5):
+        p, t = (np.array(m, float) for m in sets[s])
+        d = np.sqrt(((p[:, None] - t) ** 2).sum(2))
+        expected[s] = 0.5 * max(np.percentile(d.min(1), 95), np.percentile(d.min(0), 95))
+    got = {r.scan_id: r.hd95 for r in evaluate.hd95(frame(0, 2), frame(1, 1), 0.5).collect()}
+    assert got.keys() == expected.keys() and all(got[s] is None if e is None else abs(got[s] - e) < 1e-9 for s, e in expected.items())
+    assert sum(asked) == 6  # four cells of volume 4 and two of volume 6
+    asked.clear()
+    small = [m.where("scan_id < 3") for m in (frame(0, 1), frame(1, 1))]
+    assert evaluate.hd95(*small, 0.5).count() == 3 and not asked
