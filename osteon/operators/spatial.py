@@ -94,10 +94,14 @@ def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[s
     lost = ~usable(list(AXES)) | (F.coalesce("__have", F.lit(0)) == 0)
     out = p.where(lost).select(*group, "id", F.lit(None).cast("long").alias("neighbour"), F.lit(float("inf")).alias("distance"), F.lit(1).alias("rank"))
     left = written(p.where(~lost).withColumn("want", F.least(F.col("__have"), F.lit(k))))
-    best = lambda met: met.withColumn("distance", F.sqrt(sum((F.col(a) - F.col(f"n{a}")) ** 2 for a in AXES))).withColumn("rank", F.row_number().over(W.partitionBy(*group, "id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
-    met = in_cells(left, F.col("__w"), around=True).join(c, [*group, *keys])
-    found = written(best(met).select(*group, "id", "neighbour", "distance", "rank", "want", "__w"))
-    settled = found.groupBy(*group, "id").agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.first("want").alias("want"), F.first("__w").alias("w")).where((F.col("n") >= F.col("want")) & (F.col("far") <= F.col("w"))).select(*group, "id")
+    measured = lambda met: met.withColumn("distance", F.sqrt(sum((F.col(a) - F.col(f"n{a}")) ** 2 for a in AXES)))
+    best = lambda met: met.withColumn("rank", F.row_number().over(W.partitionBy(*group, "id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
+    # cells beyond one width, and pairs beyond it, can't settle a point: they are left out before pairs are sorted
+    gap = lambda a, n: F.greatest(F.col(n) * F.col("__w") - F.col(a), F.col(a) - (F.col(n) + 1) * F.col("__w"), F.lit(0.0))
+    close = F.sqrt(sum(gap(a, n) ** 2 for a, n in zip(AXES, keys, strict=True))) <= F.col("__w") * (1 + 1e-9) + F.greatest(*[F.abs(a) for a in AXES]) * 1e-12
+    met = measured(in_cells(left, F.col("__w"), around=True).where(close).join(c, [*group, *keys])).where(F.col("distance") <= F.col("__w"))
+    found = written(best(met).select(*group, "id", "neighbour", "distance", "rank", "want"))
+    settled = found.groupBy(*group, "id").agg(F.count("*").alias("n"), F.first("want").alias("want")).where(F.col("n") >= F.col("want")).select(*group, "id")
     result = ["id", "neighbour", "distance", "rank"]
     out = out.union(found.join(settled, [*group, "id"], "left_semi").select(*group, *result))
     rest = written(left.join(settled, [*group, "id"], "left_anti"))
@@ -105,7 +109,7 @@ def nearest_point(points: DataFrame, cloud: DataFrame, k: int = 1, group: list[s
     if levels is None:
         return out
     leaves = descend(rest, c, group, levels)
-    return out.union(best(leaves.join(c, [*group, *keys])).select(*group, *result))
+    return out.union(best(measured(leaves.join(c, [*group, *keys]))).select(*group, *result))
 
 
 def descend(points: DataFrame, cloud: DataFrame, group: list[str], levels: int) -> DataFrame:

@@ -128,3 +128,19 @@ def test_hd95_of_small_volumes_shuffles_no_neighbours(spark, monkeypatch):
     asked.clear()
     small = [m.where("scan_id < 3") for m in (frame(0, 1), frame(1, 1))]
     assert evaluate.hd95(*small, 0.5).count() == 3 and not asked
+
+
+def test_nearest_points_sort_no_pairs_beyond_a_width(spark, monkeypatch):
+    """Of the pairs of the 27 cells only those within one width are ranked, and answers stay those of brute force."""
+    rng = np.random.default_rng(17)
+    at = {h: np.concatenate([rng.uniform(0, 6, (120, 3)), rng.normal(3, 0.2, (60, 3)), [[40.0, 1.0, -9.0 + h]]]) for h in (0, 1)}
+    frame = lambda h: spark.createDataFrame([(i, i % 2, *map(float, p)) for i, p in enumerate(at[h])], "id long, g int, x double, y double, z double")
+    tables_written, write = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df: tables_written.append(write(df)) or tables_written[-1])
+    got = {(r.id, r["rank"]): (r.neighbour, round(r.distance, 9)) for r in spatial.nearest_point(frame(0), frame(1), 3, ["g"], width=1.0).collect()}
+    far = np.sqrt(((at[0][:, None] - at[1]) ** 2).sum(2))
+    for i in range(len(at[0])):
+        own = sorted((round(far[i, j], 9), j) for j in range(len(at[1])) if j % 2 == i % 2)[:3]
+        assert [got[i, r + 1] for r in range(3)] == [(j, d) for d, j in own]
+    ranked = [t for t in tables_written if {"distance", "rank", "want"} <= set(t.columns)]
+    assert len(ranked) == 1 and ranked[0].agg(F.max("distance")).first()[0] <= 1.0
